@@ -13,6 +13,7 @@ BLANKS = " \t\n\r\x0b\x0c"
 NUMBER = r"(?i)^[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf(inity)?|nan)$"
 ISO_TIME = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:\d{2})?)?$"
 ISO_DATE = r"^\d{4}-\d{2}-\d{2}$"
+ISO_MINUTES = r"([T ]\d{2}:\d{2})(Z|[+-]|$)"
 ISO_ZONED = r"(Z|[+-]\d{2}:\d{2})$"
 
 
@@ -95,11 +96,12 @@ def parse_utc_time(text: Column | str) -> Column:
     of the accepted forms (date, optional ``T`` or space time, fraction, ``Z`` or offset).
     """
     text = as_col(text)
+    with_seconds = F.regexp_replace(text, ISO_MINUTES, "$1:00$2")
     zoned = (
         F.when(~text.rlike(ISO_TIME), F.lit(None))
         .when(text.rlike(ISO_DATE), F.concat(text, F.lit("T00:00:00Z")))
-        .when(text.rlike(ISO_ZONED), text)
-        .otherwise(F.concat(text, F.lit("Z")))
+        .when(text.rlike(ISO_ZONED), with_seconds)
+        .otherwise(F.concat(with_seconds, F.lit("Z")))
     )
     local = F.try_to_timestamp(zoned).cast("timestamp_ntz")
     return F.convert_timezone(F.current_timezone(), F.lit("UTC"), local)

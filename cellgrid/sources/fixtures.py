@@ -49,6 +49,53 @@ FROM nation"""),
 SELECT DISTINCT CAST(ts AS DATE) AS day,
        concat('MERRA2_400.tavg1_2d_aer_Nx.', replace(CAST(CAST(ts AS DATE) AS VARCHAR(10)), '-', ''), '.json') AS ref_name
 FROM events WHERE extract(day FROM ts) NOT IN (6, 13)"""),
+    "customer_requests": ("customer", """
+SELECT c_custkey AS request_id,
+       CASE WHEN c_custkey % 41 = 0 THEN 'cams' ELSE 'merra2' END AS source,
+       CASE WHEN c_custkey % 37 = 0 THEN 'FOO' WHEN c_custkey % 31 = 0 THEN 'OCEXTTAU' WHEN c_custkey % 3 = 0 THEN ' duaod '
+            WHEN c_custkey % 3 = 1 THEN 'TOTEXTTAU' ELSE 'bcexttau' END AS variable,
+       CASE WHEN c_custkey % 29 = 0 THEN 'not-a-bbox' WHEN c_custkey % 23 = 0 THEN '0,10,10,5' WHEN c_custkey % 19 = 0 THEN '-190,0,10,10'
+            WHEN c_custkey % 17 = 0 THEN '180,-35,180,45' WHEN c_custkey % 13 = 0 THEN '1,1,2,2' WHEN c_custkey % 4 = 3 THEN '150,-40,-120,20'
+            ELSE concat(CAST(-170 + 10 * (c_custkey % 25) AS VARCHAR(8)), ',-35,', CAST(-100 + 10 * (c_custkey % 25) AS VARCHAR(8)), ',45') END AS bbox,
+       CASE WHEN c_custkey % 43 = 0 THEN '2023-05-01' WHEN c_custkey % 47 = 0 THEN '2024-01-20T00:00:00Z' WHEN c_custkey % 53 = 0 THEN 'soon'
+            WHEN c_custkey % 59 = 0 THEN '2024-05-20' ELSE '2024-01-03T12:00:00Z' END AS t0,
+       CASE WHEN c_custkey % 43 = 0 THEN '2023-05-02' WHEN c_custkey % 59 = 0 THEN '2024-05-21' WHEN c_custkey % 61 = 0 THEN '2024-01-03T12:00:01Z'
+            WHEN c_custkey % 2 = 0 THEN '2024-01-09T23:59:59Z' ELSE '2024-01-10T01:30:00+02:00' END AS t1,
+       CASE WHEN c_custkey % 67 = 0 THEN 'weekly' WHEN c_custkey % 3 = 0 THEN 'daily'
+            WHEN c_custkey % 3 = 1 THEN 'hourly' ELSE 'monthly_mean' END AS agg
+FROM customer"""),
+    "box_texts": ("customer", """
+SELECT c_custkey AS box_id,
+       CASE c_custkey % 9 WHEN 0 THEN 'a,b,c,d' WHEN 1 THEN '0,10,10' WHEN 2 THEN '-181,0,10,10' WHEN 3 THEN '0,-91,10,10'
+            WHEN 4 THEN '0,10,10,5' WHEN 5 THEN '170,-40,-120,20' WHEN 6 THEN ' 1.5 , -2e1,3.25,+7 ' WHEN 7 THEN '1,2,3,4,5'
+            ELSE concat(CAST(-170 + 10 * c_nationkey AS VARCHAR(8)), ',-35,', CAST(-100 + 10 * c_nationkey AS VARCHAR(8)), ',45.5') END AS bbox
+FROM customer"""),
+    "time_texts": ("events", """
+SELECT event_id,
+       CASE event_id % 8
+            WHEN 0 THEN CAST(CAST(ts AS DATE) AS VARCHAR(10))
+            WHEN 1 THEN concat(CAST(CAST(ts AS DATE) AS VARCHAR(10)), 'T07:08:09Z')
+            WHEN 2 THEN concat(CAST(CAST(ts AS DATE) AS VARCHAR(10)), ' 07:08')
+            WHEN 3 THEN concat(CAST(CAST(ts AS DATE) AS VARCHAR(10)), 'T01:08:09.123456+02:00')
+            WHEN 4 THEN concat(CAST(CAST(ts AS DATE) AS VARCHAR(10)), 'T22:08:09-05:30')
+            WHEN 5 THEN '2024-13-01' WHEN 6 THEN '12:30' ELSE '2024' END AS text
+FROM events"""),
+    "event_questions": ("customer", """
+SELECT c_custkey AS question_id,
+       concat(CASE c_custkey % 7 WHEN 0 THEN 'Show the Godzilla   Dust' WHEN 1 THEN 'How bad was hunga-tonga? And the August complex fire'
+                   WHEN 2 THEN '2020 Saharan dust plumes' WHEN 3 THEN 'the 2020 california wildfires' WHEN 4 THEN 'Tonga eruption'
+                   WHEN 5 THEN 'june 2020 dust and godzilla dust' ELSE 'smog' END,
+              ' in ', c_mktsegment) AS text
+FROM customer"""),
+    "chunk_rows": ("events", """
+SELECT CAST(CAST(ts AS DATE) AS VARCHAR(10)) AS path,
+       CASE event_type WHEN 'click' THEN 'DUEXTTAU' WHEN 'view' THEN 'TOTEXTTAU'
+            WHEN 'purchase' THEN 'BCEXTTAU' WHEN 'signup' THEN 'SUEXTTAU' ELSE 'lat' END AS variable,
+       CAST(extract(hour FROM ts) AS INT) AS ct,
+       CAST(floor((event_id % 361) / 91) AS INT) AS cy,
+       CAST(floor(((event_id * 7) % 576) / 144) AS INT) AS cx,
+       MIN(event_id) * 100 AS offset, COUNT(*) * 1000 AS length
+FROM events GROUP BY 1, 2, 3, 4, 5"""),
     "places": ("nation", """
 SELECT n_name AS name, CAST(-170 + 12 * n_nationkey AS DOUBLE) AS w, CAST(-60 + 4 * n_nationkey AS DOUBLE) AS s,
        CAST(-150 + 12 * n_nationkey AS DOUBLE) AS e, CAST(-40 + 4 * n_nationkey AS DOUBLE) AS n
