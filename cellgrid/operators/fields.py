@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from cellgrid.functions import vocab
 from cellgrid.operators.joins import lookup_join
 from cellgrid.operators.slicing import day_steps
+from cellgrid.session import written
 
 CELL_KEYS = ("request_id", "seg", "lat", "lon")
 
@@ -152,8 +153,12 @@ def place_on_blocks(field: DataFrame, blocks: DataFrame, request: str = "request
 def downsample(
     field: DataFrame, max_nlon: int = vocab.MAX_NLON, max_nlat: int = vocab.MAX_NLAT, request: str = "request_id"
 ) -> DataFrame:
-    """Fields coarsened to the cap by block means: ``(request_id, by, bx, lat, lon, value)``."""
-    blocks = with_blocks(field_frames(field, request), max_nlon, max_nlat)
+    """Fields coarsened to the cap by block means: ``(request_id, by, bx, lat, lon, value)``.
+
+    The axes, a row per field, go through a table: they are computed once, and counting them
+    for the join does not run the field again.
+    """
+    blocks = written(with_blocks(field_frames(field, request), max_nlon, max_nlat), "axes")
     return (
         place_on_blocks(field, blocks, request)
         .groupBy(request, "by", "bx", F.col("out_lat").alias("lat"), F.col("out_lon").alias("lon"))

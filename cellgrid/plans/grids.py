@@ -124,8 +124,12 @@ class GridAnswers:
         self.axis_small = axis_rows <= broadcast_rows
 
     def _spans(self) -> DataFrame:
-        """One row per distinct request and indexed day, with scalars only."""
-        return self.state.where(F.col("gap").isNull()).select(
+        """One row per distinct request and indexed day, with scalars only.
+
+        Served requests all have granule days; that comparison is there because the
+        optimizer prunes partitions dynamically only where it sees a selective predicate.
+        """
+        return self.state.where(F.col("gap").isNull() & (F.col("granule_days") > 0)).select(
             "request_id", F.col("variable_name").alias("variable"), *BOX, *PLACES, F.explode("days").alias("day")
         )
 

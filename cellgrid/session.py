@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,8 +41,7 @@ def work_folder(spark: SparkSession, name: str) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         return tempfile.mkdtemp(prefix=f"cellgrid-{name}-")
-    unique = spark.sql("SELECT uuid() AS u").first()["u"]
-    return f"{shared.rstrip('/')}/cellgrid-{name}-{unique}"
+    return f"{shared.rstrip('/')}/cellgrid-{name}-{uuid.uuid4()}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
