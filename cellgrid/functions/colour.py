@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellgrid.functions import vocab
-from cellgrid.functions.scalars import as_col
+from cellgrid.functions.scalars import as_col, computed_once
 
 Stops = Sequence[tuple[float, str]]
 HEX_COLOUR = r"(?i)^#[0-9a-f]{6}$"
@@ -33,45 +33,65 @@ def _channels(colour: str) -> tuple[int, ...]:
     return tuple(bytes.fromhex(colour[1:]))
 
 
-def sample_colormap(stops: Stops, t: Column | str) -> Column:
-    """Colour at ``t`` (clamped to 0..1) as ``struct<r,g,b>``.
+def _clamped(t: Column) -> Column:
+    return F.when(t.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), t)))
+
+
+def _numbers(values: Sequence[float]) -> Column:
+    return F.array(*[F.lit(float(v)) for v in values])
 
-    The stops are known while the plan is built, so every channel becomes one CASE over
-    the ramp's intervals with the slope folded in: pure generated code, no join.
-    """
-    x = F.greatest(F.lit(0.0), F.least(F.lit(1.0), as_col(t)))
-    rgb = [(position, _channels(colour)) for position, colour in stops]
-
-    def channel(which: int) -> Column:
-        chain = None
-        for (t0, c0), (t1, c1) in zip(rgb, rgb[1:]):
-            if t1 == t0:
-                level = F.lit(float(c0[which]))
-            else:
-                level = F.lit(float(c0[which])) + F.lit(float(c1[which] - c0[which])) * ((x - F.lit(t0)) / F.lit(t1 - t0))
-            level = F.floor(level + F.lit(0.5)).cast("int")
-            chain = F.when(x <= F.lit(t1), level) if chain is None else chain.when(x <= F.lit(t1), level)
-        return chain.otherwise(F.lit(rgb[-1][1][which]))
 
+def _mix(levels: Column, at: Column, share: Column) -> Column:
+    """Level between two neighbouring stops, rounded half up."""
+    low = F.get(levels, at)
+    return F.floor(low + (F.get(levels, at + 1) - low) * share + 0.5).cast("int")
+
+
+def sample_colormap(stops: Stops, t: Column | str) -> Column:
+    """Colour at ``t`` (clamped to 0..1) on one ramp, as ``struct<r,g,b>``; NULL for NULL."""
+    x = _clamped(as_col(t))
+    positions = _numbers([position for position, _ in stops])
+    # how many inner stops lie before x is the number of its interval
+    at = F.size(F.filter(_numbers([position for position, _ in stops[1:-1]]), lambda p: p < x))
+    low, high = F.get(positions, at), F.get(positions, at + 1)
+    share = F.coalesce((x - low) / F.nullif(high - low, F.lit(0.0)), F.lit(0.0))
+    rgb = zip(*[_channels(colour) for _, colour in stops])
     return F.when(
-        as_col(t).isNotNull(), F.struct(*[channel(i).alias(name) for i, name in enumerate("rgb")])
+        x.isNotNull(), F.struct(*[_mix(_numbers(levels), at, share).alias(name) for name, levels in zip("rgb", rgb)])
     )
 
 
+def with_ramp_colour(df: DataFrame, colormap: Column, t: Column, ramps: Mapping[str, Stops] = vocab.RENDER_RAMPS) -> DataFrame:
+    """Adds ``r, g, b`` at ``t`` on the ramp named in ``colormap``; NULL where ``t`` is NULL.
+
+    All ramps share one array per channel, and the position in it is worked out in steps
+    that are each computed once.  One expression would repeat those steps at every use, in
+    a method too long for the JIT.
+    """
+    stops = [stop for ramp in ramps.values() for stop in ramp]
+    first, before, offset = None, None, 0
+    for name, ramp in ramps.items():
+        passed = sum((F.when(F.col("ramp_x") > F.lit(p), 1).otherwise(0) for p, _ in ramp[1:-1]), F.lit(offset))
+        first = F.when(colormap == name, F.lit(offset)) if first is None else first.when(colormap == name, F.lit(offset))
+        is_ramp = F.col("ramp_first") == offset
+        before = F.when(is_ramp, passed) if before is None else before.when(is_ramp, passed)
+        offset += len(ramp)
+    positions = _numbers([position for position, _ in stops])
+    found = computed_once(df, ramp_x=_clamped(t), ramp_first=first)
+    found = computed_once(found, ramp_at=F.when(F.col("ramp_x").isNotNull(), before))
+    low, high = F.get(positions, F.col("ramp_at")), F.get(positions, F.col("ramp_at") + 1)
+    share = F.coalesce((F.col("ramp_x") - low) / F.nullif(high - low, F.lit(0.0)), F.lit(0.0))
+    found = computed_once(found, ramp_share=share)
+    rgb = zip(*[_channels(colour) for _, colour in stops])
+    mixed = [_mix(_numbers(levels), F.col("ramp_at"), F.col("ramp_share")).alias(c) for c, levels in zip("rgb", rgb)]
+    return found.select(*df.columns, *mixed)
+
+
 def colormap_for(variable: Column | str) -> Column:
     """``dust`` for dust variables, ``viridis`` otherwise."""
     return F.when(F.upper(as_col(variable)).contains("DU"), F.lit("dust")).otherwise(F.lit("viridis"))
 
 
-def sample_named(colormap: Column, t: Column) -> Column:
-    """Colour at ``t`` on the ramp named in a column."""
-    chain = None
-    for name, stops in vocab.RENDER_RAMPS.items():
-        colour = sample_colormap(stops, t)
-        chain = F.when(colormap == name, colour) if chain is None else chain.when(colormap == name, colour)
-    return chain
-
-
 def gradient_text(stops: Stops) -> str:
     """A ramp as gradient text with one-decimal percent positions."""
     parts = ", ".join(f"{colour} {position * 100:.1f}%" for position, colour in stops)

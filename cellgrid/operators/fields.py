@@ -93,40 +93,26 @@ def field_frames(field: DataFrame, request: str = "request_id") -> DataFrame:
     ).withColumn("ny", F.size("lats")).withColumn("nx", F.size("lon_axis"))
 
 
-def _chunk(axis: Column, block: Column, width: Column) -> Column:
-    return F.slice(axis, block * width + 1, width)
-
-
-def _mean(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size(values)
-
-
-def _out_lon(members: Column) -> Column:
-    """Mean longitude of a block, taken on unwrapped values and wrapped back if it passed 180."""
-    mean = _mean(F.transform(members, lambda m: m["lon"] + F.when(m["seg"] == 1, 360.0).otherwise(0.0)))
-    crossed = F.exists(members, lambda m: m["seg"] == 1) & (mean >= 180.0)
-    return F.when(crossed, mean - 360.0).otherwise(mean)
-
-
 def with_blocks(frames: DataFrame, max_nlon: int = vocab.MAX_NLON, max_nlat: int = vocab.MAX_NLAT) -> DataFrame:
     """Block sizes that bring each field under the cap, and the coarse axes.
 
     ``fy, fx`` are the block sizes, ``oy, ox`` the coarse sizes; rows and columns that do not
     fill a block at the end of the slice are dropped.  Row-wise arithmetic, no join.
     """
-    blocks = lambda size: F.sequence(F.lit(0), F.col(size) - 1)
-    some = (F.col("ny") > 0) & (F.col("nx") > 0)  # no blocks, and NULL axes, for an empty slice
-    return (
-        frames.withColumn("fy", F.when(some, F.ceil(F.col("ny") / max_nlat).cast("int")))
-        .withColumn("fx", F.when(some, F.ceil(F.col("nx") / max_nlon).cast("int")))
-        .withColumn("oy", F.floor(F.col("ny") / F.col("fy")).cast("int"))
-        .withColumn("ox", F.floor(F.col("nx") / F.col("fx")).cast("int"))
-        .withColumn("downsampled", (F.col("fy") > 1) | (F.col("fx") > 1))
-        .withColumn("out_lats", F.transform(blocks("oy"), lambda b: _mean(_chunk(F.col("lats"), b, F.col("fy")))))
-        .withColumn(
-            "out_lons", F.transform(blocks("ox"), lambda b: _out_lon(_chunk(F.col("lon_axis"), b, F.col("fx"))))
-        )
+    some = "ny > 0 AND nx > 0"  # no blocks, and NULL axes, for an empty slice
+    sized = frames.selectExpr(
+        "*", f"IF({some}, CAST(ceil(ny / {int(max_nlat)}) AS INT), NULL) AS fy",
+        f"IF({some}, CAST(ceil(nx / {int(max_nlon)}) AS INT), NULL) AS fx",
+    ).selectExpr(
+        "*", "CAST(floor(ny / fy) AS INT) AS oy", "CAST(floor(nx / fx) AS INT) AS ox", "fy > 1 OR fx > 1 AS downsampled"
     )
+    # mean longitudes are taken on unwrapped values and turned back if they passed 180
+    unwrapped = "aggregate(m, 0D, (a, x) -> a + x.lon + IF(x.seg = 1, 360D, 0D)) / size(m)"
+    turned = f"transform(lon_blocks, m -> IF(exists(m, x -> x.seg = 1) AND {unwrapped} >= 180, {unwrapped} - 360, {unwrapped}))"
+    return sized.selectExpr(
+        "*", "transform(sequence(0, oy - 1), b -> aggregate(slice(lats, b * fy + 1, fy), 0D, (a, x) -> a + x) / fy) AS out_lats",
+        "transform(sequence(0, ox - 1), b -> slice(lon_axis, b * fx + 1, fx)) AS lon_blocks",
+    ).withColumn("out_lons", F.expr(turned)).drop("lon_blocks")
 
 
 def place_on_blocks(field: DataFrame, blocks: DataFrame, request: str = "request_id") -> DataFrame:

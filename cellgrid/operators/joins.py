@@ -24,9 +24,13 @@ def row_bound(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
 
 def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_KEY_ROWS) -> DataFrame:
     """The most frequent keys of ``df`` with more than ``min_rows`` rows, ``HOT_KEYS`` at most."""
+    return most_frequent(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("hot_rows")), keys, min_rows)
+
+
+def most_frequent(counts: DataFrame, keys: Sequence[str], min_rows: int = HOT_KEY_ROWS) -> DataFrame:
+    """``hot_keys`` from a table of keys and their ``hot_rows``."""
     return (
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("hot_rows"))
-        .where(F.col("hot_rows") > min_rows)
+        counts.where(F.col("hot_rows") > min_rows)
         .orderBy(F.desc("hot_rows"), *keys)
         .limit(HOT_KEYS)
         .select(*keys, F.lit(True).alias("is_hot"))
@@ -41,17 +45,21 @@ def salted_join(
     spread: Column | None = None,
     min_rows: int = HOT_KEY_ROWS,
     salts: int = SALTS,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Shuffle join whose hot keys on the ``many`` side are spread over ``salts`` tasks.
 
     Rows of a hot key get a salt from ``spread`` (a hash of the whole row by default); the
     ``few`` rows of that key are repeated once per salt, so every pair still meets exactly
-    once.  ``how`` may be ``inner`` or ``left``.
+    once.  ``how`` may be ``inner`` or ``left``.  ``hot`` are the hot keys where the caller has
+    counted them already.
     """
     if how not in ("inner", "left"):
         raise ValueError("salted_join supports inner and left joins")
     keys = list(keys)
-    hot = F.broadcast(hot_keys(many, keys, min_rows))
+    if hot is None:
+        hot = hot_keys(many, keys, min_rows)
+    hot = F.broadcast(hot)
     spread = F.xxhash64(*[F.col(c) for c in many.columns]) if spread is None else spread
     salt = F.when(F.col("is_hot"), F.pmod(spread, F.lit(salts)).cast("int")).otherwise(F.lit(0))
     copies = F.when(F.col("is_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))

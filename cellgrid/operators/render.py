@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellgrid.functions import vocab
-from cellgrid.functions.colour import colormap_for, legend_gradient, sample_named
+from cellgrid.functions.colour import colormap_for, legend_gradient, with_ramp_colour
 from cellgrid.functions.scalars import computed_once, format_tick, grid_title, pretty_variable
 from cellgrid.operators.fields import present
 from cellgrid.sources.documents import explode_grid_documents
@@ -57,7 +57,8 @@ def with_document_range(docs: DataFrame) -> DataFrame:
         p_low=F.when(F.size("ranked") > 0, _sorted_percentile(F.col("ranked"), LOW)),
         p_high=F.when(F.size("ranked") > 0, _sorted_percentile(F.col("ranked"), HIGH)),
     )
-    return ends.withColumn("range", _widened(F.col("p_low"), F.col("p_high"))).select(*docs.columns, "range.*")
+    ranged = computed_once(ends, range=_widened(F.col("p_low"), F.col("p_high")))
+    return ranged.select(*docs.columns, "range.*")
 
 
 # --- longitudes ---------------------------------------------------------------------
@@ -113,19 +114,21 @@ def colorize_grid(docs: DataFrame, request: str = "request_id", colormap: Column
     )
     t = (F.col("value") - F.col("vmin")) / (F.col("vmax") - F.col("vmin"))
     seen = _finite(F.col("value")).isNotNull()
-    pixels = cells.withColumn("rgb", F.when(seen, sample_named(F.col("colormap"), t)))
+    pixels = with_ramp_colour(cells, F.col("colormap"), F.when(seen, t))
     return pixels.select(
         request, canvas_row("iy", "ny").alias("y"), F.col("ix").alias("x"),
-        *[F.coalesce(F.col(f"rgb.{c}"), F.lit(0)).alias(c) for c in "rgb"],
+        *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in "rgb"],
         F.when(seen, vocab.PIXEL_ALPHA).otherwise(0).alias("a"),
     )
 
 
 def legend_for_grid(docs: DataFrame, request: str = "request_id") -> DataFrame:
     """Title, ticks, gradient and caption line of each document."""
-    ranged = with_document_range(docs)
-    return ranged.select(
+    ticks = with_document_range(docs)
+    for end in ("min", "mid", "max"):
+        ticks = computed_once(ticks, **{f"tick_{end}": format_tick(f"v{end}")})
+    return ticks.select(
         request, pretty_variable("variable").alias("title"), legend_gradient(colormap_for("variable")).alias("gradient"),
-        format_tick("vmin").alias("tick_min"), format_tick("vmid").alias("tick_mid"), format_tick("vmax").alias("tick_max"),
+        "tick_min", "tick_mid", "tick_max",
         grid_title(F.col("units"), F.col("time_start"), F.col("time_end"), F.col("aggregation")).alias("meta"),
     )

@@ -106,37 +106,31 @@ def request_frames(requests: DataFrame, grid: DataFrame) -> DataFrame:
     sizes, and ``grid_known``.  Everything follows from the request row and one row per
     variable (``grid_axes``); joining the latter is the only join.
     """
-    frames = requests.join(
-        grid.select(
-            F.col("variable").alias("variable_name"), F.col("lats").alias("all_lats"), F.col("lons").alias("all_lons")
-        ),
-        "variable_name", "left",
+    known = requests.join(
+        grid.selectExpr("variable AS variable_name", "lats AS all_lats", "lons AS all_lons"), "variable_name", "left"
     )
-    lo, hi = F.array_min("all_lons"), F.array_max("all_lons")
-    w, e = F.col("w"), F.col("e")
-    wraps = w > e
-    l_lo, l_hi = F.greatest(w, lo), F.when(wraps, hi).otherwise(F.least(e, hi))
-    r_lo, r_hi = lo, F.least(e, hi)
-    left_on, right_on = l_hi > l_lo, wraps & (r_hi > r_lo)
-    frames = (
-        frames.withColumn("grid_known", F.col("all_lons").isNotNull())
-        .withColumn("l_lo", F.when(left_on, l_lo)).withColumn("l_hi", F.when(left_on, l_hi))
-        .withColumn("r_lo", F.when(right_on, r_lo)).withColumn("r_hi", F.when(right_on, r_hi))
+    left, right = "(l_hi > l_lo)", "(w > e AND r_hi > r_lo)"
+    ranges = known.selectExpr(
+        "*", "all_lons IS NOT NULL AS grid_known",
+        "greatest(w, array_min(all_lons)) AS l_lo",
+        "IF(w > e, array_max(all_lons), least(e, array_max(all_lons))) AS l_hi",
+        "array_min(all_lons) AS r_lo", "least(e, array_max(all_lons)) AS r_hi",
+    ).selectExpr(
+        *[c for c in known.columns], "grid_known", f"IF({left}, l_lo, NULL) AS l_lo", f"IF({left}, l_hi, NULL) AS l_hi",
+        f"IF({right}, r_lo, NULL) AS r_lo", f"IF({right}, r_hi, NULL) AS r_hi",
     )
-
-    def piece(low: str, high: str, seg: int) -> Column:
-        inside = F.filter("all_lons", lambda x: x.between(F.col(low), F.col(high)))
-        return F.transform(inside, lambda x: F.struct(F.lit(seg).alias("seg"), x.alias("lon")))
-
-    return (
-        frames.withColumn("lats", F.filter("all_lats", lambda x: x.between(F.col("s"), F.col("n"))))
-        .withColumn("lon_axis", F.concat(piece("l_lo", "l_hi", 0), piece("r_lo", "r_hi", 1)))
-        .withColumn("ny", F.coalesce(F.size("lats"), F.lit(0)))
-        .withColumn("nx", F.coalesce(F.size("lon_axis"), F.lit(0)))
-        .withColumn("first_lat", F.array_position("all_lats", F.get("lats", 0)).cast("int") - 1)
-        .withColumn("first_left", F.array_position("all_lons", F.get(F.filter("all_lons", lambda x: x >= F.col("l_lo")), 0)).cast("int") - 1)
-        .withColumn("n_left", F.size(F.filter("lon_axis", lambda x: x["seg"] == 0)))
-        .drop("all_lats", "all_lons")
+    piece = "transform(filter(all_lons, x -> coalesce(x BETWEEN {0}_lo AND {0}_hi, false)), x -> struct({1} AS seg, x AS lon))"
+    axes = ranges.selectExpr(
+        "*", "filter(all_lats, x -> x BETWEEN s AND n) AS lats",
+        f"concat({piece.format('l', 0)}, {piece.format('r', 1)}) AS lon_axis",
+    )
+    return axes.selectExpr(
+        *[c for c in axes.columns if c not in ("all_lats", "all_lons")],
+        "coalesce(size(lats), 0) AS ny", "coalesce(size(lon_axis), 0) AS nx",
+        # places on the variable's own grid, counted from 0
+        "CAST(array_position(all_lats, get(lats, 0)) AS INT) - 1 AS first_lat",
+        "CAST(array_position(all_lons, get(filter(lon_axis, x -> x.seg = 0), 0).lon) AS INT) - 1 AS first_left",
+        "size(filter(lon_axis, x -> x.seg = 0)) AS n_left",
     )
 
 

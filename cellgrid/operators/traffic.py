@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from cellgrid.functions import vocab
 from cellgrid.functions.scalars import micros, question_key
-from cellgrid.operators.joins import lookup_join
+from cellgrid.operators.joins import BROADCAST_ROWS, most_frequent, salted_join
+from cellgrid.session import written
 
 # Time is cut into stretches of this many windows, so that one busy client becomes many
 # groups; rows near the ends of a stretch are repeated as context for their neighbours.
@@ -19,12 +20,21 @@ def question_cache(questions: DataFrame) -> DataFrame:
 
     A row is a hit if the first successful row of its key comes before it, so one
     aggregation per key with map-side combine is enough; no history of a popular question
-    is ever gathered in one task.
+    is ever gathered in one task.  The keys go through a table, with their counts: it tells
+    whether they are few enough to broadcast and, if not, which of them to salt.
     """
     keyed = questions.withColumn("key", question_key("text", "scope"))
     order = F.struct("ts", "question_id")
-    first = keyed.groupBy("key").agg(F.min(F.when(F.col("ok"), order)).alias("first_ok"))
-    joined = lookup_join(keyed, first, ["key"], "left")
+    per_key = keyed.groupBy("key").agg(
+        F.min(F.when(F.col("ok"), order)).alias("first_ok"), F.count(F.lit(1)).alias("hot_rows")
+    )
+    seen = Observation()
+    per_key = written(per_key, "keys", seen, keys=F.count(F.lit(1)))
+    first = per_key.select("key", "first_ok")
+    if seen.get["keys"] <= BROADCAST_ROWS:
+        joined = keyed.join(F.broadcast(first), "key", "left")
+    else:
+        joined = salted_join(keyed, first, ["key"], "left", hot=most_frequent(per_key, ["key"]))
     return joined.withColumn("hit", F.coalesce(F.col("first_ok") < order, F.lit(False))).drop("first_ok")
 
 

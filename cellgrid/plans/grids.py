@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from cellgrid.functions import vocab
@@ -50,19 +50,13 @@ def coverage_status(frames: DataFrame) -> DataFrame:
 
     Gaps in the index are no error; they show up in ``missing_days``.
     """
-    gap = (
-        F.when(F.size("days") == 0, "no_coverage")
-        .when(~F.col("grid_known"), "variable_absent")
-        .when(F.col("l_lo").isNull() & F.col("r_lo").isNull(), "no_longitude_cells")
-        .when((F.col("ny") == 0) | (F.col("nx") == 0), "no_grid_cells")
-        .when(F.col("time_steps_used") == 0, "no_time_steps")
-    )
-    window = F.datediff(F.to_date("end_time"), F.to_date("start_time")) + 1
-    return (
-        frames.withColumn("granule_days", F.size("days"))
-        .withColumn("missing_days", window - F.col("granule_days"))
-        .withColumn("gap", gap)
+    counted = frames.selectExpr(
+        "*", "size(days) AS granule_days", "datediff(to_date(end_time), to_date(start_time)) + 1 - size(days) AS missing_days"
     )
+    return counted.withColumn("gap", F.expr("""
+        CASE WHEN granule_days = 0 THEN 'no_coverage' WHEN NOT grid_known THEN 'variable_absent'
+             WHEN l_lo IS NULL AND r_lo IS NULL THEN 'no_longitude_cells' WHEN ny = 0 OR nx = 0 THEN 'no_grid_cells'
+             WHEN time_steps_used = 0 THEN 'no_time_steps' END"""))
 
 
 COVERAGE_TEXT = {
@@ -105,19 +99,22 @@ class GridAnswers:
         broadcast_rows: int = BROADCAST_ROWS,
     ):
         self.cells = with_day(cells)
-        self.axes = written(cell_axes(self.cells), "axes") if axes is None else axes
+        seen_axes = Observation()
+        place = F.count_if(F.col("axis") != "time")
+        self.axes = written(cell_axes(self.cells), "axes", seen_axes, n=place) if axes is None else axes
         self.manifest = manifest
         self.checked = check_requests(requests, today, latency_days)
         asked = good_requests(self.checked).groupBy(*SPEC).agg(F.min("request_id").alias("request_id"))
         served = F.col("variable").isin(*vocab.COLUMN_VARIABLES)
         self.grid = grid_axes(self.axes.where(served))
         frames = request_frames(covered_days(asked, manifest, self.axes), self.grid)
-        self.state = written(with_blocks(coverage_status(frames), max_nlon, max_nlat), "requests")
-        counts = self.state.agg(
-            F.count(F.lit(1)).alias("requests"), F.coalesce(F.sum("granule_days"), F.lit(0)).alias("spans")
-        ).first()
-        axis_rows = self.axes.where(served & (F.col("axis") != "time")).count()
-        self.n_requests, n_spans = counts["requests"], counts["spans"]
+        seen = Observation()
+        self.state = written(
+            with_blocks(coverage_status(frames), max_nlon, max_nlat), "requests", seen,
+            requests=F.count(F.lit(1)), spans=F.coalesce(F.sum("granule_days"), F.lit(0)),
+        )
+        self.n_requests, n_spans = seen.get["requests"], seen.get["spans"]
+        axis_rows = seen_axes.get["n"] if axes is None else axes.agg(place).first()[0]
         self.few = self.n_requests <= few_requests
         self.asked_small = self.n_requests <= broadcast_rows
         self.spans_small = n_spans * (1 if self.few else WORLD_TILES) <= broadcast_rows
@@ -158,13 +155,12 @@ class GridAnswers:
         on_grid = lookup_join(self._selected(), lats, ["variable", "lat"], "inner", few_is_small=self.axis_small)
         on_grid = lookup_join(on_grid, lons, ["variable", "lon"], "inner", few_is_small=self.axis_small)
         # the right piece of a wrap starts at the grid's own first column
-        ix = F.when(F.col("seg") == 1, F.col("n_left") + F.col("gx")).otherwise(F.col("gx") - F.col("first_left"))
-        placed = (
-            on_grid.withColumn("iy", F.col("gy") - F.col("first_lat")).withColumn("ix", ix)
-            .withColumn("by", F.floor(F.col("iy") / F.col("fy")).cast("int"))
-            .withColumn("bx", F.floor(F.col("ix") / F.col("fx")).cast("int"))
-            .where((F.col("by") < F.col("oy")) & (F.col("bx") < F.col("ox")))
-        )
+        placed = on_grid.selectExpr(
+            "request_id", "agg", "day", "total", "seen", "fy", "fx", "oy", "ox", "gy - first_lat AS iy",
+            "IF(seg = 1, n_left + gx, gx - first_left) AS ix",
+        ).selectExpr(
+            "*", "CAST(floor(iy / fy) AS INT) AS by", "CAST(floor(ix / fx) AS INT) AS bx"
+        ).where("by < oy AND bx < ox")
         keys = ["request_id", "by", "bx", "iy", "ix"]
         means = bucket_means(placed, F.col("agg"), keys)
         # one exchange on (request, block row) serves the time mean, the block mean and the

@@ -12,7 +12,7 @@ from cellgrid.functions import colour, scalars
 from cellgrid.operators import fields, render, requests, slicing, traffic
 from cellgrid.plans import drafts as plans
 from cellgrid.plans.grids import GridAnswers, request_coverage
-from cellgrid.session import work_folder
+from cellgrid.session import work_folder, written
 from cellgrid.sources import cells as cell_store
 from cellgrid.sources import chunk_refs, dimensions, granules
 from cellgrid.sources.documents import explode_grid_documents
@@ -52,6 +52,16 @@ def four(column: str) -> Column:
 
 
 # --- sources ------------------------------------------------------------------------
+def _manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """The index as a stored table, as an index is."""
+    return written(fixture(spark, sf, "manifest"), "manifest")
+
+
+def _axes(spark: SparkSession, sf: str) -> DataFrame:
+    """The coordinate axes as a stored table, as ``write_cells`` leaves them."""
+    return written(slicing.cell_axes(fixture(spark, sf, "grid_obs")), "axes")
+
+
 def _calendar(spark: SparkSession, sf: str) -> DataFrame:
     span = table(spark, sf, "events").agg(F.to_date(F.min("ts")).alias("first"), F.to_date(F.max("ts")).alias("last"))
     days = span.select(granules.calendar_days(F.col("first"), F.col("last")).alias("day"))
@@ -240,24 +250,23 @@ def check_requests(spark, sf):
 @query("granules_for_window")
 def granules_for_window(spark, sf):
     checked = requests.check_requests(fixture(spark, sf, "customer_requests"), TODAY)
-    found = requests.granules_for_window(checked, fixture(spark, sf, "manifest"))
+    found = requests.granules_for_window(checked, _manifest(spark, sf))
     return found.select("request_id", day_text("day").alias("day"), "ref_name")
 
 
 @query("coverage_status")
 def coverage_status(spark, sf):
     checked = requests.check_requests(fixture(spark, sf, "customer_requests"), TODAY)
-    axes = slicing.cell_axes(fixture(spark, sf, "grid_obs"))
-    return request_coverage(checked, fixture(spark, sf, "manifest"), axes)
+    return request_coverage(checked, _manifest(spark, sf), _axes(spark, sf))
 
 
 @query("time_steps_used")
 def time_steps_used(spark, sf):
     checked = requests.check_requests(fixture(spark, sf, "customer_requests"), TODAY)
-    manifest = fixture(spark, sf, "manifest")
+    manifest = _manifest(spark, sf)
     good = requests.good_requests(checked).withColumn("variable", F.col("variable_name"))
     days = requests.window_days(good, manifest).join(manifest.select("day"), "day", "left_semi")
-    return fields.time_steps_used(days, slicing.cell_axes(fixture(spark, sf, "grid_obs")))
+    return fields.time_steps_used(days, _axes(spark, sf))
 
 
 # --- slices -------------------------------------------------------------------------
@@ -286,7 +295,7 @@ def slice_time(spark, sf):
 
 def _answers(spark: SparkSession, sf: str, **options) -> GridAnswers:
     return GridAnswers(
-        fixture(spark, sf, "grid_requests"), fixture(spark, sf, "grid_obs"), fixture(spark, sf, "manifest"), TODAY, **options
+        fixture(spark, sf, "grid_requests"), fixture(spark, sf, "grid_obs"), _manifest(spark, sf), TODAY, **options
     )
 
 
@@ -294,8 +303,8 @@ def _answers(spark: SparkSession, sf: str, **options) -> GridAnswers:
 def slice_requests(spark, sf):
     checked = requests.good_requests(requests.check_requests(fixture(spark, sf, "grid_requests"), TODAY))
     cells = fixture(spark, sf, "grid_obs")
-    frames = slicing.request_frames(checked, slicing.grid_axes(slicing.cell_axes(cells)))
-    spans = granules_joined(frames, fixture(spark, sf, "manifest"))
+    frames = slicing.request_frames(checked, slicing.grid_axes(_axes(spark, sf)))
+    spans = granules_joined(frames, _manifest(spark, sf))
     found = slicing.slice_requests(cells, spans, spans_are_small=spans.count() <= 100_000)
     return found.select(
         F.col("request_id").cast("long").alias("request_id"), "variable", time_text("time").alias("time"), "lat", "lon", "seg", four("value")
@@ -617,9 +626,8 @@ def hex_to_rgb(spark, sf):
 def sample_colormap(spark, sf):
     ramp = colour.colormap_for(F.when(F.col("event_id") % 2 == 0, "DUEXTTAU").otherwise("TOTEXTTAU"))
     t = F.col("value") / 97.31 - 0.25
-    return table(spark, sf, "events").select("event_id", colour.sample_named(ramp, t).alias("c")).select(
-        "event_id", *[F.col(f"c.{x}").cast("long").alias(x) for x in "rgb"]
-    )
+    events = table(spark, sf, "events").select("event_id", "value")
+    return colour.with_ramp_colour(events, ramp, t).select("event_id", *[F.col(x).cast("long").alias(x) for x in "rgb"])
 
 
 @query("colormap_for")

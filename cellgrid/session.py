@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def get_spark(app_name: str = "cellgrid", master: str | None = None, **conf: str) -> SparkSession:
@@ -44,12 +44,14 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{shared.rstrip('/')}/cellgrid-{name}-{uuid.uuid4()}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, seen: Observation | None = None, **metrics: Column) -> DataFrame:
     """``df`` as a table in a new work folder: computed once, with a short plan and known size.
 
     For tables that several parts of a plan share and that are small beside the cells.
+    ``metrics`` are collected into ``seen`` while the table is written, at no extra job.
     """
     spark = df.sparkSession
     path = f"{work_folder(spark, name)}/table"
-    df.write.parquet(path)
+    rows = df if seen is None else df.observe(seen, *[value.alias(key) for key, value in metrics.items()])
+    rows.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

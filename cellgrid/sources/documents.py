@@ -6,18 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellgrid.functions import vocab
-from cellgrid.functions.scalars import grid_value, iso_utc
+from cellgrid.functions.scalars import grid_value
 
 
-def _dense(entries: Column, position: str, size: Column, payload: str, filler: Column) -> Column:
-    """Sparse ``(position, payload)`` entries as an array of ``size``, gaps filled.
+def _dense(entries: str, position: str, size: str, payload: str, filler: str) -> str:
+    """SQL of sparse ``(position, payload)`` entries as an array of ``size``, gaps filled.
 
     A full row, the usual case, is only sorted; a sparse one looks its entries up.
     """
-    table = F.map_from_entries(F.transform(entries, lambda x: F.struct(x[position], x[payload])))
-    full = F.size(entries) == size
-    return F.when(full, F.transform(F.sort_array(entries), lambda x: x[payload])).otherwise(
-        F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.coalesce(F.try_element_at(table, i), filler))
+    table = f"map_from_entries(transform({entries}, q -> struct(q.{position}, q.{payload})))"
+    return (
+        f"IF(size({entries}) = {size}, transform(sort_array({entries}), q -> q.{payload}), "
+        f"transform(sequence(0, {size} - 1), i -> coalesce(try_element_at({table}, i), {filler})))"
     )
 
 
@@ -43,28 +43,18 @@ def grid_documents(block_cells: DataFrame, blocks: DataFrame, request: str = "re
     end_time, time_steps_used``.  Latitude ascends, longitude keeps slice order, values have
     four decimals and NULL where missing.
     """
-    nothing = F.lit(None).cast("double")
     docs = blocks.join(grid_values(block_cells, request), request, "left")
     # a grid row without any cell is an empty list of cells, which fills up with NULLs
-    no_rows = F.array().cast("array<struct<by:int,cells:array<struct<bx:int,value:double>>>>")
-    no_cells = F.array().cast("array<struct<bx:int,value:double>>")
-    dense_rows = _dense(F.coalesce("rows", no_rows), "by", F.col("oy"), "cells", no_cells)
-    values = F.transform(dense_rows, lambda cells: _dense(cells, "bx", F.col("ox"), "value", nothing))
-    return docs.select(
-        F.col(request),
-        F.col("variable"),
-        F.lit(vocab.FIELD_UNITS).alias("units"),
-        F.transform("out_lats", lambda x: F.round(x, 4)).alias("lats"),
-        F.transform("out_lons", lambda x: F.round(x, 4)).alias("lons"),
-        values.alias("values"),
-        F.col("ox").alias("nx"),
-        F.col("oy").alias("ny"),
-        iso_utc("start_time").alias("time_start"),
-        iso_utc("end_time").alias("time_end"),
-        F.col("time_steps_used"),
-        F.col("agg").alias("aggregation"),
-        F.col("downsampled"),
-        F.lit(vocab.ARCHIVE_SOURCE).alias("source"),
+    cells = "array<struct<bx:int,value:double>>"
+    docs = docs.withColumn("rows", F.expr(f"coalesce(rows, CAST(array() AS array<struct<by:int,cells:{cells}>>))"))
+    dense_rows = _dense("rows", "by", "oy", "cells", f"CAST(array() AS {cells})")
+    values = f"transform({dense_rows}, c -> {_dense('c', 'bx', 'ox', 'value', 'CAST(NULL AS DOUBLE)')})"
+    iso = "yyyy-MM-dd\'T\'HH:mm:ss\'Z\'"
+    return docs.selectExpr(
+        request, "variable", f"'{vocab.FIELD_UNITS}' AS units", "transform(out_lats, x -> round(x, 4)) AS lats",
+        "transform(out_lons, x -> round(x, 4)) AS lons", f"{values} AS values", "ox AS nx", "oy AS ny",
+        f'date_format(start_time, "{iso}") AS time_start', f'date_format(end_time, "{iso}") AS time_end',
+        "time_steps_used", "agg AS aggregation", "downsampled", f"'{vocab.ARCHIVE_SOURCE}' AS source",
     )
 
 
