@@ -32,18 +32,21 @@ def time_bucket(aggregation: Column) -> Column:
     )
 
 
-def bucket_means(sliced: DataFrame, aggregation: Column, keys: Sequence[str] = CELL_KEYS) -> DataFrame:
-    """First stage of a time mean: one mean per cell and bucket, missing values skipped.
+def bucket_means(sliced: DataFrame, keys: Sequence[str] = CELL_KEYS) -> DataFrame:
+    """First stage of a time mean: one mean per cell and ``bucket``, missing values skipped.
 
-    Rows of pre-aggregated days carry ``total`` and ``seen``; single steps carry ``value``.
-    The steps of a cell lie next to each other in stored cells, so the map-side partial
+    Rows carry a sum ``total`` and a count ``seen``, of a single step or a whole day.  The
+    steps of a cell lie next to each other in stored cells, so the map-side partial
     aggregate shrinks the shuffle about as many times as a day has steps.
     """
-    if "total" in sliced.columns:
-        mean = F.sum("total") / F.nullif(F.sum("seen"), F.lit(0))
-    else:
-        mean = F.avg(present("value"))
-    return sliced.withColumn("bucket", time_bucket(aggregation)).groupBy(*keys, "bucket").agg(mean.alias("value"))
+    mean = F.sum("total") / F.nullif(F.sum("seen"), F.lit(0))
+    return sliced.groupBy(*keys, "bucket").agg(mean.alias("value"))
+
+
+def step_totals(cells: DataFrame) -> DataFrame:
+    """Cells with ``total`` and ``seen`` for their single value."""
+    total = present("value")
+    return cells.withColumns({"total": total, "seen": F.when(total.isNotNull(), 1).otherwise(0).cast("long")})
 
 
 def collapse_time(sliced: DataFrame, aggregation: str, keys: Sequence[str] = CELL_KEYS) -> DataFrame:
@@ -55,7 +58,8 @@ def collapse_time(sliced: DataFrame, aggregation: str, keys: Sequence[str] = CEL
         raise ValueError(f"aggregation must be one of {vocab.AGGREGATIONS}")
     if aggregation == "hourly":
         return sliced.groupBy(*keys).agg(F.avg(present("value")).alias("value"))
-    return bucket_means(sliced, F.lit(aggregation), keys).groupBy(*keys).agg(F.avg("value").alias("value"))
+    steps = step_totals(sliced).withColumn("bucket", time_bucket(F.lit(aggregation)))
+    return bucket_means(steps, keys).groupBy(*keys).agg(F.avg("value").alias("value"))
 
 
 def day_partials(cells: DataFrame) -> DataFrame:

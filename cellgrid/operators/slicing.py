@@ -157,7 +157,7 @@ def slice_requests(
         tile_degrees = tile_degrees or TILE_DEGREES
     if tile_degrees:
         keys.append("tile")
-        spans = spans.withColumn("tile", F.explode(_span_tiles(tile_degrees)))
+        spans = spans.withColumn("tile", F.explode(span_tiles(tile_degrees)))
         cells = cells.withColumn("tile", _tile(F.col("lat"), F.col("lon"), tile_degrees))
     if spans_are_small:
         joined = cells.join(F.broadcast(spans), keys)
@@ -180,7 +180,7 @@ def _tile(lat: Column, lon: Column, size: int) -> Column:
     return (F.floor((lat + 90) / size) * columns + F.floor((lon + 180) / size)).cast("int")
 
 
-def _span_tiles(size: int) -> Column:
+def span_tiles(size: int) -> Column:
     """Ids of the tiles that a span's box touches."""
     columns = 360 // size + 1
 

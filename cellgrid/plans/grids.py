@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from cellgrid.functions import vocab
-from cellgrid.operators.fields import bucket_means, day_partials, present, steps_inside, with_blocks
+from cellgrid.operators.fields import bucket_means, day_partials, step_totals, steps_inside, time_bucket, with_blocks
 from cellgrid.operators.joins import BROADCAST_ROWS, lookup_join
 from cellgrid.operators.requests import check_requests, good_requests, window_days
-from cellgrid.operators.slicing import TILE_DEGREES, cell_axes, day_steps, grid_axes, request_frames, slice_requests, with_day
+from cellgrid.operators.slicing import (
+    TILE_DEGREES, cell_axes, day_steps, grid_axes, request_frames, slice_requests, span_tiles, with_day,
+)
 from cellgrid.session import written
 from cellgrid.sources.documents import explode_grid_documents, grid_documents
 
@@ -20,8 +22,9 @@ SPEC = ["variable_name", "w", "s", "e", "n", "start_time", "end_time", "agg"]
 # tiled and whole days are averaged once for all requests that share them.
 FEW_REQUESTS = 64
 PLACES = ["first_lat", "first_left", "n_left", "fy", "fx", "oy", "ox"]
-WORLD_TILES = (360 // TILE_DEGREES) * (180 // TILE_DEGREES)
-BOX = ["s", "n", "l_lo", "l_hi", "r_lo", "r_hi", "start_time", "end_time", "agg"]
+# Up to this many distinct requests every cell is simply held against all of them.
+UNTILED_REQUESTS = 4
+BOX = ["s", "n", "l_lo", "l_hi", "r_lo", "r_hi", "start_time", "end_time"]
 
 
 def covered_days(asked: DataFrame, manifest: DataFrame, axes: DataFrame) -> DataFrame:
@@ -112,13 +115,17 @@ class GridAnswers:
         self.state = written(
             with_blocks(coverage_status(frames), max_nlon, max_nlat), "requests", seen,
             requests=F.count(F.lit(1)), spans=F.coalesce(F.sum("granule_days"), F.lit(0)),
+            tiles=F.coalesce(F.sum(F.col("granule_days") * F.size(span_tiles(TILE_DEGREES))), F.lit(0)),
         )
         self.n_requests, n_spans = seen.get["requests"], seen.get["spans"]
         axis_rows = seen_axes.get["n"] if axes is None else axes.agg(place).first()[0]
         self.few = self.n_requests <= few_requests
         self.asked_small = self.n_requests <= broadcast_rows
-        self.spans_small = n_spans * (1 if self.few else WORLD_TILES) <= broadcast_rows
         self.axis_small = axis_rows <= broadcast_rows
+        # tiles spare a cell the requests elsewhere on the globe, at more span rows
+        tiled_small = seen.get["tiles"] <= broadcast_rows
+        self.tiles = TILE_DEGREES if self.n_requests > UNTILED_REQUESTS and (tiled_small or n_spans > broadcast_rows) else None
+        self.spans_small = (seen.get["tiles"] if self.tiles else n_spans) <= broadcast_rows
 
     def _spans(self) -> DataFrame:
         """One row per distinct request and indexed day, with scalars only.
@@ -126,47 +133,52 @@ class GridAnswers:
         Served requests all have granule days; that comparison is there because the
         optimizer prunes partitions dynamically only where it sees a selective predicate.
         """
-        return self.state.where(F.col("gap").isNull() & (F.col("granule_days") > 0)).select(
-            "request_id", F.col("variable_name").alias("variable"), *BOX, *PLACES, F.explode("days").alias("day")
-        )
+        served = self.state.where(F.col("gap").isNull() & (F.col("granule_days") > 0))
+        return served.select(
+            "request_id", F.col("variable_name").alias("variable"), *BOX, "agg", F.explode("days").alias("day")
+        ).withColumn("bucket", time_bucket(F.col("agg"))).drop("agg")
 
     def _selected(self) -> DataFrame:
-        """Every selected cell and step (or day sum), still on the variable's own grid."""
+        """Every selected cell and step (or day sum): ``request_id, bucket, lat, lon, total, seen``."""
         spans = self._spans()
-        steps = self.cells.select("variable", "day", "time", "lat", "lon", present("value").alias("total")).withColumn(
-            "seen", F.when(F.col("total").isNotNull(), 1).otherwise(0).cast("long")
-        )
+        steps = step_totals(self.cells).select("variable", "day", "time", "lat", "lon", "total", "seen")
         if self.few:
-            return slice_requests(steps, spans, self.spans_small)
+            return slice_requests(steps, spans, self.spans_small, self.tiles)
         midnight = F.col("day").cast("timestamp_ntz")
         whole = (F.col("start_time") <= midnight) & (
             F.col("end_time") >= midnight + F.expr("INTERVAL '23:59:59.999999' HOUR TO SECOND")
         )
         wanted = spans.where(whole).select("variable", "day").distinct()
         days = day_partials(self.cells.join(wanted, ["variable", "day"], "left_semi")).withColumn("time", midnight)
-        inner = slice_requests(days, spans.where(whole), self.spans_small, TILE_DEGREES)
-        edges = slice_requests(steps, spans.where(~whole), self.spans_small, TILE_DEGREES)
+        inner = slice_requests(days, spans.where(whole), self.spans_small, self.tiles)
+        edges = slice_requests(steps, spans.where(~whole), self.spans_small, self.tiles)
         return inner.unionByName(edges)
 
     def block_cells(self) -> DataFrame:
-        """``(request_id, by, bx, value)``: the coarsened fields of the distinct requests."""
+        """``(request_id, by, bx, value)``: the coarsened fields of the distinct requests.
+
+        Single steps only meet the spans and a hash aggregate; positions and block numbers
+        are looked up afterwards, on one row per cell and bucket.
+        """
+        means = bucket_means(self._selected(), ["request_id", "lat", "lon"])
+        places = self.state.selectExpr("request_id", "variable_name AS variable", "r_hi", *PLACES)
         lats = self.grid.select("variable", F.posexplode("lats").alias("gy", "lat"))
         lons = self.grid.select("variable", F.posexplode("lons").alias("gx", "lon"))
-        on_grid = lookup_join(self._selected(), lats, ["variable", "lat"], "inner", few_is_small=self.axis_small)
+        on_grid = lookup_join(means, places, ["request_id"], "inner", few_is_small=self.asked_small)
+        on_grid = lookup_join(on_grid, lats, ["variable", "lat"], "inner", few_is_small=self.axis_small)
         on_grid = lookup_join(on_grid, lons, ["variable", "lon"], "inner", few_is_small=self.axis_small)
-        # the right piece of a wrap starts at the grid's own first column
+        # the right piece of a wrap starts at the grid's own first column and follows the left
         placed = on_grid.selectExpr(
-            "request_id", "agg", "day", "total", "seen", "fy", "fx", "oy", "ox", "gy - first_lat AS iy",
-            "IF(seg = 1, n_left + gx, gx - first_left) AS ix",
+            "request_id", "value", "fy", "fx", "oy", "ox", "gy - first_lat AS iy",
+            "IF(coalesce(lon <= r_hi, false), n_left + gx, gx - first_left) AS ix",
         ).selectExpr(
-            "*", "CAST(floor(iy / fy) AS INT) AS by", "CAST(floor(ix / fx) AS INT) AS bx"
+            "request_id", "value", "iy", "ix", "oy", "ox", "CAST(floor(iy / fy) AS INT) AS by", "CAST(floor(ix / fx) AS INT) AS bx"
         ).where("by < oy AND bx < ox")
         keys = ["request_id", "by", "bx", "iy", "ix"]
-        means = bucket_means(placed, F.col("agg"), keys)
         # one exchange on (request, block row) serves the time mean, the block mean and the
         # rows of the documents; a block row is a bounded share of a request
         return (
-            means.repartition("request_id", "by")
+            placed.repartition("request_id", "by")
             .groupBy(*keys).agg(F.avg("value").alias("value"))
             .groupBy("request_id", "by", "bx").agg(F.avg("value").alias("value"))
         )
