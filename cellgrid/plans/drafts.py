@@ -273,6 +273,12 @@ def legend_spec() -> Column:
     )
 
 
+def legend_stops(plans: DataFrame, colormaps: DataFrame, plan: str = "draft_id") -> DataFrame:
+    """``(draft_id, units, position, t, hex)``: the stops of each plan's legend, in order."""
+    named = plans.select(plan, legend_spec().alias("legend")).select(plan, "legend.units", F.col("legend.stops").alias("colormap"))
+    return lookup_join(named, colormaps, ["colormap"], "inner").select(plan, "units", "position", "t", "hex")
+
+
 def auto_caption() -> Column:
     """The caption, or one made of variable, place, days and source where it is empty."""
     day = lambda c: F.date_format(c, "yyyy-MM-dd")

@@ -62,7 +62,7 @@ oracle("remote_scheme", """SELECT collection, max(CASE WHEN rn = 1 THEN scheme E
   SELECT collection, scheme, CASE WHEN scheme IS NOT NULL THEN row_number() OVER (PARTITION BY collection, scheme IS NULL ORDER BY path, event_id) END AS rn FROM (
     SELECT event_type || '-' || CAST(user_id % 400 AS VARCHAR) AS collection, strftime(ts, '%Y-%m-%d') AS path, event_id,
       CASE event_id % 9 WHEN 4 THEN 'https' WHEN 5 THEN 'https' WHEN 6 THEN 's3' END AS scheme FROM events)) GROUP BY collection""")
-oracle("chunk_report", """SELECT path, variable, '1x91x144' AS chunks, bytes AS chunk_bytes, nt * 16 AS n_chunks, bytes * nt * 16 / 1000000.0::DOUBLE AS total_mb FROM (
+oracle("chunk_report", """SELECT path, variable, '1x91x144' AS chunks, CAST(bytes AS BIGINT) AS chunk_bytes, nt * 16 AS n_chunks, bytes * nt * 16 / 1000000.0::DOUBLE AS total_mb FROM (
   SELECT path, variable, CASE WHEN variable = 'BCEXTTAU' THEN 104832 ELSE 52416 END AS bytes, COUNT(DISTINCT ct) AS nt,
          row_number() OVER (PARTITION BY path ORDER BY MIN("offset")) AS nth
   FROM chunk_rows WHERE variable <> 'lat' GROUP BY path, variable) WHERE nth <= 3""", "chunk_rows")
@@ -198,7 +198,7 @@ oracle("unwrap_lons", "SELECT * FROM unwrapped", "grid_obs", also=[SLICE, INDEX,
 EXTENT = """extent AS (SELECT request_id, west, south, east, north FROM (SELECT request_id, min(unwrapped) AS west, max(unwrapped) AS east FROM unwrapped GROUP BY 1)
   JOIN (SELECT request_id, min(coord) AS south, max(coord) AS north FROM idx WHERE axis = 'lat' GROUP BY 1) USING (request_id))"""
 oracle("grid_extent", "SELECT * FROM extent", "grid_obs", also=[SLICE, INDEX, UNWRAPPED, EXTENT])
-oracle("grid_corners", """SELECT request_id, 0 AS corner, west AS lon, north AS lat FROM extent UNION ALL SELECT request_id, 1, east, north FROM extent
+oracle("grid_corners", """SELECT request_id, CAST(0 AS BIGINT) AS corner, west AS lon, north AS lat FROM extent UNION ALL SELECT request_id, 1, east, north FROM extent
 UNION ALL SELECT request_id, 2, east, south FROM extent UNION ALL SELECT request_id, 3, west, south FROM extent""", "grid_obs", also=[SLICE, INDEX, UNWRAPPED, EXTENT])
 
 
@@ -223,7 +223,7 @@ ANSWER = [
 ANSWER_PARTS = REQUEST_PARTS + ANSWER
 ISO = "strftime({}, '%Y-%m-%dT%H:%M:%SZ')"
 oracle("explode_grid_documents", "SELECT CAST(request_id AS BIGINT) AS request_id, iy, ix, lat, lon, value, CAST(NULL AS VARCHAR) AS error FROM dense", *REQUEST_FIXTURES, also=ANSWER_PARTS)
-oracle("answer_grid_requests", """SELECT CAST(c.request_id AS BIGINT) AS request_id, CASE WHEN reason IS NULL AND gap IS NULL THEN 200 ELSE 422 END AS status, coalesce(reason, gap) AS reason,
+oracle("answer_grid_requests", """SELECT CAST(c.request_id AS BIGINT) AS request_id, CAST(CASE WHEN reason IS NULL AND gap IS NULL THEN 200 ELSE 422 END AS BIGINT) AS status, coalesce(reason, gap) AS reason,
   v.time_steps_used, v.missing_days, iy, ix, lat, lon, value FROM checked c LEFT JOIN coverage v USING (request_id) LEFT JOIN dense d USING (request_id)""",
        *REQUEST_FIXTURES, also=ANSWER_PARTS)
 HEAD = f"""head AS (SELECT request_id, g.variable, 'dimensionless' AS units, {ISO.format('st')} AS time_start, {ISO.format('en')} AS time_end, time_steps_used, agg AS aggregation
@@ -245,7 +245,7 @@ def ramp_rows() -> str:
 
 MIX = ", ".join(f"CAST(floor({c}0 + ({c}1 - {c}0) * ((x - t0) / (t1 - t0)) + 0.5) AS BIGINT) AS {c}" for c in "rgb")
 ON_RAMP = "ON p.ramp = m.ramp AND (x > t0 OR t0 = 0) AND x <= t1"
-oracle("colorize_grid", f"""SELECT request_id, y, x, coalesce(r, 0) AS r, coalesce(g, 0) AS g, coalesce(b, 0) AS b, CASE WHEN seen THEN 235 ELSE 0 END AS a FROM (
+oracle("colorize_grid", f"""SELECT request_id, y, x, coalesce(r, 0) AS r, coalesce(g, 0) AS g, coalesce(b, 0) AS b, CAST(CASE WHEN seen THEN 235 ELSE 0 END AS BIGINT) AS a FROM (
   SELECT p.request_id, p.y, p.ix AS x, p.seen, {MIX} FROM pix p LEFT JOIN ramps m {ON_RAMP})""", *REQUEST_FIXTURES, also=ANSWER_PARTS + range_sql("dense") + [
     ramp_rows(),
     """pix AS (SELECT CAST(request_id AS BIGINT) AS request_id, max(iy) OVER (PARTITION BY request_id) - iy AS y, ix, value IS NOT NULL AS seen,
@@ -302,10 +302,14 @@ CAPTION = "variable || ' over ' || coalesce(name, 'requested area') || ', ' || s
 oracle("data_url", f"SELECT draft_id, {LINK} AS data_url FROM located", *PLACE_FIXTURES, also=[DRAFTS, NAMES, LOCATED])
 oracle("legend_spec", """SELECT draft_id, CASE level WHEN 'surface' THEN 'µg/m³' ELSE 'AOD (unitless)' END AS units, CASE level WHEN 'surface' THEN 'aqi' ELSE 'aod_sequential' END AS stops,
   CASE level WHEN 'surface' THEN 'WHO 24h' END AS guideline FROM drafts""", "drafts")
+LEGEND_STOPS = "stops(colormap, position, t, hex) AS (VALUES " + ", ".join(
+    f"('{name}', {i}::BIGINT, {t}::DOUBLE, '{colour}')" for name, ramp in vocab.LEGEND_RAMPS.items() for i, (t, colour) in enumerate(ramp)) + ")"
+oracle("legend_stops", """SELECT draft_id, CASE level WHEN 'surface' THEN 'µg/m³' ELSE 'AOD (unitless)' END AS units, position, t, hex
+  FROM drafts JOIN stops ON colormap = CASE level WHEN 'surface' THEN 'aqi' ELSE 'aod_sequential' END""", "drafts", also=[LEGEND_STOPS])
 oracle("auto_caption", f"SELECT draft_id, CASE WHEN draft_id % 3 = 0 THEN 'given' ELSE {CAPTION} END AS caption FROM located", *PLACE_FIXTURES, also=[DRAFTS, NAMES, LOCATED])
 oracle("exceedance", """SELECT event_id, threshold, CASE WHEN event_id % 47 <> 0 THEN value > threshold END AS exceeds FROM (
   SELECT *, CAST(CASE event_type WHEN 'click' THEN 15 WHEN 'view' THEN 45 WHEN 'signup' THEN 25 END AS DOUBLE) AS threshold FROM events)""")
-oracle("answer_plans", f"""SELECT draft_id, CASE WHEN problem IS NULL THEN 200 ELSE 422 END AS status, problem, variable, name AS place_name, CASE WHEN problem IS NULL THEN link END AS data_url,
+oracle("answer_plans", f"""SELECT draft_id, CAST(CASE WHEN problem IS NULL THEN 200 ELSE 422 END AS BIGINT) AS status, problem, variable, name AS place_name, CASE WHEN problem IS NULL THEN link END AS data_url,
   CASE WHEN problem IS NULL THEN CASE level WHEN 'surface' THEN 'aqi' ELSE 'aod_sequential' END END AS stops, CASE WHEN problem IS NULL THEN caption END AS caption FROM (
   SELECT *, {LINK} AS link, {CAPTION} AS caption,
     CASE WHEN place_error IS NOT NULL THEN place_error ELSE {case_map('(' + VIOLATION + ')', VIOLATION_TEXT)} END AS problem

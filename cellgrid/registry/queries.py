@@ -257,7 +257,8 @@ def granules_for_window(spark, sf):
 @query("coverage_status")
 def coverage_status(spark, sf):
     checked = requests.check_requests(fixture(spark, sf, "customer_requests"), TODAY)
-    return request_coverage(checked, _manifest(spark, sf), _axes(spark, sf))
+    coverage = request_coverage(checked, _manifest(spark, sf), _axes(spark, sf))
+    return coverage.withColumns({c: F.col(c).cast("long") for c in ("granule_days", "missing_days")})
 
 
 @query("time_steps_used")
@@ -535,6 +536,11 @@ def legend_spec(spark, sf):
     return _drafts(spark, sf).select("draft_id", plans.legend_spec().alias("l")).select("draft_id", "l.*")
 
 
+@query("legend_stops")
+def legend_stops(spark, sf):
+    return plans.legend_stops(_drafts(spark, sf), dimensions.colormaps(spark)).withColumn("position", F.col("position").cast("long"))
+
+
 @query("auto_caption")
 def auto_caption(spark, sf):
     captions = _located(spark, sf).withColumn(

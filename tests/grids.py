@@ -56,7 +56,8 @@ def expected(variable, box, t0, t1, aggregation, max_nlon=360, max_nlat=180):
     if w <= e:
         xs = [(0, i) for i, lon in enumerate(LONS) if w <= lon <= e]
     else:
-        xs = [(0, i) for i, lon in enumerate(LONS) if lon >= w] + [(1, i) for i, lon in enumerate(LONS) if lon <= e]
+        # a piece without width selects nothing
+        xs = [(0, i) for i, lon in enumerate(LONS) if lon >= w and w < LONS[-1]] + [(1, i) for i, lon in enumerate(LONS) if lon <= e]
     data = array(variable)[np.ix_(keep, ys, [i for _, i in xs])]
     if aggregation == "hourly":
         field = data.mean(axis=0)
