@@ -85,7 +85,7 @@ def time_steps_used(request_days: DataFrame, axes: DataFrame, request: str = "re
 
 def steps_inside() -> Column:
     """How many of a day's ``steps`` lie in the window."""
-    return F.size(F.filter("steps", lambda x: x.between(F.col("start_time"), F.col("end_time"))))
+    return F.array_size(F.filter("steps", lambda x: x.between(F.col("start_time"), F.col("end_time"))))
 
 
 # --- coarsening ---------------------------------------------------------------------

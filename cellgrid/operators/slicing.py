@@ -126,11 +126,11 @@ def request_frames(requests: DataFrame, grid: DataFrame) -> DataFrame:
     )
     return axes.selectExpr(
         *[c for c in axes.columns if c not in ("all_lats", "all_lons")],
-        "coalesce(size(lats), 0) AS ny", "coalesce(size(lon_axis), 0) AS nx",
+        "coalesce(array_size(lats), 0) AS ny", "coalesce(array_size(lon_axis), 0) AS nx",
         # places on the variable's own grid, counted from 0
         "CAST(array_position(all_lats, get(lats, 0)) AS INT) - 1 AS first_lat",
         "CAST(array_position(all_lons, get(filter(lon_axis, x -> x.seg = 0), 0).lon) AS INT) - 1 AS first_left",
-        "size(filter(lon_axis, x -> x.seg = 0)) AS n_left",
+        "array_size(filter(lon_axis, x -> x.seg = 0)) AS n_left",
     )
 
 

@@ -190,7 +190,7 @@ def schema_errors(plans: DataFrame, allow_wrap: bool = False) -> Column:
         rules.append(F.when(F.col("place").isNotNull() & (strip("place") == ""), "place"))
     if "bbox" in plans.columns:
         w, s, e, n = (F.get("bbox", F.lit(i)) for i in range(4))
-        broken = F.when(F.coalesce(F.size("bbox"), F.lit(0)) != 4, F.lit("bbox_format")).otherwise(box_error(w, s, e, n))
+        broken = F.when(F.coalesce(F.array_size("bbox"), F.lit(0)) != 4, F.lit("bbox_format")).otherwise(box_error(w, s, e, n))
         if not allow_wrap:
             broken = F.when(broken.isNull() | (broken == "bbox_order"), F.when(~(w < e), "bbox_wrap").otherwise(broken)).otherwise(broken)
         rules.append(broken)

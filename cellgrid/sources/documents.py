@@ -67,7 +67,7 @@ def document_json(docs: DataFrame, request: str = "request_id") -> DataFrame:
 def document_error(lats: Column, lons: Column, values: Column) -> Column:
     """What is wrong with a document's shape, NULL if nothing is."""
     odd = F.filter(
-        F.transform(values, lambda row, i: F.struct(i.alias("row"), F.coalesce(F.size(row), F.lit(0)).alias("n"))),
+        F.transform(values, lambda row, i: F.struct(i.alias("row"), F.coalesce(F.array_size(row), F.lit(0)).alias("n"))),
         lambda x: x["n"] != F.size(lons),
     )
     first = F.get(odd, 0)
