@@ -4,10 +4,13 @@ import collections
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from cellgrid.operators import traffic
+from cellgrid.operators import joins, traffic
 from cellgrid.session import work_folder
 from cellgrid.streaming import limiter
 
@@ -118,3 +121,31 @@ def test_question_cache(spark):
     cached = traffic.question_cache(asked)
     assert {r.question_id: r.hit for r in cached.collect()} == {1: False, 2: False, 3: True, 4: False, 5: True, 6: False}
     assert tuple(traffic.cache_stats(cached).first()) == (2, 4, 3)
+
+
+def test_question_cache_beyond_the_broadcast_bound(spark, monkeypatch):
+    n = 3000
+    asked = spark.range(n).select(
+        F.col("id").alias("question_id"), F.timestamp_add("SECOND", (F.col("id") * 7919 % n).cast("int"), F.lit(START)).cast("timestamp_ntz").alias("ts"),
+        F.lit("d|").alias("scope"), (F.col("id") % 5 != 0).alias("ok"),
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("q"), (F.col("id") % 40).cast("string"))).alias("text"),
+    )
+    few = {r.question_id: r.hit for r in traffic.question_cache(asked).collect()}
+    monkeypatch.setattr(traffic, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(traffic, "most_frequent", lambda counts, keys: joins.most_frequent(counts, keys, min_rows=500))
+    many = {r.question_id: r.hit for r in traffic.question_cache(asked).collect()}
+    assert many == few and len(many) == n and any(few.values())
+
+
+@given(st.lists(st.integers(0, 400), max_size=60), st.integers(1, 4), st.lists(st.integers(1, 59), max_size=3))
+def test_decisions_do_not_depend_on_how_rows_are_batched(times, limit, cuts):
+    times = np.sort(np.array(times, dtype=np.int64)) * 1_000_000
+    whole = limiter.decide(times, collections.deque(), limit, 60_000_000)
+    ring, parts = collections.deque(), []
+    for piece in np.split(times, sorted(c for c in set(cuts) if c < len(times))):
+        parts.append(limiter.decide(piece, ring, limit, 60_000_000))
+        assert len(ring) <= limit
+    assert np.array_equal(whole[0], np.concatenate([p[0] for p in parts]))
+    assert np.array_equal(whole[1], np.concatenate([p[1] for p in parts]))
+    expected = loop([(i, "a", START + dt.timedelta(microseconds=int(t))) for i, t in enumerate(times)], limit, 60.0)
+    assert [(bool(a), int(w)) for a, w in zip(*whole)] == [expected[i] for i in range(len(times))]
