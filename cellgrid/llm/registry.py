@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellgrid.llm import simhash
+from cellgrid.llm import bpe, secret_scan, simhash
 from cellgrid.llm.common import table
 
 
@@ -18,8 +18,21 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", fingerprint.alias("fingerprint"), "component_id", "links")
 
 
+def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document and the text they decode to."""
+    return bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document, by models trained on all of them."""
+    docs = table(spark, sf_dir, "documents")
+    return secret_scan.summary(secret_scan.scan(docs, secret_scan.train(docs)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op9_bpe_round_trip": op9_bpe_round_trip,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 ORACLES: dict[str, str] = {}
