@@ -17,7 +17,7 @@ from cellgrid.llm.common import map_batches, texts, tokenizer_path
 # Fixed value: the split that byte-level vocabularies of this kind are made for.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SLICE = 1 << 16
-CACHED_PIECES = 1 << 18
+CACHED_PIECES = 1 << 17
 NEVER = 1 << 30
 
 
