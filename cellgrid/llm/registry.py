@@ -7,8 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellgrid.llm import bpe, secret_scan, simhash, suffix_dedup
-from cellgrid.llm.common import table
+from cellgrid.llm import bpe, quality_rules, secret_scan, simhash, suffix_dedup, toxicity
+from cellgrid.llm.common import table, texts
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by models of the labelled ones that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(toxicity.training_rows(texts(docs), table(spark, sf_dir, "labels")))
+    return toxicity.score(docs, model)
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +24,12 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules.judge(docs, quality_rules.plan(docs)).drop("failed_rule")
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     groups = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -36,10 +49,34 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
+    "op6_quality_rules": op6_quality_rules,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_secret_scan": op10_secret_scan,
 }
 
-ORACLES: dict[str, str] = {}
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+g AS (SELECT doc_id, i, struct_pack(a := w[i], b := w[i + 1], c := w[i + 2]) AS g
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+r AS (SELECT doc_id, count(DISTINCT i + k) AS n
+      FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS times FROM g), (VALUES (0), (1), (2)) AS s(k)
+      WHERE times > 1 GROUP BY doc_id),
+m AS (SELECT doc_id, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+             length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+             len(lines) - len(list_distinct(lines)) AS n_dup_lines, len(lines) AS n_lines, coalesce(r.n, 0) AS n_repeat_words,
+             length(regexp_replace(text, '[^\p{Lu}]', '', 'g')) AS capitals, length(regexp_replace(text, '[^\p{L}]', '', 'g')) AS letters
+      FROM w LEFT JOIN r USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+       n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+       NOT base_failed AND n_symbols * 10 <= n_words AND capitals * 2 <= letters AND n_dup_lines * 2 <= n_lines
+       AND word_chars >= 2 * n_words AND word_chars <= 20 * n_words AS kept
+FROM b
+"""
+
+ORACLES: dict[str, str] = {"op6_quality_rules": OP6_SQL}
