@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellgrid.llm import bpe, quality_rules, secret_scan, simhash, suffix_dedup, toxicity
+from cellgrid.llm import bpe, decontaminate, quality_rules, secret_scan, simhash, suffix_dedup, toxicity
 from cellgrid.llm.common import table, texts
 
 
@@ -18,6 +18,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model)
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps of every document with every benchmark item."""
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What remains of every document without the strings of 200 bytes that occur again."""
     kept = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
@@ -50,6 +55,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
