@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellgrid.llm import bpe, chat, decontaminate, quality_rules, secret_scan, simhash, suffix_dedup, toxicity
+from cellgrid.llm import (
+    bpe,
+    chat,
+    chunk_dedup,
+    decontaminate,
+    quality_rules,
+    secret_scan,
+    simhash,
+    site_quality,
+    suffix_dedup,
+    toxicity,
+)
 from cellgrid.llm.common import table, texts
 
 
@@ -29,6 +40,13 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; its source is the host, and its language there the path."""
+    docs = table(spark, sf_dir, "documents")
+    rows = site_quality.measured(docs, docs["source"], docs["lang"])
+    return site_quality.score(rows, site_quality.train(rows, table(spark, sf_dir, "labels")))
+
+
 CONTROL_CHAT = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -47,6 +65,12 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.plan(docs)).drop("failed_rule")
 
 
+def op7_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What remains of every document without chunks that an earlier one holds."""
+    kept = chunk_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_repeated", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     groups = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -69,8 +93,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_quality_rules": op6_quality_rules,
+    "op7_chunk_dedup": op7_chunk_dedup,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_secret_scan": op10_secret_scan,
