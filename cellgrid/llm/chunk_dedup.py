@@ -58,7 +58,7 @@ def _chunks(text: str) -> tuple[list[int], list[int], list[int]]:
     """Digests (signed), starts and ends of the chunks of a text."""
     data = text.encode("utf-8", "surrogatepass")
     ends = cuts(data)
-    starts = [0, *ends[:-1]]
+    starts = [0, *ends][:-1]
     digest = xxhash.xxh3_64_digest
     joined = b"".join([digest(data[a:b]) for a, b in zip(starts, ends)])
     return np.frombuffer(joined, ">i8").tolist(), starts, ends
