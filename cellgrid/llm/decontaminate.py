@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -29,9 +30,12 @@ def token_hashes(text: str) -> np.ndarray:
 
 
 def masks_for(sizes: list[int]) -> list[str]:
-    """The fixed masks, and for items too short for them masks that read the whole item."""
+    """The fixed masks, and for items too short for them masks of the whole item that ignore each
+    choice of as many words as one in five may differ."""
     span = max(map(len, MASKS))
-    return [*MASKS, *("1" * n for n in sorted({n for n in sizes if LEAST_WORDS <= n < span}))]
+    short = sorted({n for n in sizes if LEAST_WORDS <= n < span})
+    ignored = [(n, set(at)) for n in short for at in combinations(range(n), n // 5)]
+    return [*MASKS, *("".join("01"[k not in at] for k in range(n)) for n, at in ignored)]
 
 
 def seeds(tokens: np.ndarray, mask: str) -> np.ndarray:
@@ -59,7 +63,7 @@ def _item_seeds(items: DataFrame, masks: list[str]) -> DataFrame:
         for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist()):
             tokens = token_hashes(text)
             for mask in masks:
-                if len(mask) < max(map(len, MASKS)) and mask not in MASKS and len(mask) != len(tokens):
+                if mask not in MASKS and len(mask) != len(tokens):
                     continue
                 found = seeds(tokens, mask).view(np.int64)
                 columns["seed"] += found.tolist()

@@ -93,13 +93,16 @@ def all_spans(text: str, model: MarkovModel, min_ratio: float) -> list[tuple[int
     return sorted(spans + added)
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weight: float = 1.0) -> MarkovModel:
+def train(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weights: tuple[float, float] = (STATES, 8.0)
+) -> MarkovModel:
     """Both models from all rows: values of base matches are the sample labelled random, other
     strings of eight or more identifier characters the sample labelled ordinary.
 
     Counts are added up per batch and then grouped, so what reaches the driver is at most two
-    tables of 67 by 67 whatever the input.  Transitions are smoothed with ``weight`` counts
-    spread evenly; without any random or ordinary string that model is uniform.
+    tables of 68 by 68 whatever the input.  The transitions of a state get ``weights`` more counts
+    (random, ordinary), spread evenly: a random string may go anywhere, an identifier rarely
+    goes where none has gone.  Without any string a model is uniform.
     """
 
     def run(batch: pa.RecordBatch) -> dict[str, list]:
@@ -121,7 +124,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weigh
     for row in counts.groupBy("model", "pair").agg(F.sum("n").alias("n")).collect():
         tables[row.model].flat[row.pair] = row.n
     tables[:, 0, 0] = 0
-    tables += weight / STATES
+    tables += np.array(weights)[:, None, None] / STATES
     logs = np.log(tables / tables.sum(axis=2, keepdims=True))
     return MarkovModel(logs[0] - logs[1])
 

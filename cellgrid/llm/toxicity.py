@@ -227,8 +227,8 @@ def train(rows: DataFrame, discount: float = 0.75) -> SpellingModel:
     """
     grams = stored(_grams(_word_counts(rows.where("not calibrates"))), "toxicity")
     model = SpellingModel(_tables(log_ratios(grams, discount)))
-    chosen = rows.where("calibrates").orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text").limit(CALIBRATION_ROWS)
-    sample = _features(chosen, model).collect()
+    found = _features(rows.where("calibrates"), model)
+    sample = found.orderBy(F.xxhash64("doc_id"), "doc_id", "features").limit(CALIBRATION_ROWS).collect()
     x = np.array([r.features for r in sample]).reshape(-1, 1 + len(TOP))
     model.weights = _fitted(x, np.array([float(r.toxic) for r in sample]))
     return model

@@ -1,8 +1,13 @@
+import os
 import random
+import sys
 
 import pytest
 
-from cellgrid.llm.common import SPACES
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
+from cellgrid.llm.common import SPACES  # noqa: E402
+from text_samples import sentence  # noqa: E402
 
 SCHEMA = (
     "doc_id long, text string, k1 long, k2 string, fp string, spans string, row string, r string, k string, "
@@ -15,10 +20,6 @@ def clashing(spark, rows):
     return spark.createDataFrame([(i, t, *(None,) * 10, None if t is None else len(t), "s", "l") for i, t in rows], SCHEMA)
 
 
-def sentence(rng, n):
-    return " ".join(rng.choice(["able", "of", "the", "station", "éclair", "Straße", "never", "x1"]) + rng.choice(["", "", ",", "."]) for _ in range(n))
-
-
 @pytest.fixture(scope="session")
 def edge_rows():
     """Nulls, empty and blank texts, repeats of rows and of texts, ties, odd characters, one long text."""
