@@ -202,7 +202,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
         ids = [b"".join(encoder.stream(text)) for text in batch.column("text").to_pylist()]
         return {"doc_id": batch.column("doc_id"), "n_tokens": [len(x) // 4 for x in ids], "ids": ids}
 
-    return map_batches(texts(docs, id_col, text_col), run, "doc_id long, n_tokens long, ids binary")
+    return map_batches(texts(docs, id_col, text_col), run, "doc_id long, n_tokens long, ids binary", sliced=True)
 
 
 def decode(tokens: DataFrame, path: str | None = None, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:

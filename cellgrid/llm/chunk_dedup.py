@@ -74,7 +74,7 @@ def _repeated(rows: DataFrame) -> DataFrame:
         digest, n = np.unique(np.array(digests, np.int64), return_counts=True)
         return {"digest": digest, "n": n}
 
-    counted = map_batches(rows.select("text"), run, "digest long, n long").groupBy("digest").agg(F.sum("n").alias("n"))
+    counted = map_batches(rows.select("text"), run, "digest long, n long", sliced=True).groupBy("digest").agg(F.sum("n").alias("n"))
     return counted.where("n > 1").select("digest")
 
 
@@ -89,7 +89,7 @@ def _places(rows: DataFrame) -> DataFrame:
             columns["k2"] += [k2] * len(found[0])
         return columns
 
-    return map_batches(rows, run, "digest long, k1 long, k2 long, start long, end long")
+    return map_batches(rows, run, "digest long, k1 long, k2 long, start long, end long", sliced=True)
 
 
 def _runs(later: list[dict[str, int]] | None, least: int) -> list[list[int]]:
@@ -136,4 +136,4 @@ def remove_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, id_col: str = "d
         return columns | {"doc_id": batch.column("doc_id")}
 
     schema = "doc_id long, n_bytes long, n_repeated long, n_removed long, n_spans long, kept string, removed array<struct<start: long, end: long>>"
-    return map_batches(marked, run, schema)
+    return map_batches(marked, run, schema, sliced=True)

@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,20 +30,39 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     )
 
 
+SLICE_BYTES = 1 << 22
+
+
+def slices(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most ``most`` bytes of ``text``, or of one row."""
+    ends = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False))
+    low = 0
+    while low < batch.num_rows:
+        done = ends[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, done + most, side="right")))
+        yield batch.slice(low, high - low)
+        low = high
+
+
 def map_batches(
-    df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[dict[str, list]] | dict[str, list]], schema: str
+    df: DataFrame,
+    function: Callable[[pa.RecordBatch], Iterator[dict[str, list]] | dict[str, list]],
+    schema: str,
+    sliced: bool = False,
 ) -> DataFrame:
-    """``function`` on each Arrow batch of ``df``; it returns columns by name, once or several times."""
+    """``function`` on each Arrow batch of ``df``; it returns columns by name, once or several times.
+
+    With ``sliced`` it gets few texts at a time, for output that is much larger than its input.
+    """
     spark = df.sparkSession
     arrow = _arrow_schema(spark, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = function(batch)
-            for columns in [made] if isinstance(made, dict) else made:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(columns[f.name], f.type) for f in arrow], schema=arrow
-                )
+            for part in slices(batch) if sliced else [batch]:
+                made = function(part)
+                for columns in [made] if isinstance(made, dict) else made:
+                    yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
 
