@@ -10,11 +10,8 @@ from pyspark.sql import functions as F
 # A broadcast side is sent to every executor and hashed there, so it must be known to be
 # small.  Rows of the sides used here are a few hundred bytes at most.
 BROADCAST_ROWS = 500_000
-# Only keys above this many rows are worth splitting, and at most this many are split: the
-# table of hot keys therefore has a fixed size bound.  All other keys join unsplit.
+# Keys above this many rows are split, each into so many parts that none has more.
 HOT_KEY_ROWS = 200_000
-HOT_KEYS = 1_000
-SALTS = 32
 
 
 def row_bound(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
@@ -23,18 +20,14 @@ def row_bound(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_KEY_ROWS) -> DataFrame:
-    """The most frequent keys of ``df`` with more than ``min_rows`` rows, ``HOT_KEYS`` at most."""
+    """The keys of ``df`` with more than ``min_rows`` rows, and into how many parts each is split."""
     return most_frequent(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("hot_rows")), keys, min_rows)
 
 
 def most_frequent(counts: DataFrame, keys: Sequence[str], min_rows: int = HOT_KEY_ROWS) -> DataFrame:
     """``hot_keys`` from a table of keys and their ``hot_rows``."""
-    return (
-        counts.where(F.col("hot_rows") > min_rows)
-        .orderBy(F.desc("hot_rows"), *keys)
-        .limit(HOT_KEYS)
-        .select(*keys, F.lit(True).alias("is_hot"))
-    )
+    parts = F.ceil(F.col("hot_rows") / F.lit(min_rows)).cast("int")
+    return counts.where(F.col("hot_rows") > min_rows).select(*keys, parts.alias("parts"))
 
 
 def salted_join(
@@ -44,15 +37,18 @@ def salted_join(
     how: str = "inner",
     spread: Column | None = None,
     min_rows: int = HOT_KEY_ROWS,
-    salts: int = SALTS,
     hot: DataFrame | None = None,
 ) -> DataFrame:
-    """Shuffle join whose hot keys on the ``many`` side are spread over ``salts`` tasks.
+    """Shuffle join whose hot keys on the ``many`` side are spread over several tasks.
 
     Rows of a hot key get a salt from ``spread`` (a hash of the whole row by default); the
     ``few`` rows of that key are repeated once per salt, so every pair still meets exactly
-    once.  ``how`` may be ``inner`` or ``left``.  ``hot`` are the hot keys where the caller has
-    counted them already.
+    once.  A key has as many salts as its rows need, and every key above ``min_rows`` is split.
+    ``how`` may be ``inner`` or ``left``.  ``hot`` are the hot keys where the caller has counted
+    them already.
+
+    There are at most ``rows / min_rows`` hot keys, half a million in 10^11 rows, so their table
+    is broadcast; it is counted within the join's own plan, not before.
     """
     if how not in ("inner", "left"):
         raise ValueError("salted_join supports inner and left joins")
@@ -61,10 +57,10 @@ def salted_join(
         hot = hot_keys(many, keys, min_rows)
     hot = F.broadcast(hot)
     spread = F.xxhash64(*[F.col(c) for c in many.columns]) if spread is None else spread
-    salt = F.when(F.col("is_hot"), F.pmod(spread, F.lit(salts)).cast("int")).otherwise(F.lit(0))
-    copies = F.when(F.col("is_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    left = many.join(hot, keys, "left").withColumn("salt", salt).drop("is_hot")
-    right = few.join(hot, keys, "left").withColumn("salt", F.explode(copies)).drop("is_hot")
+    salt = F.coalesce(F.pmod(spread, F.col("parts")).cast("int"), F.lit(0))
+    copies = F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1)
+    left = many.join(hot, keys, "left").withColumn("salt", salt).drop("parts")
+    right = few.join(hot, keys, "left").withColumn("salt", F.explode(copies)).drop("parts")
     return left.join(right, [*keys, "salt"], how).drop("salt")
 
 

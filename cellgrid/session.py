@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -35,11 +36,14 @@ def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder for intermediate tables and stream checkpoints.
 
     It lies under the shared folder that the cluster names in ``spark.checkpoint.dir``, so
-    that a lost executor loses nothing; only where that is unset (tests, a laptop) does it
-    fall back to a local temporary folder.
+    that a lost executor loses nothing.  Where that is unset, a session on one machine (tests, a
+    laptop) takes a local temporary folder; on a cluster its executors would each write to a
+    disk of their own, so there it is an error.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "local")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         return tempfile.mkdtemp(prefix=f"cellgrid-{name}-")
     return f"{shared.rstrip('/')}/cellgrid-{name}-{uuid.uuid4()}"
 
