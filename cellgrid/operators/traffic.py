@@ -69,17 +69,28 @@ def time_stretches(log: DataFrame, window_us: int, before: int, after: int) -> D
     ).drop("home")
 
 
-def trailing(window_us: int):
-    """Range frame of the rows in ``(t - window, t]`` of one client and stretch."""
-    return Window.partitionBy("ip", "stretch").orderBy("us").rangeBetween(-window_us + 1, 0)
+def with_trailing_count(rows: DataFrame, window_us: int, name: str) -> DataFrame:
+    """``rows`` with the number of rows in ``(t - window, t]`` of their client and stretch.
+
+    Every row also leaves the window again, as a row of its own one window later; a running
+    sum over arrivals and departures then takes one step per row however many rows a window
+    holds, where a sliding frame would add the whole window up again.
+    """
+    away = rows.columns
+    arrive = rows.withColumn(name, F.lit(1).cast("long"))
+    leave = rows.select(
+        *[(F.col(c) if c in ("ip", "stretch") else (F.col("us") + window_us) if c == "us" else F.lit(None).cast(rows.schema[c].dataType)).alias(c)
+          for c in away], F.lit(-1).cast("long").alias(name),
+    )
+    # rows of equal time count together, departures included
+    so_far = Window.partitionBy("ip", "stretch").orderBy("us").rangeBetween(Window.unboundedPreceding, 0)
+    both = arrive.withColumn("arrives", F.lit(True)).unionByName(leave.withColumn("arrives", F.lit(False)))
+    return both.withColumn(name, F.sum(name).over(so_far)).where("arrives").drop("arrives")
 
 
 def request_rate(log: DataFrame, window_s: float = vocab.WINDOW_SECONDS, time: Column | None = None) -> DataFrame:
     """Log rows ``(ip, ts, ...)`` with ``requests``: how many of the client fall in the last window."""
     window_us = round(window_s * 1_000_000)
     timed = log.withColumn("us", micros("ts") if time is None else time)
-    return (
-        time_stretches(timed, window_us, before=1, after=0)
-        .withColumn("requests", F.count(F.lit(1)).over(trailing(window_us)))
-        .where("own").drop("own", "stretch", "us")
-    )
+    counted = with_trailing_count(time_stretches(timed, window_us, before=1, after=0), window_us, "requests")
+    return counted.where("own").drop("own", "stretch", "us")

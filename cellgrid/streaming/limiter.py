@@ -8,6 +8,7 @@ express: this is the one operator that folds ordered rows in pandas.
 
 from __future__ import annotations
 
+from bisect import insort
 from collections import deque
 from collections.abc import Iterable, Iterator
 
@@ -19,7 +20,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cellgrid.functions import vocab
 from cellgrid.functions.scalars import micros
-from cellgrid.operators.traffic import time_stretches, trailing
+from cellgrid.operators.traffic import time_stretches, with_trailing_count
 
 MICROS = 1_000_000
 
@@ -44,7 +45,7 @@ def decide(times: np.ndarray, ring: deque, limit: int, window_us: int) -> tuple[
             ring.popleft()
         if len(ring) < limit:
             allowed[i] = True
-            ring.append(now)
+            insort(ring, now)  # an earlier batch may have held a later time
             i += 1
             continue
         free = ring[0] + window_us
@@ -66,12 +67,15 @@ def busy_runs(log: DataFrame, limit: int, window_us: int) -> DataFrame:
     (client, stretch of time) groups; the start of a run that crosses stretches comes from a
     window over one summary row per stretch.
     """
-    around = Window.partitionBy("ip", "stretch").orderBy("us").rangeBetween(-window_us + 1, window_us - 1)
     order = Window.partitionBy("ip", "stretch").orderBy("us", "event_id")
+    until, since = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
+    opened = F.when(F.col("trailing") > limit, F.col("us"))
     rows = (
-        time_stretches(log, window_us, before=3, after=1)
-        .withColumn("open", F.count(F.lit(1)).over(trailing(window_us)) > limit)
-        .withColumn("busy", F.max("open").over(around))
+        with_trailing_count(time_stretches(log, window_us, before=3, after=1), window_us, "trailing")
+        .withColumn("before", F.last(opened, ignorenulls=True).over(until))
+        .withColumn("after", F.first(opened, ignorenulls=True).over(since))
+        .withColumn("busy", F.coalesce(F.col("us") - F.col("before") < window_us, F.lit(False))
+                    | F.coalesce(F.col("after") - F.col("us") < window_us, F.lit(False)))
         .withColumn("gap", F.col("us") - F.lag("us").over(order))
         .withColumn("after_busy", F.coalesce(F.lag("busy").over(order), F.lit(False)))
         .where("own")
@@ -157,7 +161,7 @@ def rate_limit_stream(
         allowed, wait = decide(rows["us"].to_numpy(), ring, limit, window_us)
         state.update((list(ring),))
         watermark = state.getCurrentWatermarkMs()
-        state.setTimeoutTimestamp(max(int(rows["us"].iloc[-1]) // 1000 + window_us // 1000, watermark) + 1)
+        state.setTimeoutTimestamp(max(max(ring, default=0) // 1000 + window_us // 1000, watermark) + 1)
         yield pd.DataFrame(
             {"event_id": rows["event_id"], "ip": key[0], "us": rows["us"], "allowed": allowed, "retry_after": wait}
         )

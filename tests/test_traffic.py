@@ -149,3 +149,21 @@ def test_decisions_do_not_depend_on_how_rows_are_batched(times, limit, cuts):
     assert np.array_equal(whole[1], np.concatenate([p[1] for p in parts]))
     expected = loop([(i, "a", START + dt.timedelta(microseconds=int(t))) for i, t in enumerate(times)], limit, 60.0)
     assert [(bool(a), int(w)) for a, w in zip(*whole)] == [expected[i] for i in range(len(times))]
+
+
+def test_late_rows_of_a_client_keep_the_ring_in_order():
+    from collections import deque
+
+    ring, window = deque(), 60_000_000
+    allowed = [bool(limiter.decide(np.array([s * 1_000_000]), ring, 2, window)[0][0]) for s in (1000, 995, 1056)]
+    assert allowed == [True, True, True] and list(ring) == [1_000_000_000, 1_056_000_000]
+
+
+def test_rates_of_a_hammering_client_match_counting(spark):
+    rng = random.Random(11)
+    rows = [(i, "one", START + dt.timedelta(seconds=rng.randrange(3000) / 4)) for i in range(3000)]
+    got = {r.event_id: r.requests for r in traffic.request_rate(frame(spark, rows), 60.0).collect()}
+    times = np.sort(np.array([(t - START).total_seconds() for _, _, t in rows]))
+    for i, _, t in rows:
+        now = (t - START).total_seconds()
+        assert got[i] == np.searchsorted(times, now, "right") - np.searchsorted(times, now - 60, "right")
