@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -124,9 +124,33 @@ def grid_value(value: Column | str) -> Column:
     return F.when(~F.isnan(value), F.round(value, 4))
 
 
-def number_text(value: Column) -> Column:
-    """Shortest decimal text of a number, without a trailing ``.0``."""
-    return F.regexp_replace(value.cast("string"), r"\.0$", "")
+def _exact_product(a: Column, b: Column) -> tuple[Column, Column]:
+    """``a * b`` as a rounded product and its rounding error, exactly."""
+    def halves(x: Column) -> tuple[Column, Column]:
+        wide = x * F.lit(134217729.0)
+        high = wide - (wide - x)
+        return high, x - high
+
+    product = a * b
+    (a_high, a_low), (b_high, b_low) = halves(a), halves(b)
+    return product, ((a_high * b_high - product) + a_high * b_low + a_low * b_high) + a_low * b_low
+
+
+def _below_half(value: Column, four_digits: Column) -> Column:
+    """True where a value prints as a half of its third digit but is a little less than that."""
+    size = F.abs(value)
+    digits = F.regexp_replace(F.regexp_extract(four_digits, r"([0-9.]+)e", 1), r"\.", "").try_cast("double")
+    power = F.regexp_extract(four_digits, r"e([+-][0-9]+)$", 1).try_cast("int") - 3
+    small, small_error = _exact_product(size, F.pow(F.lit(10.0), -power))
+    large, large_error = _exact_product(digits, F.pow(F.lit(10.0), power))
+    rest = F.when(power < 0, (small - digits) + small_error).otherwise((size - large) - large_error)
+    is_half = (digits % 10 == 5) & (four_digits.try_cast("double") == value) & power.between(-22, 22)
+    return F.coalesce(is_half & (rest < 0), F.lit(False))
+
+
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once per row, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def format_tick(value: Column | str) -> Column:
@@ -135,22 +159,28 @@ def format_tick(value: Column | str) -> Column:
     Plain decimals run from 1e-6 up to 1e21 and exponent form applies outside, as number
     text does in the browser.
     """
-    value = as_col(value)
-    finite = value.isNotNull() & ~F.isnan(value) & (F.abs(value) < F.lit(float("inf")))
-    # three significant digits, rounded half up on the exact decimal expansion
-    short = F.format_string("%.2e", value)
-    mantissa = F.regexp_replace(F.regexp_extract(short, r"^(-?[0-9.]+)e", 1), r"\.?0+$", "")
-    power = F.regexp_extract(short, r"e([+-][0-9]+)$", 1).try_cast("int")
-    plain = F.regexp_replace(
-        F.regexp_replace(F.format_string("%.10f", short.try_cast("double")), r"(\.[0-9]*?)0+$", "$1"), r"\.$", ""
-    )
-    signed = F.concat(F.when(power < 0, F.lit("-")).otherwise(F.lit("+")), F.abs(power).cast("string"))
-    return (
-        F.when(~finite, F.lit("–"))
-        .when(value == 0, F.lit("0"))
-        .when((power < -6) | (power > 20), F.concat(mantissa, F.lit("e"), signed))
-        .otherwise(plain)
-    )
+    def rounded(x: Column) -> Column:
+        # rounded half up on the exact value: the formatter rounds the shortest decimal text,
+        # which lies on the other side only where that text is itself a half
+        return _once(F.format_string("%.3e", x), lambda four: F.when(
+            _below_half(x, four), F.regexp_replace(four, "5e", "e")
+        ).otherwise(F.format_string("%.2e", x)))
+
+    def spelled(short: Column, power: Column) -> Column:
+        mantissa = F.regexp_replace(F.regexp_extract(short, r"^(-?[0-9.]+)e", 1), r"\.?0+$", "")
+        plain = F.regexp_replace(
+            F.regexp_replace(F.format_string("%.10f", short.try_cast("double")), r"(\.[0-9]*?)0+$", "$1"), r"\.$", ""
+        )
+        signed = F.concat(F.when(power < 0, F.lit("-")).otherwise(F.lit("+")), F.abs(power).cast("string"))
+        return F.when((power < -6) | (power > 20), F.concat(mantissa, F.lit("e"), signed)).otherwise(plain)
+
+    def tick(x: Column) -> Column:
+        finite = x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
+        power = lambda short: F.regexp_extract(short, r"e([+-][0-9]+)$", 1).try_cast("int")
+        text = _once(rounded(x), lambda short: spelled(short, power(short)))
+        return F.when(~finite, F.lit("–")).when(x == 0, F.lit("0")).otherwise(text)
+
+    return _once(as_col(value).cast("double"), tick)
 
 
 # --- questions and clients ----------------------------------------------------------

@@ -57,7 +57,10 @@ def test_boxes(spark):
 def test_values_and_ticks(spark):
     assert one(spark, [1.23456789, float("nan"), None, 0.12345], "DOUBLE", scalars.grid_value("x")) == [1.2346, None, None, 0.1235]
     values = [0.0065, 2.11, 0.0, 123.456, 1234.5, 0.1, -0.00012345, 1e-7, 2.5e-8, 1e21, float("nan"), float("inf"), None, 999.9, 1.0]
+    # texts that end in a half are rounded by the exact value behind them
+    values += [1.005, 1.015, 1.125, 2.675, 0.0006785, -1.005, -1.125, 1125.0, 1.125e20, 9.995]
     want = ["0.0065", "2.11", "0", "123", "1230", "0.1", "-0.000123", "1e-7", "2.5e-8", "1e+21", "–", "–", "–", "1000", "1"]
+    want += ["1", "1.01", "1.13", "2.67", "0.000678", "-1", "-1.13", "1130", "113000000000000000000", "9.99"]
     assert one(spark, values, "DOUBLE", scalars.format_tick("x")) == want
 
 
