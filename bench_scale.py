@@ -64,7 +64,7 @@ def main() -> None:
         for i in range(1000)
     ]
     warm = [(1, "merra2", "DUEXTTAU", "0,0,5,5", f"{START}T00:00:00Z", f"{START}T05:00:00Z", "daily")]
-    for name, rows, options in (("warm", warm, {}), ("warm", warm, {"few_requests": 0}), ("globe", globe, {}), ("small_24", small[::42], {}), ("small_1000", small, {})):
+    for name, rows, options in (("warm", warm, {}), ("globe", globe, {}), ("small_24", small[::42], {}), ("small_1000", small, {})):
         before, start = shuffled(spark), time.perf_counter()
         answers = GridAnswers(spark.createDataFrame(rows, SCHEMA), cells, manifest, dt.date(2025, 1, 1), axes=axes, **options)
         answers.documents().write.format("noop").mode("overwrite").save()

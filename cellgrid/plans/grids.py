@@ -18,9 +18,8 @@ from cellgrid.session import written
 from cellgrid.sources.documents import explode_grid_documents, grid_documents
 
 SPEC = ["variable_name", "w", "s", "e", "n", "start_time", "end_time", "agg"]
-# Up to this many distinct requests their cells are fetched step by step; beyond, boxes are
-# tiled and whole days are averaged once for all requests that share them.
-FEW_REQUESTS = 64
+# Documents are broadcast only up to this size: distinct requests times the cells of the output cap.
+DOCUMENT_BYTES = 64 << 20
 PLACES = ["first_lat", "first_left", "n_left", "fy", "fx", "oy", "ox"]
 # Up to this many distinct requests every cell is simply held against all of them.
 UNTILED_REQUESTS = 4
@@ -98,7 +97,6 @@ class GridAnswers:
         axes: DataFrame | None = None,
         max_nlon: int = vocab.MAX_NLON,
         max_nlat: int = vocab.MAX_NLAT,
-        few_requests: int = FEW_REQUESTS,
         broadcast_rows: int = BROADCAST_ROWS,
     ):
         self.cells = with_day(cells)
@@ -119,7 +117,7 @@ class GridAnswers:
         )
         self.n_requests, n_spans = seen.get["requests"], seen.get["spans"]
         axis_rows = seen_axes.get["n"] if axes is None else axes.agg(place).first()[0]
-        self.few = self.n_requests <= few_requests
+        self.documents_small = self.n_requests * max_nlon * max_nlat * 8 <= DOCUMENT_BYTES
         self.asked_small = self.n_requests <= broadcast_rows
         self.axis_small = axis_rows <= broadcast_rows
         # tiles spare a cell the requests elsewhere on the globe, at more span rows
@@ -139,17 +137,20 @@ class GridAnswers:
         ).withColumn("bucket", time_bucket(F.col("agg"))).drop("agg")
 
     def _selected(self) -> DataFrame:
-        """Every selected cell and step (or day sum): ``request_id, bucket, lat, lon, total, seen``."""
+        """Every selected cell and step, or day sum: ``request_id, bucket, lat, lon, total, seen``.
+
+        Days that lie whole in a window are summed once for all requests, the days at its ends
+        step by step; so an answer does not depend on what else was asked.
+        """
         spans = self._spans()
         steps = step_totals(self.cells).select("variable", "day", "time", "lat", "lon", "total", "seen")
-        if self.few:
-            return slice_requests(steps, spans, self.spans_small, self.tiles)
         midnight = F.col("day").cast("timestamp_ntz")
         whole = (F.col("start_time") <= midnight) & (
             F.col("end_time") >= midnight + F.expr("INTERVAL '23:59:59.999999' HOUR TO SECOND")
         )
         wanted = spans.where(whole).select("variable", "day").distinct()
-        days = day_partials(self.cells.join(wanted, ["variable", "day"], "left_semi")).withColumn("time", midnight)
+        # at most one row per variable and indexed day
+        days = day_partials(self.cells.join(F.broadcast(wanted), ["variable", "day"], "left_semi")).withColumn("time", midnight)
         inner = slice_requests(days, spans.where(whole), self.spans_small, self.tiles)
         edges = slice_requests(steps, spans.where(~whole), self.spans_small, self.tiles)
         return inner.unionByName(edges)
@@ -210,7 +211,7 @@ class GridAnswers:
         """Every request with status and, where it is 200, its document."""
         docs = self.distinct_documents().withColumnRenamed("request_id", "answer_id").drop("time_steps_used")
         return lookup_join(
-            self.statuses(), docs, ["answer_id"], "left", few_is_small=self.n_requests <= FEW_REQUESTS
+            self.statuses(), docs, ["answer_id"], "left", few_is_small=self.documents_small
         ).drop("answer_id")
 
     def cells_out(self) -> DataFrame:
