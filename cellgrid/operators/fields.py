@@ -145,15 +145,16 @@ def downsample(
 ) -> DataFrame:
     """Fields coarsened to the cap by block means: ``(request_id, by, bx, lat, lon, value)``.
 
-    The axes, a row per field, go through a table: they are computed once, and counting them
+    Every block of the coarse grid has a row; its value is NULL where it holds no value.  The axes, a row per field, go through a table: they are computed once, and counting them
     for the join does not run the field again.
     """
     blocks = written(with_blocks(field_frames(field, request), max_nlon, max_nlat), "axes")
-    return (
-        place_on_blocks(field, blocks, request)
-        .groupBy(request, "by", "bx", F.col("out_lat").alias("lat"), F.col("out_lon").alias("lon"))
-        .agg(F.avg("value").alias("value"))
+    means = place_on_blocks(field, blocks, request).groupBy(request, "by", "bx").agg(F.avg("value").alias("value"))
+    # a request has oy * ox blocks, at most the cap
+    grid = blocks.select(request, "out_lons", F.posexplode("out_lats").alias("by", "lat")).select(
+        request, "by", "lat", F.posexplode("out_lons").alias("bx", "lon")
     )
+    return grid.join(means, [request, "by", "bx"], "left").select(request, "by", "bx", "lat", "lon", "value")
 
 
 # --- comparison ---------------------------------------------------------------------

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellgrid.functions import vocab
@@ -52,8 +52,8 @@ def item_size(dtype: Column) -> Column:
     return F.coalesce(F.try_element_at(table, F.regexp_replace(dtype, r"^[<>|=]", "")), F.lit(4)).cast("long")
 
 
-def chunk_report(refs: DataFrame, max_vars: int = 8) -> DataFrame:
-    """Chunk sizes of the first ``max_vars`` data variables of every reference file."""
+def chunk_report(refs: DataFrame) -> DataFrame:
+    """Chunk sizes of every data variable of every reference file."""
     product = lambda values: F.aggregate(values, F.lit(1).cast("long"), lambda a, x: a * x)
     arrays = (
         refs.where(F.col("key").endswith("/.zarray") & F.col("inline").isNotNull())
@@ -61,11 +61,9 @@ def chunk_report(refs: DataFrame, max_vars: int = 8) -> DataFrame:
         .where(~F.col("variable").isin(*vocab.COORDINATE_NAMES))
         .withColumn("meta", F.from_json("inline", ZARRAY))
     )
-    first = Window.partitionBy("path").orderBy("position")  # variables of one file
     counts = F.zip_with("meta.shape", "meta.chunks", lambda s, c: F.ceil(s / c).cast("long"))
     return (
-        arrays.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= max_vars)
-        .withColumn("chunk_bytes", item_size(F.col("meta.dtype")) * product(F.col("meta.chunks")))
+        arrays.withColumn("chunk_bytes", item_size(F.col("meta.dtype")) * product(F.col("meta.chunks")))
         .withColumn("n_chunks", product(counts))
         .select(
             "path", "variable", F.array_join(F.col("meta.chunks").cast("array<string>"), "x").alias("chunks"),

@@ -35,7 +35,7 @@ SELECT n_nationkey AS request_id,
        CASE WHEN n_nationkey = 24 THEN 'cams' ELSE 'merra2' END AS source,
        CASE WHEN n_nationkey = 19 THEN 'FOO' WHEN n_nationkey % 3 = 0 THEN ' duaod '
             WHEN n_nationkey % 3 = 1 THEN 'TOTEXTTAU' ELSE 'bcexttau' END AS variable,
-       CASE WHEN n_nationkey = 20 THEN 'not-a-bbox' WHEN n_nationkey = 21 THEN '0,10,10,5'
+       CASE WHEN n_nationkey = 20 THEN 'w;s;e;n' WHEN n_nationkey = 21 THEN '20,35,50,15'
             WHEN n_nationkey % 4 = 3 THEN '150,-40,-120,20'
             ELSE concat(CAST(-170 + 10 * n_nationkey AS VARCHAR(8)), ',-35,', CAST(-100 + 10 * n_nationkey AS VARCHAR(8)), ',45') END AS bbox,
        CASE WHEN n_nationkey = 18 THEN '2023-05-01' WHEN n_nationkey = 22 THEN '2024-01-20T00:00:00Z'
@@ -54,8 +54,8 @@ SELECT c_custkey AS request_id,
        CASE WHEN c_custkey % 41 = 0 THEN 'cams' ELSE 'merra2' END AS source,
        CASE WHEN c_custkey % 37 = 0 THEN 'FOO' WHEN c_custkey % 31 = 0 THEN 'OCEXTTAU' WHEN c_custkey % 3 = 0 THEN ' duaod '
             WHEN c_custkey % 3 = 1 THEN 'TOTEXTTAU' ELSE 'bcexttau' END AS variable,
-       CASE WHEN c_custkey % 29 = 0 THEN 'not-a-bbox' WHEN c_custkey % 23 = 0 THEN '0,10,10,5' WHEN c_custkey % 19 = 0 THEN '-190,0,10,10'
-            WHEN c_custkey % 17 = 0 THEN '180,-35,180,45' WHEN c_custkey % 13 = 0 THEN '1,1,2,2' WHEN c_custkey % 4 = 3 THEN '150,-40,-120,20'
+       CASE WHEN c_custkey % 29 = 0 THEN 'w;s;e;n' WHEN c_custkey % 23 = 0 THEN '20,35,50,15' WHEN c_custkey % 19 = 0 THEN '-190,0,10,10'
+            WHEN c_custkey % 17 = 0 THEN '180,-35,180,45' WHEN c_custkey % 13 = 0 THEN '7,3,11,9' WHEN c_custkey % 4 = 3 THEN '150,-40,-120,20'
             ELSE concat(CAST(-170 + 10 * (c_custkey % 25) AS VARCHAR(8)), ',-35,', CAST(-100 + 10 * (c_custkey % 25) AS VARCHAR(8)), ',45') END AS bbox,
        CASE WHEN c_custkey % 43 = 0 THEN '2023-05-01' WHEN c_custkey % 47 = 0 THEN '2024-01-20T00:00:00Z' WHEN c_custkey % 53 = 0 THEN 'soon'
             WHEN c_custkey % 59 = 0 THEN '2024-05-20' ELSE '2024-01-03T12:00:00Z' END AS t0,
@@ -67,7 +67,7 @@ FROM customer"""),
     "box_texts": ("customer", """
 SELECT c_custkey AS box_id,
        CASE c_custkey % 9 WHEN 0 THEN 'a,b,c,d' WHEN 1 THEN '0,10,10' WHEN 2 THEN '-181,0,10,10' WHEN 3 THEN '0,-91,10,10'
-            WHEN 4 THEN '0,10,10,5' WHEN 5 THEN '170,-40,-120,20' WHEN 6 THEN ' 1.5 , -2e1,3.25,+7 ' WHEN 7 THEN '1,2,3,4,5'
+            WHEN 4 THEN '20,35,50,15' WHEN 5 THEN '170,-40,-120,20' WHEN 6 THEN ' 1.5 , -2e1,3.25,+7 ' WHEN 7 THEN '1,2,3,4,5'
             ELSE concat(CAST(-170 + 10 * c_nationkey AS VARCHAR(8)), ',-35,', CAST(-100 + 10 * c_nationkey AS VARCHAR(8)), ',45.5') END AS bbox
 FROM customer"""),
     "time_texts": ("events", """

@@ -1,4 +1,4 @@
-"""A closed-form grid: two variables, two days, 19 by 37 places, 24 steps a day."""
+"""A closed-form grid: two variables, two days, 15 by 46 places, 24 steps a day."""
 
 from __future__ import annotations
 
@@ -7,14 +7,14 @@ import datetime as dt
 import numpy as np
 from pyspark.sql import functions as F
 
-DAYS = [dt.date(2026, 9, 1), dt.date(2026, 9, 2)]
-LATS = np.arange(-90.0, 91.0, 10.0)
-LONS = np.arange(-180.0, 181.0, 10.0)
+DAYS = [dt.date(2019, 3, 11), dt.date(2019, 3, 12)]
+LATS = np.arange(-84.0, 85.0, 12.0)
+LONS = np.arange(-180.0, 181.0, 8.0)
 
 
 def formula(t, iy, ix, day, offset):
     """t is the step within the day."""
-    return 0.01 * t + 0.001 * iy + 0.0001 * ix + 0.25 * day + offset
+    return 0.002 * t * t + 0.003 * iy * iy + 0.0007 * ix * iy + 0.4 * day + offset
 
 
 def cells(spark):
@@ -24,12 +24,12 @@ def cells(spark):
         (F.floor(F.col("id") / (n_lon * n_lat)) % 24).alias("t"), (F.floor(F.col("id") / (n_lon * n_lat * 24)) % 2).alias("d"),
         F.floor(F.col("id") / (n_lon * n_lat * 48)).alias("v"),
     )
-    value = 0.01 * F.col("t") + 0.001 * F.col("iy") + 0.0001 * F.col("ix") + 0.25 * F.col("d") + 0.5 * F.col("v")
-    start = F.lit("2026-09-01 00:30:00").cast("timestamp_ntz")
+    value = formula(*[F.col(c) for c in ("t", "iy", "ix", "d")], 0.8 * F.col("v"))
+    start = F.lit("2019-03-11 00:30:00").cast("timestamp_ntz")
     time = F.timestamp_add("HOUR", (F.col("d") * 24 + F.col("t")).cast("int"), start)
     return rows.select(
         F.when(F.col("v") == 0, "DUEXTTAU").otherwise("TOTEXTTAU").alias("variable"), F.to_date(time).alias("day"),
-        time.alias("time"), (F.col("iy") * 10.0 - 90).alias("lat"), (F.col("ix") * 10.0 - 180).alias("lon"),
+        time.alias("time"), (F.col("iy") * 12.0 - 84).alias("lat"), (F.col("ix") * 8.0 - 180).alias("lon"),
         value.alias("value"),
     )
 
@@ -37,11 +37,11 @@ def cells(spark):
 def array(variable: str) -> np.ndarray:
     """The same values as (step of 48, lat, lon)."""
     t, iy, ix = np.meshgrid(np.arange(48), np.arange(len(LATS)), np.arange(len(LONS)), indexing="ij")
-    return formula(t % 24, iy, ix, t // 24, 0.5 if variable == "TOTEXTTAU" else 0.0)
+    return formula(t % 24, iy, ix, t // 24, 0.8 if variable == "TOTEXTTAU" else 0.0)
 
 
 def times() -> list[dt.datetime]:
-    return [dt.datetime(2026, 9, 1, 0, 30) + dt.timedelta(hours=h) for h in range(48)]
+    return [dt.datetime(2019, 3, 11, 0, 30) + dt.timedelta(hours=h) for h in range(48)]
 
 
 def manifest(spark, days=DAYS):

@@ -5,8 +5,8 @@ import pytest
 from compare import compare, database
 
 import __spark_entry__ as contract
-
-QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
+from cellgrid.registry.oracles import ORACLES
+from cellgrid.registry.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -22,7 +22,8 @@ def test_query_agrees_with_sql(spark, con, name):
 
 
 def test_oracles_belong_to_queries():
-    assert set(ORACLES) <= set(QUERIES)
+    assert set(QUERIES) <= set(contract.queries()) and set(ORACLES) <= set(contract.oracle_sql())
+    assert set(contract.oracle_sql()) <= set(contract.queries())
     assert set(QUERIES) - set(ORACLES) == {"list_granules"}
 
 
