@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellgrid.operators.joins import salted_join
@@ -197,15 +197,17 @@ def span_tiles(size: int) -> Column:
 
 
 # --- positions and order ------------------------------------------------------------
-def slice_index(sliced: DataFrame, request: str = "request_id") -> DataFrame:
+def slice_index(frames: DataFrame, request: str = "request_id") -> DataFrame:
     """Position of every row and column within a slice: ``(request, axis, seg, coord, position)``.
 
-    Ranks the distinct coordinates of each request, a few hundred rows, never its cells.
+    ``frames`` are ``request_frames``: positions count all coordinates of the grid's own axes
+    inside the box, whether cells hold values there or not.
     """
-    lat = sliced.select(request, F.lit("lat").alias("axis"), F.lit(0).alias("seg"), F.col("lat").alias("coord"))
-    lon = sliced.select(request, F.lit("lon").alias("axis"), F.col("seg"), F.col("lon").alias("coord"))
-    order = Window.partitionBy(request, "axis").orderBy("seg", "coord")
-    return lat.unionByName(lon).distinct().withColumn("position", F.row_number().over(order) - 1)
+    lats = frames.select(request, F.lit("lat").alias("axis"), F.lit(0).alias("seg"), F.posexplode("lats").alias("position", "coord"))
+    lons = frames.select(request, F.lit("lon").alias("axis"), F.posexplode("lon_axis").alias("position", "at"))
+    return lats.select(request, "axis", "seg", "coord", "position").unionByName(
+        lons.select(request, "axis", F.col("at.seg").alias("seg"), F.col("at.lon").alias("coord"), "position")
+    )
 
 
 def ordered_cells(field: DataFrame, request: str = "request_id") -> DataFrame:

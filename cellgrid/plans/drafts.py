@@ -17,6 +17,7 @@ from cellgrid.functions.scalars import (
     box_error, canonical_variable, computed_once, iso_utc, micros, phrase_text, strip,
 )
 from cellgrid.operators.joins import lookup_join
+from cellgrid.operators.traffic import question_cache
 
 OPTIONAL = {"aggregation": "string", "colormap": "string", "mode": "string", "opacity": "double", "caption": "string", "error": "string"}
 DAY_MICROS = 86_400_000_000
@@ -318,3 +319,33 @@ def answer_plans(drafts: DataFrame, gazetteer: DataFrame, aliases: DataFrame) ->
         F.when(good, data_url()).alias("data_url"), F.when(good, legend_spec()).alias("legend"),
         F.when(good, auto_caption()).alias("caption"),
     )
+
+
+def answer_questions(
+    questions: DataFrame,
+    drafts: DataFrame,
+    gazetteer: DataFrame,
+    aliases: DataFrame,
+    events: DataFrame,
+    ref_date: dt.date,
+    asks_kind: Column | None = None,
+    safety_question: Column | None = None,
+) -> DataFrame:
+    """Questions ``(question_id, text, scope, ts, ok)`` with their drafts, to answers.
+
+    ``drafts`` hold the draft of each question under its id.  Adds ``cached`` (an earlier success
+    answers it), ``event_ids`` of the catalogue events that the question names, and the plan's
+    status, link, legend and caption.  A source that the draft leaves open is routed by time
+    and level, an open style follows the intent.  The keys of both sides are unique, so the
+    joins have no hot key.
+    """
+    asked = question_cache(questions).select("question_id", "key", F.col("hit").alias("cached"))
+    named = match_events(questions, events).groupBy("question_id").agg(F.sort_array(F.collect_set("event_id")).alias("event_ids"))
+    open_drafts = with_optional(drafts).withColumn("given_source", F.col("source"))
+    routed = route_source(apply_intent_defaults(open_drafts), ref_date, asks_kind)
+    routed = routed.withColumn("source", F.coalesce("given_source", "routed_source")).drop("given_source", "routed_source")
+    given = {c: F.col(c).alias(f"given_{c}") for c in ("colormap", "mode", "opacity")}
+    styled = style_for(routed.select("*", *given.values()), safety_question)
+    styled = styled.withColumns({c: F.coalesce(f"given_{c}", c) for c in given}).drop(*[f"given_{c}" for c in given])
+    answers = answer_plans(styled, gazetteer, aliases).withColumnRenamed("draft_id", "question_id")
+    return asked.join(named, "question_id", "left").join(answers, "question_id", "left")

@@ -49,6 +49,8 @@ oracle("granule_date", """SELECT event_id, CASE WHEN event_id % 11 = 0 OR event_
 oracle("read_manifest", "SELECT strftime(day, '%Y-%m-%d') AS day, ref_name FROM manifest", "manifest")
 oracle("pending_granules", """SELECT url, name AS ref_name FROM (SELECT url, 'MERRA2_400.tavg1_2d_aer_Nx.' || strftime(day, '%Y%m%d') || '.json' AS name FROM urls) u
 WHERE name NOT IN (SELECT ref_name FROM manifest)""", "manifest", also=[CALENDAR])
+oracle("build_index", """SELECT strftime(day, '%Y-%m-%d') AS day, name AS ref_name, name NOT IN (SELECT ref_name FROM manifest) AS built
+FROM (SELECT day, 'MERRA2_400.tavg1_2d_aer_Nx.' || strftime(day, '%Y%m%d') || '.json' AS name FROM urls) u""", "manifest", also=[CALENDAR])
 oracle("merge_manifest", """SELECT key, ref_name FROM (
   SELECT key, ref_name, row_number() OVER (PARTITION BY key ORDER BY rank DESC) AS rn FROM (
     SELECT CAST(day AS VARCHAR) AS key, ref_name, -1 AS rank FROM manifest
@@ -158,11 +160,13 @@ REQUEST_PARTS = checked("grid_requests") + GEOMETRY + [SELECTED]
 REQUEST_FIXTURES = ("grid_requests", "grid_obs", "manifest")
 oracle("slice_requests", f"SELECT CAST(request_id AS BIGINT) AS request_id, variable, {STAMP.format('time')} AS time, lat, lon, seg, round(value, 4) AS value FROM selected",
        *REQUEST_FIXTURES, also=REQUEST_PARTS)
-INDEX = """idx AS (SELECT request_id, axis, seg, coord, row_number() OVER (PARTITION BY request_id, axis ORDER BY seg, coord) - 1 AS position FROM (
-  SELECT DISTINCT request_id, 'lat' AS axis, 0 AS seg, lat AS coord FROM sliced UNION ALL SELECT DISTINCT request_id, 'lon', seg, lon FROM sliced))"""
-oracle("slice_index", "SELECT * FROM idx", "grid_obs", also=[SLICE, INDEX])
+INDEX = """idx AS (SELECT CAST(request_id AS BIGINT) AS request_id, 'lat' AS axis, 0 AS seg, lat AS coord, iy AS position FROM rlat
+  UNION ALL SELECT CAST(request_id AS BIGINT), 'lon', seg, lon, ix FROM rlon)"""
+INDEX_PARTS = checked("customer_requests") + GEOMETRY + [INDEX]
+INDEX_FIXTURES = ("customer_requests", "grid_obs", "manifest")
+oracle("slice_index", "SELECT * FROM idx", *INDEX_FIXTURES, also=INDEX_PARTS)
 oracle("ordered_cells", "SELECT request_id, lat, seg, lon, round(avg(value), 4) AS value FROM sliced GROUP BY 1, 2, 3, 4", "grid_obs", also=[SLICE])
-oracle("canvas_order", "SELECT request_id, coord AS lat, max(position) OVER (PARTITION BY request_id) - position AS y FROM idx WHERE axis = 'lat'", "grid_obs", also=[SLICE, INDEX])
+oracle("canvas_order", "SELECT request_id, coord AS lat, max(position) OVER (PARTITION BY request_id) - position AS y FROM idx WHERE axis = 'lat'", *INDEX_FIXTURES, also=INDEX_PARTS)
 
 # --- fields -------------------------------------------------------------------------
 DAILY = "daily AS (SELECT request_id, seg, lat, lon, avg(v) AS value FROM (SELECT request_id, seg, lat, lon, date_trunc('day', time) AS b, avg(value) AS v FROM sliced GROUP BY 1, 2, 3, 4, 5) GROUP BY 1, 2, 3, 4)"
@@ -193,12 +197,12 @@ oracle("normalize_range", "SELECT request_id, round(vmin, 6) AS vmin, round(vmid
        "grid_obs", also=[SLICE, DAILY] + range_sql("daily"))
 UNWRAPPED = """unwrapped AS (SELECT request_id, position, coord AS lon, coord + CASE WHEN seg = 1 AND has_left THEN 360 ELSE 0 END AS unwrapped
   FROM (SELECT *, bool_or(seg = 0) OVER (PARTITION BY request_id) AS has_left FROM idx WHERE axis = 'lon'))"""
-oracle("unwrap_lons", "SELECT * FROM unwrapped", "grid_obs", also=[SLICE, INDEX, UNWRAPPED])
+oracle("unwrap_lons", "SELECT * FROM unwrapped", *INDEX_FIXTURES, also=INDEX_PARTS + [UNWRAPPED])
 EXTENT = """extent AS (SELECT request_id, west, south, east, north FROM (SELECT request_id, min(unwrapped) AS west, max(unwrapped) AS east FROM unwrapped GROUP BY 1)
   JOIN (SELECT request_id, min(coord) AS south, max(coord) AS north FROM idx WHERE axis = 'lat' GROUP BY 1) USING (request_id))"""
-oracle("grid_extent", "SELECT * FROM extent", "grid_obs", also=[SLICE, INDEX, UNWRAPPED, EXTENT])
+oracle("grid_extent", "SELECT * FROM extent", *INDEX_FIXTURES, also=INDEX_PARTS + [UNWRAPPED, EXTENT])
 oracle("grid_corners", """SELECT request_id, CAST(0 AS BIGINT) AS corner, west AS lon, north AS lat FROM extent UNION ALL SELECT request_id, 1, east, north FROM extent
-UNION ALL SELECT request_id, 2, east, south FROM extent UNION ALL SELECT request_id, 3, west, south FROM extent""", "grid_obs", also=[SLICE, INDEX, UNWRAPPED, EXTENT])
+UNION ALL SELECT request_id, 2, east, south FROM extent UNION ALL SELECT request_id, 3, west, south FROM extent""", *INDEX_FIXTURES, also=INDEX_PARTS + [UNWRAPPED, EXTENT])
 
 
 def window_mean(name: str, condition: str) -> str:
@@ -336,6 +340,16 @@ CACHE = f"""cache AS (SELECT question_id, key, ok, coalesce(max(CASE WHEN ok THE
   FROM (SELECT *, {KEY} AS key FROM questions))"""
 oracle("question_cache", "SELECT question_id, key, hit FROM cache", "questions", also=[CACHE])
 oracle("cache_stats", "SELECT count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses, count(DISTINCT key) FILTER (ok) AS entries FROM cache", "questions", also=[CACHE])
+ASKED = """questions AS (SELECT question_id, text, 'all' AS scope, question_id % 13 <> 0 AS ok,
+  TIMESTAMP '2024-01-01' + to_minutes(CAST(question_id AS BIGINT)) AS ts FROM event_questions)"""
+ROUTED = DRAFTS.replace("* REPLACE (", "* REPLACE (CASE WHEN draft_id % 5 <> 0 THEN source WHEN level = 'surface' THEN 'cams' ELSE 'merra2' END AS source, ")
+oracle("answer_questions", f"""SELECT question_id, hit AS cached, coalesce(events, '') AS events, CAST(CASE WHEN problem IS NULL THEN 200 ELSE 422 END AS BIGINT) AS status, problem,
+  source, CASE WHEN intent = 'plume' THEN 'aod_sequential' ELSE 'aqi' END AS colormap,
+  CASE WHEN problem IS NULL THEN link END AS data_url, CASE WHEN problem IS NULL THEN caption END AS caption
+FROM cache LEFT JOIN (SELECT question_id, string_agg(event_id, ',' ORDER BY event_id) AS events FROM matches GROUP BY 1) USING (question_id)
+JOIN (SELECT *, draft_id AS question_id, {LINK} AS link, {CAPTION} AS caption,
+    CASE WHEN place_error IS NOT NULL THEN place_error ELSE {case_map('(' + VIOLATION + ')', VIOLATION_TEXT)} END AS problem FROM located) USING (question_id)""",
+       *PLACE_FIXTURES, "event_questions", also=[ROUTED, NAMES, LOCATED, ALIASES, MATCHES, ASKED, CACHE])
 
 # --- scalars ------------------------------------------------------------------------
 oracle("grid_value", "SELECT event_id, CASE WHEN event_id % 47 <> 0 THEN round(value / 97.31, 4) END AS value FROM events")

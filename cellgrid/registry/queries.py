@@ -122,6 +122,17 @@ def merge_manifest(spark, sf):
     return granules.merge_manifest(manifest, built)
 
 
+@query("build_index")
+def build_index(spark, sf):
+    folder = work_folder(spark, "index")
+    indexed = fixture(spark, sf, "manifest").select(F.col("day").cast("string").alias("key"), "ref_name")
+    granules.write_manifest(indexed, f"{folder}/old", COLLECTION, BASE)
+    built = granules.build_index(_calendar(spark, sf), f"{folder}/old", f"{folder}/new", COLLECTION, BASE)
+    index = granules.read_manifest(spark, f"{folder}/new")
+    marked = index.join(built.select("ref_name", F.lit(True).alias("built")), "ref_name", "left")
+    return marked.select(day_text("day").alias("day"), "ref_name", F.coalesce("built", F.lit(False)).alias("built"))
+
+
 def _reference_texts(spark: SparkSession, sf: str) -> DataFrame:
     """Reference JSON of each day; a day has one entry per chunk of the grid at most."""
     rows = fixture(spark, sf, "chunk_rows")
@@ -320,9 +331,17 @@ def granules_joined(frames: DataFrame, manifest: DataFrame) -> DataFrame:
     return requests.window_days(shape, manifest).join(manifest.select("day"), "day", "left_semi")
 
 
+def _index(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows and columns of every good request on its grid."""
+    good = requests.good_requests(requests.check_requests(fixture(spark, sf, "customer_requests"), TODAY))
+    axes = slicing.grid_axes(slicing.cell_axes(fixture(spark, sf, "grid_obs")))
+    index = slicing.slice_index(slicing.request_frames(good, axes))
+    return index.withColumn("request_id", F.col("request_id").cast("long"))
+
+
 @query("slice_index")
 def slice_index(spark, sf):
-    return slicing.slice_index(_slice(spark, sf)).select("request_id", "axis", "seg", "coord", F.col("position").cast("long").alias("position"))
+    return _index(spark, sf).select("request_id", "axis", "seg", "coord", F.col("position").cast("long").alias("position"))
 
 
 @query("ordered_cells")
@@ -332,7 +351,7 @@ def ordered_cells(spark, sf):
 
 @query("canvas_order")
 def canvas_order(spark, sf):
-    index = slicing.slice_index(_slice(spark, sf)).where(F.col("axis") == "lat")
+    index = _index(spark, sf).where(F.col("axis") == "lat")
     sizes = index.groupBy("request_id").agg((F.max("position") + 1).alias("ny"))
     return index.join(sizes, "request_id").select(
         "request_id", F.col("coord").alias("lat"), render.canvas_row("position", "ny").cast("long").alias("y")
@@ -382,18 +401,18 @@ def normalize_range(spark, sf):
 
 @query("unwrap_lons")
 def unwrap_lons(spark, sf):
-    axis = slicing.slice_index(_slice(spark, sf)).where(F.col("axis") == "lon").withColumnRenamed("coord", "lon")
+    axis = _index(spark, sf).where(F.col("axis") == "lon").withColumnRenamed("coord", "lon")
     return render.unwrap_lons(axis).select("request_id", F.col("position").cast("long").alias("position"), "lon", "unwrapped")
 
 
 @query("grid_extent")
 def grid_extent(spark, sf):
-    return render.grid_extent(slicing.slice_index(_slice(spark, sf)))
+    return render.grid_extent(_index(spark, sf))
 
 
 @query("grid_corners")
 def grid_corners(spark, sf):
-    return render.grid_corners(render.grid_extent(slicing.slice_index(_slice(spark, sf)))).withColumn("corner", F.col("corner").cast("long"))
+    return render.grid_corners(render.grid_extent(_index(spark, sf))).withColumn("corner", F.col("corner").cast("long"))
 
 
 @query("compare_windows")
@@ -571,6 +590,21 @@ def answer_plans(spark, sf):
     )
 
 
+@query("answer_questions")
+def answer_questions(spark, sf):
+    minutes = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, CAST(question_id AS INT), 0)")
+    asked = fixture(spark, sf, "event_questions").select(
+        "question_id", "text", F.lit("all").alias("scope"), minutes.alias("ts"), (F.col("question_id") % 13 != 0).alias("ok")
+    )
+    drafts = _drafts(spark, sf).withColumn("source", F.when(F.col("draft_id") % 5 != 0, F.col("source")))
+    out = plans.answer_questions(asked, drafts, *_places(spark, sf), dimensions.event_catalog(spark), REF_DATE)
+    return out.select(
+        "question_id", "cached", F.coalesce(F.array_join("event_ids", ","), F.lit("")).alias("events"),
+        F.col("status").cast("long").alias("status"), "problem", "source", F.col("style.colormap").alias("colormap"),
+        "data_url", "caption",
+    )
+
+
 # --- questions ----------------------------------------------------------------------
 @query("match_events")
 def match_events(spark, sf):

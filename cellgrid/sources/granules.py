@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,11 +69,19 @@ def reference_name(path: Column | str) -> Column:
 
 
 # --- manifest -----------------------------------------------------------------------
+ISO_KEY = r"^\d{4}-\d{2}-\d{2}$"
+
+
+def manifest_entries(texts: DataFrame, text: str = "value") -> DataFrame:
+    """``(key, ref_name)`` of manifest JSON texts."""
+    return texts.select(F.explode(F.from_json(text, MANIFEST_SCHEMA)["files"]).alias("key", "ref_name"))
+
+
 def manifest_rows(texts: DataFrame, text: str = "value") -> DataFrame:
     """``(day, ref_name)`` of manifest JSON texts; keys that are no ISO date are skipped."""
-    files = texts.select(F.explode(F.from_json(text, MANIFEST_SCHEMA)["files"]).alias("key", "ref_name"))
+    files = manifest_entries(texts, text)
     return (
-        files.withColumn("day", F.when(F.col("key").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.col("key").try_cast("date")))
+        files.withColumn("day", F.when(F.col("key").rlike(ISO_KEY), F.col("key").try_cast("date")))
         .where(F.col("day").isNotNull()).select("day", "ref_name")
     )
 
@@ -106,3 +115,47 @@ def merge_manifest(manifest: DataFrame, built: DataFrame) -> DataFrame:
     return old.unionByName(new).groupBy("key").agg(
         F.max_by("ref_name", F.struct("is_new", "position", "ref_name")).alias("ref_name")
     )
+
+
+def write_manifest(entries: DataFrame, path: str, collection: str, prefix: str) -> None:
+    """``(key, ref_name)`` as JSON ``{collection, prefix, files}`` under ``path``, replacing what is there.
+
+    One file per year of ISO keys, and 64 for all other keys, so that no file or task holds a
+    long index whole; ``read_manifest`` takes them together.
+    """
+    part = F.when(F.col("key").rlike(ISO_KEY), F.substring("key", 1, 4)).otherwise(
+        F.concat(F.lit("other-"), F.pmod(F.hash("key"), F.lit(64)).cast("string"))
+    )
+    files = F.map_from_entries(F.collect_list(F.struct("key", "ref_name"))).alias("files")
+    texts = entries.groupBy(part.alias("part")).agg(files).select(
+        "part", F.to_json(F.struct(F.lit(collection).alias("collection"), F.lit(prefix).alias("prefix"), "files")).alias("value")
+    )
+    texts.write.mode("overwrite").partitionBy("part").text(path)
+
+
+def build_index(
+    candidates: DataFrame,
+    old_path: str | None,
+    new_path: str,
+    collection: str,
+    prefix: str,
+    build: Callable[[DataFrame], None] | None = None,
+) -> DataFrame:
+    """One resumable step of an index: returns the ``(url, ref_name)`` that had to be built.
+
+    Candidates ``(url)`` without a reference file in the manifest at ``old_path`` go to ``build``,
+    which writes their reference files; then all candidates are merged into the manifest and
+    it is written to ``new_path``, another folder, so that a run that fails leaves the old
+    one as it was.
+    """
+    spark = candidates.sparkSession
+    if old_path is None:
+        old = spark.createDataFrame([], "key STRING, ref_name STRING")
+    else:
+        old = manifest_entries(spark.read.text(old_path, wholetext=True))
+    pending = pending_granules(candidates.select("url").distinct(), old)
+    if build is not None:
+        build(pending)
+    named = candidates.select("url", reference_name("url").alias("ref_name"), F.lit(0).alias("position"))
+    write_manifest(merge_manifest(old, named), new_path, collection, prefix)
+    return pending

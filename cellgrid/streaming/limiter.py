@@ -148,6 +148,9 @@ def rate_limit_stream(
     so state follows the number of active clients without evicting any.  The rows of one
     client in one micro-batch are sorted together: bound the micro-batch at the source
     (files or offsets per trigger) where a client may send very many.
+
+    Rows may arrive out of order within ``lateness``.  Later ones get no decision; the query's
+    progress counts them (``numRowsDroppedByWatermark``), so alert on it or allow more lateness.
     """
     check_limit(limit)
     window_us = round(window_s * MICROS)
