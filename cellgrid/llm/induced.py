@@ -14,7 +14,7 @@ def suffix_array(text: np.ndarray, symbols: int) -> np.ndarray:
     n = len(text)
     if n < 2:
         return np.arange(n)
-    text = text.astype(np.int64, copy=False)
+    text = text.astype(np.int32, copy=False)
     small = _is_smaller(text)
     leftmost = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     sorted_once = _induce(text, symbols, small, leftmost)
@@ -35,7 +35,7 @@ def _is_smaller(text: np.ndarray) -> np.ndarray:
     step = np.empty(n, np.int8)
     step[:-1] = np.sign(text[1:] - text[:-1])
     step[-1] = -1
-    where = np.where(step != 0, np.arange(n), n)
+    where = np.where(step != 0, np.arange(n, dtype=np.int32), np.int32(n))
     nearest = np.minimum.accumulate(where[::-1])[::-1]
     return step[nearest] > 0
 
@@ -66,7 +66,7 @@ def _induce(text: np.ndarray, symbols: int, small: np.ndarray, leftmost: np.ndar
     """All suffixes from the leftmost-smaller ones, given in their order."""
     n = len(text)
     heads = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=symbols))])
-    found = np.full(n, -1)
+    found = np.full(n, -1, np.int32)
     _put_last(found, text, leftmost[::-1], heads[1:].copy())
     _larger(found, text, symbols, small, heads)
     # keep the larger suffixes only; the smaller ones are induced anew from them

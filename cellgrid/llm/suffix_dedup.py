@@ -3,13 +3,14 @@
 A string of ``length`` bytes holds ``length - GRAM + 1`` grams.  Its anchor is the gram with the
 smallest hash, so equal strings have equal anchors at equal places.  Neighbouring strings
 with one anchor form a segment; strings can only repeat between segments of one anchor.
-Segments whose anchor occurs again are dealt out by anchor, and each shard of them is decided
-by its suffix array and common prefixes.
+Segments whose anchor occurs again are dealt out by anchor.  In each shard, strings whose hash
+occurs once are left out, and the rest is decided by suffix array and common prefixes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -21,10 +22,10 @@ from pyspark.sql import functions as F
 from cellgrid.llm.common import map_batches, stored, texts
 from cellgrid.llm.induced import permuted_prefixes, suffix_array
 
-GRAM = 32
+GRAM = 64
 BLOCK = 1 << 22  # bytes of a text that are hashed at a time
-SHARD = 1 << 20  # bytes of a suffix array
-HOT_BYTES = 1 << 24  # distinct bytes of one anchor beyond which its strings are dealt out singly
+SHARD = 1 << 19  # bytes of contents that are decided together
+HOT_BYTES = 1 << 20  # distinct bytes of one anchor beyond which its strings are dealt out singly
 ODD = 0x9E3779B97F4A7C15
 INVERSE = pow(ODD, -1, 1 << 64)
 BREAK = 0xFF  # never a byte of UTF-8
@@ -54,17 +55,24 @@ class Anchors:
             parts.append((anchor, start + at, size))
         return tuple(np.concatenate(column) for column in zip(*parts))
 
-    def _block(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def hashes(self, data: np.ndarray, width: int) -> np.ndarray:
+        """The hash of every ``width`` neighbouring bytes."""
         n = len(data)
+        if n < width:
+            return np.zeros(0, np.uint64)
         if len(self.up) < n:
-            size = min(self.block, max(n, 2 * len(self.up)))
+            size = max(n, min(self.block, 2 * len(self.up)))
             self.up, self.down = _powers(ODD, size), _powers(INVERSE, size)
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(self.values[data] * self.up[:n], out=total[1:])
-        grams = (total[GRAM:] - total[:-GRAM]) * self.down[: n - GRAM + 1]
-        grams ^= grams >> np.uint64(29)
-        grams *= np.uint64(0xBF58476D1CE4E5B9)
-        grams ^= grams >> np.uint64(32)
+        found = (total[width:] - total[:-width]) * self.down[: n - width + 1]
+        found ^= found >> np.uint64(29)
+        found *= np.uint64(0xBF58476D1CE4E5B9)
+        found ^= found >> np.uint64(32)
+        return found
+
+    def _block(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        grams = self.hashes(data, GRAM)
         keyed = grams & ~np.uint64(0xFFFFFF) | np.arange(len(grams), dtype=np.uint64)
         least = _window_minimum(keyed, self.length - GRAM + 1)
         first = np.flatnonzero(np.diff(least, prepend=~least[:1]))
@@ -107,20 +115,23 @@ def _segments(rows: DataFrame, length: int) -> DataFrame:
         columns = {c: np.repeat(batch.column(c).to_numpy(zero_copy_only=False), each) for c in ("k1", "k2")}
         return columns | {c: np.concatenate(x) for c, x in zip(("anchor", "start", "size"), zip(*found))}
 
-    return map_batches(rows, run, "k1 long, k2 long, anchor long, start long, size long")
+    return map_batches(rows, run, "k1 long, k2 long, anchor long, start long, size long", sliced=True)
 
 
 def _contents(joined: DataFrame) -> DataFrame:
-    """One row per anchor and content of a batch, with the places where the batch has it."""
+    """One row per anchor and content of a few texts, with the places where they have it."""
 
     def run(batch: pa.RecordBatch) -> dict[str, list]:
         made: dict[tuple[int, bytes], list] = {}
-        segments = batch.column("segments").to_pylist()
-        for k1, k2, data, found in zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), _bytes(batch), segments):
-            for s in found:
-                content = data[s["start"] : s["start"] + s["size"]]
-                key = s["anchor"], xxhash.xxh3_128_digest(content)
-                made.setdefault(key, [content, []])[1].append((k1, k2, s["start"]))
+        segments = batch.column("segments")
+        each = segments.value_lengths().to_pylist()
+        flat = segments.flatten()
+        of = zip(*(flat.field(c).to_pylist() for c in ("anchor", "start", "size")))
+        for k1, k2, data, n in zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), _bytes(batch), each):
+            for anchor, start, size in islice(of, n):
+                content = data[start : start + size]
+                key = anchor, xxhash.xxh3_128_digest(content)
+                made.setdefault(key, [content, []])[1].append((k1, k2, start))
         return {
             "anchor": [k[0] for k in made],
             "digest": [k[1] for k in made],
@@ -130,22 +141,38 @@ def _contents(joined: DataFrame) -> DataFrame:
         }
 
     schema = "anchor long, digest binary, content binary, n long, places array<struct<k1: long, k2: long, start: long>>"
-    return map_batches(joined, run, schema)
+    return map_batches(joined, run, schema, sliced=True)
 
 
-def repeated_starts(contents: list[bytes], length: int) -> list[np.ndarray]:
-    """For each content the starts of strings that occur again in it or in another of them."""
+def repeated_starts(contents: list[bytes], length: int, anchors: Anchors | None = None) -> list[np.ndarray]:
+    """For each content the starts of strings that occur again in it or in another of them.
+
+    Stretches without a string whose hash occurs twice cannot repeat; the others are sorted.
+    """
     data = np.frombuffer(b"".join(x + bytes([BREAK]) for x in contents), np.uint8)
-    order = suffix_array(data, 256)
-    long = permuted_prefixes(data, order)[order] >= length
-    long[:-1] |= long[1:]
-    again = np.zeros(len(data), bool)
-    again[order] = long
-    out, at = [], 0
-    for content in contents:
-        out.append(np.flatnonzero(again[at : at + max(len(content) - length + 1, 0)]))
-        at += len(content) + 1
-    return out
+    first = np.cumsum([0, *(len(x) + 1 for x in contents)])
+    starts = np.concatenate([np.arange(a, max(a, b - length)) for a, b in zip(first[:-1], first[1:])])
+    hashes = (anchors or Anchors(max(length, GRAM))).hashes(data, length)[starts]
+    order = np.argsort(hashes)
+    equal = np.diff(hashes[order]) == 0
+    twice = np.zeros(len(starts), bool)
+    twice[order[1:][equal]] = twice[order[:-1][equal]] = True
+    open_starts = starts[twice]
+    found = np.zeros(len(data), bool)
+    if len(open_starts):
+        cut = np.flatnonzero(np.diff(open_starts, prepend=-2) > 1)
+        low, high = open_starts[cut], np.append(open_starts[cut[1:] - 1], open_starts[-1]) + length
+        text = np.concatenate([part for a, b in zip(low, high) for part in (data[a:b], [BREAK])]).astype(np.uint8)
+        sizes = high - low + 1
+        place = np.repeat(low - np.cumsum(sizes) + sizes, sizes) + np.arange(len(text))
+        strings = np.arange(len(text)) + length <= np.repeat(np.cumsum(sizes) - 1, sizes)
+        ranks = suffix_array(text, 256)
+        long = permuted_prefixes(text, ranks)[ranks] >= length
+        long[:-1] |= long[1:]
+        again = np.zeros(len(text), bool)
+        again[ranks] = long
+        found[place[again & strings]] = True
+    return [np.flatnonzero(found[a:b]) for a, b in zip(first[:-1], first[1:])]
 
 
 def _runs(starts: np.ndarray, length: int) -> list[dict[str, int]]:
@@ -168,25 +195,26 @@ def _sorted_shards(contents: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shard: dict[tuple[int, bytes], list] = {}
         size, last = 0, None
+        anchors = Anchors(length, 4 * SHARD)
         for batch in batches:
             for anchor, digest, content, n in batch.itertuples(index=False):
                 if anchor != last and size >= SHARD:
-                    yield decided(shard)
+                    yield decided(shard, anchors)
                     shard, size = {}, 0
                 last = anchor
                 seen = shard.setdefault((anchor, bytes(digest)), [bytes(content), 0])
                 size += 0 if seen[1] else len(content)
                 seen[1] += n
         if shard:
-            yield decided(shard)
+            yield decided(shard, anchors)
 
-    def decided(shard: dict[tuple[int, bytes], list]) -> pd.DataFrame:
+    def decided(shard: dict[tuple[int, bytes], list], anchors: Anchors) -> pd.DataFrame:
         kinds: dict[int, int] = {}
         for anchor, _ in shard:
             kinds[anchor] = kinds.get(anchor, 0) + 1
         # a content that is alone with its anchor repeats as a whole: its anchor occurs again
         open_keys = [k for k in shard if kinds[k[0]] > 1]
-        starts = dict(zip(open_keys, repeated_starts([shard[k][0] for k in open_keys], length))) if open_keys else {}
+        starts = dict(zip(open_keys, repeated_starts([shard[k][0] for k in open_keys], length, anchors))) if open_keys else {}
         runs = [
             [{"start": 0, "end": len(content)}] if n > 1 else _runs(starts.get(key, np.zeros(0, np.int64)), length)
             for key, (content, n) in shard.items()
