@@ -17,6 +17,7 @@ LEAST, MOST = 16, 256  # bytes of a chunk
 MIN_BYTES = 128  # of neighbouring repeated chunks that are removed
 GEAR = np.random.default_rng(7).integers(0, 1 << 32, 256, np.uint32)
 BLOCK = 1 << 22
+SIZE_BITS = 9  # a chunk's start and size share one number, for every row of them is shuffled
 
 
 def gear_hashes(data: np.ndarray) -> np.ndarray:
@@ -80,22 +81,28 @@ def _repeated(rows: DataFrame) -> DataFrame:
 
 def _places(rows: DataFrame) -> DataFrame:
     def run(batch: pa.RecordBatch) -> dict[str, list]:
-        columns: dict[str, list] = {c: [] for c in ("digest", "k1", "k2", "start", "end")}
+        columns: dict[str, list] = {c: [] for c in ("digest", "k1", "k2", "chunk")}
         for k1, k2, text in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "text"))):
-            found = _chunks(text)
-            for name, values in zip(("digest", "start", "end"), found):
-                columns[name] += values
-            columns["k1"] += [k1] * len(found[0])
-            columns["k2"] += [k2] * len(found[0])
+            digests, starts, ends = _chunks(text)
+            columns["digest"] += digests
+            columns["chunk"] += [(a << SIZE_BITS) + b - a for a, b in zip(starts, ends)]
+            columns["k1"] += [k1] * len(digests)
+            columns["k2"] += [k2] * len(digests)
         return columns
 
-    return map_batches(rows, run, "digest long, k1 long, k2 long, start long, end long", sliced=True)
+    return map_batches(rows, run, "digest long, k1 long, k2 long, chunk long", sliced=True)
 
 
-def _runs(later: list[dict[str, int]] | None, least: int) -> list[list[int]]:
+def _size(chunk: int) -> int:
+    return chunk & ((1 << SIZE_BITS) - 1)
+
+
+def _runs(later: list[int] | None, least: int) -> list[list[int]]:
     """Neighbouring chunks as runs of at least ``least`` bytes."""
     runs: list[list[int]] = []
-    for start, end in sorted((c["start"], c["end"]) for c in later or ()):
+    for chunk in sorted(later or ()):
+        start = chunk >> SIZE_BITS
+        end = start + _size(chunk)
         if runs and runs[-1][1] == start:
             runs[-1][1] = end
         else:
@@ -116,10 +123,9 @@ def remove_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, id_col: str = "d
     rows = keyed(docs, id_col, text_col)
     texts_only = rows.select("k1", "k2", "text")
     found = _places(texts_only).join(_repeated(rows), "digest")
-    first = found.groupBy("digest").agg(F.min(F.struct("k1", "k2", "start")).alias("first"))
-    later = found.join(first, "digest").where(F.struct("k1", "k2", "start") != F.col("first"))
-    chunk = F.struct("start", "end").alias("chunk")
-    by_text = later.groupBy("k1", "k2").agg(F.collect_set(chunk).alias("later"))
+    first = found.groupBy("digest").agg(F.min(F.struct("k1", "k2", "chunk")).alias("first"))
+    later = found.join(first, "digest").where(F.struct("k1", "k2", "chunk") != F.col("first"))
+    by_text = later.groupBy("k1", "k2").agg(F.collect_set("chunk").alias("later"))
     marked = rows.join(by_text, ["k1", "k2"], "left").select("doc_id", "text", "later")
 
     def run(batch: pa.RecordBatch) -> dict[str, list]:
@@ -129,7 +135,7 @@ def remove_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, id_col: str = "d
             runs = _runs(later, min_bytes)
             borders = [0, *(x for run in runs for x in run), len(data)]
             kept = b"".join(data[a:b] for a, b in zip(borders[::2], borders[1::2]))
-            row = (len(data), sum(c["end"] - c["start"] for c in later or ()), len(data) - len(kept), len(runs), kept.decode(),
+            row = (len(data), sum(map(_size, later or ())), len(data) - len(kept), len(runs), kept.decode(),
                    [{"start": a, "end": b} for a, b in runs])
             for name, value in zip(columns, row):
                 columns[name].append(value)
