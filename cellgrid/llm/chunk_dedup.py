@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellgrid.llm.common import map_batches
+from cellgrid.llm.common import map_batches, stored
 from cellgrid.llm.decontaminate import keyed
 
 WINDOW = 32  # bytes that decide about a cut
@@ -122,7 +122,7 @@ def remove_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, id_col: str = "d
     """
     rows = keyed(docs, id_col, text_col)
     texts_only = rows.select("k1", "k2", "text")
-    found = _places(texts_only).join(_repeated(rows), "digest")
+    found = stored(_places(texts_only).join(_repeated(rows), "digest"), "chunk-dedup")
     first = found.groupBy("digest").agg(F.min(F.struct("k1", "k2", "chunk")).alias("first"))
     later = found.join(first, "digest").where(F.struct("k1", "k2", "chunk") != F.col("first"))
     by_text = later.groupBy("k1", "k2").agg(F.collect_set("chunk").alias("later"))
