@@ -14,11 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellgrid.llm.common import map_batches, stored, texts
-from cellgrid.operators.joins import lookup_join
+from cellgrid.operators.joins import lookup_join, row_bound
 
 ORDER = 5
 START, END = "\x02", "\x03"
-SLOTS = 1 << 22  # of the table that is sent to the executors: 2 x 8 MB, whatever the input
+BROADCAST_GRAMS = 4_000_000  # grams and contexts whose ratios are sent to the executors, 12 bytes each; more are joined
 WORD = re.compile(r"[^\W\d_]+")
 CACHED_WORDS = 1 << 18
 TOP = (2, 6, 12)  # so many most toxic words are averaged
@@ -60,13 +60,17 @@ def _word_counts(rows: DataFrame) -> DataFrame:
     return counted.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
-def _grams(words: DataFrame) -> DataFrame:
-    """Counts of each character with up to four before it, the word's borders included."""
+def _spelled(words: DataFrame) -> DataFrame:
+    """``words`` with one row for each ``gram`` of each word."""
     spelled = F.concat(F.lit(START), "word", F.lit(END))
     ends = F.sequence(F.lit(2), F.length("word") + 2)
     gram = F.transform(ends, lambda i: F.substring("spelled", F.greatest(i - (ORDER - 1), F.lit(1)), F.least(i, F.lit(ORDER))))
-    each = words.withColumn("spelled", spelled).select(F.explode(gram).alias("gram"), "toxic", "ordinary")
-    return each.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    return words.withColumn("spelled", spelled).select(F.explode(gram).alias("gram"), *words.columns)
+
+
+def _grams(words: DataFrame) -> DataFrame:
+    """Counts of each character with up to four before it, the word's borders included."""
+    return _spelled(words).groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
 def _shared_backoff(grams: DataFrame, discount: float) -> DataFrame:
@@ -137,72 +141,144 @@ def log_ratios(grams: DataFrame, discount: float) -> DataFrame:
 
 @dataclass
 class SpellingModel:
-    """Log ratios by hashed gram and by hashed context; nan where there is none."""
+    """Log ratios by gram and by context, and the weights of what they make of a text.
+
+    Up to ``BROADCAST_GRAMS`` of both, ``tables`` holds for each kind the sorted 64-bit hashes and
+    their ratios; beyond, ``ratios`` keeps them in Spark.
+    """
 
-    tables: np.ndarray
+    tables: list[tuple[np.ndarray, np.ndarray]] | None
+    ratios: DataFrame | None = None
     weights: np.ndarray = field(default_factory=lambda: np.zeros(2 + len(TOP)))
     _words: dict[str, float] = field(default_factory=dict)
 
-    def word(self, word: str) -> float:
-        """Log-likelihood ratio of a word's spelling per character."""
-        known = self._words.get(word)
-        if known is None:
-            spelled, total = START + word + END, 0.0
-            for end in range(2, len(spelled) + 1):
-                gram = spelled[max(0, end - ORDER) : end]
-                ratio = self._look(0, gram)
-                if ratio != ratio:
-                    ratio = self._look(1, gram[:-1])
-                if ratio == ratio:
-                    total += ratio
-            if len(self._words) >= CACHED_WORDS:
-                self._words.clear()
-            self._words[word] = known = total / (len(word) + 1)
-        return known
-
-    def _look(self, kind: int, gram: str) -> float:
-        slot = xxhash.xxh64_intdigest(gram.encode("utf-8", "surrogatepass"), 42) & (SLOTS - 1)
-        return float(self.tables[kind, slot])
+    def words(self, words: list[str]) -> np.ndarray:
+        """Log-likelihood ratio of each word's spelling per character."""
+        missing = set(words).difference(self._words)
+        if missing and len(self._words) + len(missing) > CACHED_WORDS:
+            self._words.clear()
+            missing = set(words)
+        if missing:
+            grams, sizes = [], []
+            for word in missing:
+                spelled = START + word + END
+                grams += [spelled[max(0, end - ORDER) : end] for end in range(2, len(spelled) + 1)]
+                sizes.append(len(word) + 1)
+            ratios = self._look(0, grams)
+            unseen = np.flatnonzero(np.isnan(ratios))
+            ratios[unseen] = np.nan_to_num(self._look(1, [grams[k][:-1] for k in unseen]))
+            totals = np.add.reduceat(ratios, np.cumsum([0, *sizes[:-1]]))
+            self._words.update(zip(missing, (totals / sizes).tolist()))
+        return np.fromiter(map(self._words.__getitem__, words), np.float64, len(words))
+
+    def _look(self, kind: int, grams: list[str]) -> np.ndarray:
+        """Ratios of the grams; nan where there is none."""
+        keys, ratios = self.tables[kind]
+        if not len(keys) or not grams:
+            return np.full(len(grams), np.nan)
+        digests = b"".join([xxhash.xxh64_digest(gram.encode("utf-8", "surrogatepass"), 42) for gram in grams])
+        hashed = np.frombuffer(digests, ">i8").astype(np.int64)
+        at = np.minimum(np.searchsorted(keys, hashed), len(keys) - 1)
+        return np.where(keys[at] == hashed, ratios[at], np.nan).astype(np.float64)
 
     def features(self, text: str) -> list[float]:
         """Ratio per character of the whole text, and of its most toxic words on average."""
         words = WORD.findall(text.lower())
-        if not words:
-            return [0.0] * (1 + len(TOP))
-        ratios = np.fromiter(map(self.word, words), np.float64, len(words))
-        sizes = np.fromiter(map(len, words), np.float64, len(words)) + 1
-        whole = (ratios * sizes).sum() / sizes.sum()
-        top = np.zeros(TOP[-1])
-        most = ratios if len(ratios) <= TOP[-1] else np.partition(ratios, -TOP[-1])[-TOP[-1] :]
-        top[: len(most)] = np.sort(most)[::-1]
-        return [float(whole), *(float(top[:k].mean()) for k in TOP)]
+        return _summary(self.words(words), np.fromiter(map(len, words), np.float64, len(words)) + 1)
 
     def score(self, features: list[float]) -> float:
         z = self.weights[0] + float(np.dot(self.weights[1:], features))
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def _tables(ratios: DataFrame) -> np.ndarray:
-    """Ratios by slot; grams that share one are averaged by their counts.
-
-    At most ``2 * SLOTS`` numbers reach the driver whatever the input.
-    """
-    slot = F.xxhash64("key").bitwiseAND(F.lit(SLOTS - 1)).cast("int").alias("slot")
-    mean = (F.sum(F.col("ratio") * F.col("weight")) / F.sum("weight")).cast("float").alias("ratio")
-    found = ratios.groupBy("kind", slot).agg(mean).toArrow()
-    tables = np.full((2, SLOTS), np.nan, np.float16)
-    tables[found["kind"].to_numpy(), found["slot"].to_numpy()] = found["ratio"].to_numpy()
-    return tables
+def _summary(ratios: np.ndarray, sizes: np.ndarray) -> list[float]:
+    """Features of a text from the ratio and the size of each of its words."""
+    if not len(ratios):
+        return [0.0] * (1 + len(TOP))
+    whole = (ratios * sizes).sum() / sizes.sum()
+    top = np.zeros(TOP[-1])
+    most = ratios if len(ratios) <= TOP[-1] else np.partition(ratios, -TOP[-1])[-TOP[-1] :]
+    top[: len(most)] = np.sort(most)[::-1]
+    return [float(whole), *(float(top[:k].mean()) for k in TOP)]
+
+
+def _model(ratios: DataFrame) -> SpellingModel:
+    """At most ``BROADCAST_GRAMS`` ratios reach the driver; where there are more, none does."""
+    ratios = stored(ratios, "toxicity")
+    if not row_bound(ratios, BROADCAST_GRAMS):
+        return SpellingModel(None, ratios)
+    found = ratios.select("kind", F.xxhash64("key").alias("key"), F.col("ratio").cast("float").alias("ratio")).toArrow()
+    kinds, keys, values = (found[c].to_numpy() for c in ("kind", "key", "ratio"))
+    tables = []
+    for kind in (0, 1):
+        own = np.flatnonzero(kinds == kind)
+        own = own[np.argsort(keys[own])]
+        tables.append((keys[own], values[own]))
+    return SpellingModel(tables)
 
 
 def _features(rows: DataFrame, model: SpellingModel) -> DataFrame:
+    """``rows`` with ``features`` in place of ``text``."""
+    keep = [c for c in rows.columns if c != "text"]
+    schema = ", ".join(f"{c} {kind}" for c, kind in rows.drop("text").dtypes)
+    if model.tables is None:
+        return _joined_features(rows, keep, schema, model.ratios)
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> dict[str, list]:
         found = [shared.value.features(text) for text in batch.column("text").to_pylist()]
-        return {"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "features": found}
+        return {c: batch.column(c) for c in keep} | {"features": found}
+
+    return map_batches(rows, run, f"{schema}, features array<double>")
+
+
+def _joined_features(rows: DataFrame, keep: list[str], schema: str, ratios: DataFrame) -> DataFrame:
+    """The same by joins: each distinct word takes the ratios of its grams, each text those of its words.
+
+    Rows that agree in all columns are worked out once and repeated.
+    """
+
+    def count(batch: pa.RecordBatch) -> dict[str, list]:
+        words, sizes, at = [], [], []
+        for k, text in enumerate(batch.column("text").to_pylist()):
+            found = Counter(WORD.findall(text.lower()))
+            words += ["", *found]  # the empty word stands for the row itself
+            sizes += [1, *found.values()]
+            at += [k] * (1 + len(found))
+        return {c: batch.column(c).take(pa.array(at, pa.int64())) for c in (*keep, "text_key")} | {"word": words, "n": sizes}
+
+    keyed = rows.withColumn("text_key", F.xxhash64("text"))
+    each = map_batches(keyed, count, f"{schema}, text_key long, word string, n long", sliced=True)
+    words = each.select("word").where("word != ''").distinct()
+    own = ratios.where("kind = 0").select(F.col("key").alias("gram"), F.col("ratio").alias("own"))
+    rest = ratios.where("kind = 1").select(F.col("key").alias("head"), F.col("ratio").alias("rest"))
+    grams = lookup_join(_spelled(words), own, ["gram"], "left").withColumn("head", _head())
+    grams = lookup_join(grams, rest, ["head"], "left")
+    total = F.sum(F.coalesce("own", "rest", F.lit(0.0)))
+    by_word = stored(grams.groupBy("word").agg((total / (F.length("word") + 1)).alias("ratio")), "toxicity")
+    met = lookup_join(each, by_word, ["word"], "left")
+    found = met.groupBy(*keep, "text_key").agg(
+        F.count_if(F.col("word") == "").alias("copies"),
+        F.collect_set(F.when(F.col("word") != "", F.struct("word", "ratio", "n"))).alias("found"),
+    )
+    found = found.select(*keep, F.explode(F.array_repeat("found", F.col("copies").cast("int"))).alias("found"))
+    found = found.select(*keep, *[F.col(f"found.{c}").alias(c) for c in ("ratio", "n")], F.transform("found.word", F.length).alias("size"))
+
+    def run(batch: pa.RecordBatch) -> dict[str, list]:
+        made = []
+        for ratio, n, size in zip(*(batch.column(c).to_pylist() for c in ("ratio", "n", "size"))):
+            made.append(_summary(np.repeat(np.array(ratio, float), n), np.repeat(np.array(size, float) + 1, n)))
+        return {c: batch.column(c) for c in keep} | {"features": made}
+
+    return map_batches(found, run, f"{schema}, features array<double>")
+
 
-    return map_batches(rows.select("doc_id", "text", "toxic"), run, "doc_id long, toxic boolean, features array<double>")
+def _score(model: SpellingModel) -> Column:
+    """``SpellingModel.score`` of the column ``features``."""
+    z = F.lit(float(model.weights[0]))
+    for k, weight in enumerate(model.weights[1:]):
+        z = z + F.lit(float(weight)) * F.get("features", F.lit(k))
+    return 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-40.0)), F.lit(40.0))))
 
 
 def _fitted(x: np.ndarray, toxic: np.ndarray, penalty: float = 1e-4) -> np.ndarray:
@@ -226,8 +302,8 @@ def train(rows: DataFrame, discount: float = 0.75) -> SpellingModel:
     ``CALIBRATION_ROWS`` give the weights.  Without any rows the model is indifferent.
     """
     grams = stored(_grams(_word_counts(rows.where("not calibrates"))), "toxicity")
-    model = SpellingModel(_tables(log_ratios(grams, discount)))
-    found = _features(rows.where("calibrates"), model)
+    model = _model(log_ratios(grams, discount))
+    found = _features(rows.where("calibrates").select("doc_id", "text", "toxic"), model)
     sample = found.orderBy(F.xxhash64("doc_id"), "doc_id", "features").limit(CALIBRATION_ROWS).collect()
     x = np.array([r.features for r in sample]).reshape(-1, 1 + len(TOP))
     model.weights = _fitted(x, np.array([float(r.toxic) for r in sample]))
@@ -240,14 +316,7 @@ def score(docs: DataFrame, model: SpellingModel, threshold: float = 0.3, id_col:
     A null, empty or wordless text has features zero and the score the model gives them.  Equal
     rows get equal scores; a row with a null id is not held out.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batch: pa.RecordBatch) -> dict[str, list]:
-        model = shared.value
-        found = [model.score(model.features(text)) for text in batch.column("text").to_pylist()]
-        return {"doc_id": batch.column("doc_id"), "score": found}
-
-    scored = map_batches(texts(docs, id_col, text_col), run, "doc_id long, score double")
+    scored = _features(texts(docs, id_col, text_col), model).select("doc_id", _score(model).alias("score"))
     held_out = F.coalesce(remainder(F.col("doc_id")) == 2, F.lit(False))
     return scored.select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
@@ -256,6 +325,8 @@ def score(docs: DataFrame, model: SpellingModel, threshold: float = 0.3, id_col:
 
 def ordinary_only(docs: DataFrame, model: SpellingModel, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose text scores ``threshold`` or more; all columns stay."""
+    if model.tables is None:
+        return _ordinary_joined(docs, model, threshold, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
@@ -264,3 +335,13 @@ def ordinary_only(docs: DataFrame, model: SpellingModel, threshold: float = 0.3,
         return text.fillna("").map(lambda x: model.score(model.features(x)) < threshold).astype(bool)
 
     return docs.where(is_ordinary(F.col(text_col).cast("string")))
+
+
+def _ordinary_joined(docs: DataFrame, model: SpellingModel, threshold: float, text_col: str) -> DataFrame:
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    k1, k2 = F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")
+    scored = _features(docs.select(k1, k2, text.alias("text")), model)
+    toxic = stored(scored.where(_score(model) >= threshold).select("k1", "k2").distinct(), "toxicity")
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    marked = lookup_join(docs.select(row, k1, k2), toxic.withColumn("found", F.lit(True)), ["k1", "k2"], "left")
+    return marked.where("found is null").select("row.*")

@@ -237,6 +237,50 @@ def test_toxic_words_are_learned_and_nothing_else_counts(spark, no_docs):
     assert {r.score for r in toxicity.score(docs, nothing).collect()} == {0.5}
 
 
+def labelled(spark, rng, n):
+    """Documents of invented words, every fourth with a toxic one, and their labels."""
+    words = ["".join(rng.choice(string.ascii_lowercase) for _ in range(rng.randrange(3, 9))) for _ in range(300)]
+    rows = [(k, " ".join([*rng.choices(words, k=12), *(["grumbly"] if k % 4 == 0 else [])])) for k in range(n)]
+    docs = spark.createDataFrame([*rows, (None, ""), (n, None), (0, rows[0][1])], "doc_id long, text string")
+    return docs, spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(n)], "doc_id long, toxic int")
+
+
+def test_a_gram_never_takes_the_ratio_of_another(spark):
+    docs, labels = labelled(spark, random.Random(3), 200)
+    rows = toxicity.training_rows(texts(docs), labels)
+    grams = toxicity._grams(toxicity._word_counts(rows))
+    table = {(r.kind, r.key): r.ratio for r in toxicity.log_ratios(grams, 0.75).collect()}
+    low = lambda gram: toxicity.xxhash.xxh64_intdigest(gram.encode(), 42) & ((1 << 22) - 1)
+    taken = {low(key) for kind, key in table if kind == 0}
+    rng, unseen = random.Random(4), []
+    while len(unseen) < 20:  # words whose first gram no label has, but whose 22 low bits of the hash one has
+        word = "".join(rng.choice("абвгдежзиклмнопрстуфхцчшщ") for _ in range(6))
+        if any(low(("\x02" + word + "\x03")[max(0, e - 5) : e]) in taken for e in range(2, 9)):
+            unseen.append(word)
+    model = toxicity._model(toxicity.log_ratios(grams, 0.75))
+    for word in [*unseen, "grumbly", "grum"]:
+        spelled = f"\x02{word}\x03"
+        parts = [spelled[max(0, e - 5) : e] for e in range(2, len(spelled) + 1)]
+        plain = sum(table.get((0, g), table.get((1, g[:-1]), 0.0)) for g in parts) / len(parts)
+        assert model.features(word)[0] == pytest.approx(plain, abs=1e-5)
+
+
+def test_more_grams_than_are_broadcast_are_joined(spark, monkeypatch):
+    docs, labels = labelled(spark, random.Random(5), 300)
+    answers = []
+    for bound in (toxicity.BROADCAST_GRAMS, 10):
+        monkeypatch.setattr(toxicity, "BROADCAST_GRAMS", bound)
+        model = toxicity.train(toxicity.training_rows(texts(docs), labels))
+        assert (model.tables is None) == (bound == 10)
+        scored = sorted(toxicity.score(docs, model).collect(), key=str)
+        kept = sorted(toxicity.ordinary_only(docs, model).collect(), key=str)
+        answers.append(([r.doc_id for r in scored], [r.predicted for r in scored], kept))
+        scores = [r.score for r in scored]
+        answers[-1] += (scores,)
+    assert answers[0][:3] == answers[1][:3] and len(answers[0][0]) == 303
+    assert answers[0][3] == pytest.approx(answers[1][3], abs=1e-4)
+
+
 def test_sparse_sites_are_drawn_to_their_prior(spark, no_docs):
     rng = random.Random(4)
     rows, labels = [], []
