@@ -22,7 +22,7 @@ BROADCAST_GRAMS = 4_000_000  # grams and contexts whose ratios are sent to the e
 WORD = re.compile(r"[^\W\d_]+")
 CACHED_WORDS = 1 << 18
 TOP = (2, 6, 12)  # so many most toxic words are averaged
-CALIBRATION_SHARE = 6  # one in so many labelled rows calibrates instead of being counted
+CALIBRATION_SHARE = 6  # one in so many labelled ids may calibrate instead of being counted
 CALIBRATION_ROWS = 20_000  # at most, the ones with the smallest hashed ids
 
 
@@ -295,16 +295,26 @@ def _fitted(x: np.ndarray, toxic: np.ndarray, penalty: float = 1e-4) -> np.ndarr
     return weights
 
 
+def _calibrating(rows: DataFrame) -> Column:
+    """Whether a row calibrates: its hashed id is among the smallest, of ``CALIBRATION_ROWS`` rows at most."""
+    hashed = F.xxhash64("doc_id")
+    first = rows.where("calibrates").select(hashed.alias("h")).orderBy("h").limit(CALIBRATION_ROWS + 1)
+    found = first.agg(F.count(F.lit(1)).alias("n"), F.max("h").alias("h")).first()
+    every = F.col("calibrates")
+    return every if found.n <= CALIBRATION_ROWS else every & (hashed < found.h)
+
+
 def train(rows: DataFrame, discount: float = 0.75) -> SpellingModel:
     """Both models from ``training_rows``.
 
-    All rows that do not calibrate are counted; of those that do, at most
-    ``CALIBRATION_ROWS`` give the weights.  Without any rows the model is indifferent.
+    Of the rows that may calibrate, at most ``CALIBRATION_ROWS`` give the weights; all others
+    are counted.  Without any rows the model is indifferent.
     """
+    rows = rows.withColumn("calibrates", _calibrating(rows))
     grams = stored(_grams(_word_counts(rows.where("not calibrates"))), "toxicity")
     model = _model(log_ratios(grams, discount))
     found = _features(rows.where("calibrates").select("doc_id", "text", "toxic"), model)
-    sample = found.orderBy(F.xxhash64("doc_id"), "doc_id", "features").limit(CALIBRATION_ROWS).collect()
+    sample = found.orderBy(F.xxhash64("doc_id"), "doc_id", "features").collect()
     x = np.array([r.features for r in sample]).reshape(-1, 1 + len(TOP))
     model.weights = _fitted(x, np.array([float(r.toxic) for r in sample]))
     return model

@@ -281,6 +281,21 @@ def test_more_grams_than_are_broadcast_are_joined(spark, monkeypatch):
     assert answers[0][3] == pytest.approx(answers[1][3], abs=1e-4)
 
 
+def test_labelled_rows_beyond_the_calibration_are_counted(spark, monkeypatch):
+    docs, labels = labelled(spark, random.Random(6), 300)
+    rows = toxicity.training_rows(texts(docs), labels)
+    monkeypatch.setattr(toxicity, "CALIBRATION_ROWS", 20)
+    seen = {}
+    counts, features = toxicity._word_counts, toxicity._features
+    monkeypatch.setattr(toxicity, "_word_counts", lambda x: (seen.update(counted=x), counts(x))[1])
+    monkeypatch.setattr(toxicity, "_features", lambda x, m: (seen.update(calibrated=x), features(x, m))[1])
+    toxicity.train(rows)
+    counted, calibrated = (Counter(r.doc_id for r in seen[k].select("doc_id").collect()) for k in ("counted", "calibrated"))
+    assert not counted.keys() & calibrated.keys()
+    assert counted + calibrated == Counter(r.doc_id for r in rows.select("doc_id").collect())
+    assert 18 <= calibrated.total() <= 20 < rows.where("calibrates").count()
+
+
 def test_sparse_sites_are_drawn_to_their_prior(spark, no_docs):
     rng = random.Random(4)
     rows, labels = [], []
