@@ -5,6 +5,7 @@ import random
 import re
 import string
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -58,6 +59,33 @@ def test_overlaps_match_brute_force(spark, no_docs):
     assert decontaminate.overlaps(docs, bench.limit(0)).count() == 0
 
 
+def test_masks_leave_a_placement_for_all_substitutions():
+    reads = [(len(m), [k for k, c in enumerate(m) if c == "1"]) for m in decontaminate.MASKS]
+    for n in range(12, 25):
+        placed = np.array([sum(1 << (at + k) for k in read) for size, read in reads for at in range(n - size + 1)])
+        changed = np.array([sum(1 << k for k in at) for at in combinations(range(n), n // 5)])
+        assert ((changed[:, None] & placed) == 0).any(axis=1).all(), n
+
+
+def test_overlaps_with_one_word_in_five_changed(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice(string.ascii_lowercase) for _ in range(5))
+    items = [[word() for _ in range(n)] for n in (12, 13, 15, 16, 20, 24, 40)]
+    rows = []
+    for doc in range(140):
+        piece = list(items[doc % len(items)])
+        for k in rng.sample(range(len(piece)), len(piece) // 5):
+            piece[k] = word()
+        rows.append((doc, " ".join([*(word() for _ in range(rng.randrange(9))), *piece, *(word() for _ in range(5))])))
+    for doc, at in ((900, (0, 3)), (901, (2, 3))):
+        rows.append((doc, " ".join(word() if k in at else w for k, w in enumerate(items[0]))))
+    tests = [(k, " ".join(x)) for k, x in enumerate(items)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = decontaminate.overlaps(docs, spark.createDataFrame(tests, "item_id long, text string"))
+    got = {(r.doc_id, r.item_id, r.n_tokens) for r in found.collect()}
+    assert got == {(i, k, n) for i, t in rows for k, x in tests if (n := plain_overlap(t, x))} and len(got) == len(rows)
+
+
 def test_longest_overlap_is_the_longest():
     rng = random.Random(4)
     for _ in range(300):
