@@ -149,33 +149,44 @@ def rate_limit_stream(
     client in one micro-batch are sorted together: bound the micro-batch at the source
     (files or offsets per trigger) where a client may send very many.
 
-    Rows may arrive out of order within ``lateness``.  Later ones get no decision; the query's
-    progress counts them (``numRowsDroppedByWatermark``), so alert on it or allow more lateness.
+    Rows may arrive out of order within ``lateness``.  Later ones get no decision and leave no
+    trace: they come out with null ``allowed`` and ``retry_after`` and the ``reason`` 'late', which
+    is null for all others.
     """
     check_limit(limit)
     window_us = round(window_s * MICROS)
+    columns = ["event_id", "ip", "us", "allowed", "retry_after", "reason"]
 
     def step(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         ring = deque(state.get[0]) if state.exists else deque()
+        watermark = state.getCurrentWatermarkMs()
         rows = pd.concat(list(batches), ignore_index=True).sort_values(["us", "event_id"], kind="stable")
+        late = rows["us"] <= watermark * 1000 if watermark > 0 else pd.Series(False, rows.index)
+        if late.any():
+            yield rows[late][["event_id", "us"]].assign(ip=key[0], allowed=None, retry_after=None, reason="late")[columns]
+            rows = rows[~late]
+        if rows.empty and not state.exists:
+            return
         allowed, wait = decide(rows["us"].to_numpy(), ring, limit, window_us)
         state.update((list(ring),))
-        watermark = state.getCurrentWatermarkMs()
         state.setTimeoutTimestamp(max(max(ring, default=0) // 1000 + window_us // 1000, watermark) + 1)
         yield pd.DataFrame(
-            {"event_id": rows["event_id"], "ip": key[0], "us": rows["us"], "allowed": allowed, "retry_after": wait}
+            {"event_id": rows["event_id"], "ip": key[0], "us": rows["us"], "allowed": allowed, "retry_after": wait, "reason": None}
         )
 
+    # Spark drops late rows before a stateful step by the column that is marked as event time.
+    # ``ts`` moves the watermark and stays behind; the mark is on a time that is never late.
+    never_late = F.lit("2262-01-01").cast("timestamp").alias("never_late", metadata={"spark.watermarkDelayMs": 0})
     return (
         log.withWatermark("ts", lateness)
-        .select("event_id", "ip", "ts", F.unix_micros("ts").alias("us"))
+        .select("event_id", "ip", F.unix_micros("ts").alias("us"), never_late)
         .groupBy("ip")
         .applyInPandasWithState(
             step,
-            "event_id BIGINT, ip STRING, us BIGINT, allowed BOOLEAN, retry_after BIGINT",
+            "event_id BIGINT, ip STRING, us BIGINT, allowed BOOLEAN, retry_after BIGINT, reason STRING",
             "ring ARRAY<BIGINT>",
             "append",
             GroupStateTimeout.EventTimeTimeout,

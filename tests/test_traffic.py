@@ -101,6 +101,33 @@ def test_stream_over_several_files_matches_batch(spark):
     assert got == loop(rows, 3, 60.0)
 
 
+def test_late_stream_rows_stay_with_a_reason(spark):
+    at = lambda s: START + dt.timedelta(seconds=s)
+    files = [  # the third file holds rows within and beyond 10 seconds of the newest before, and one of a new client
+        [(1, "a", at(0)), (2, "a", at(1)), (3, "b", at(100))],
+        [(4, "b", at(101)), (5, "a", at(120))],
+        [(6, "a", at(2)), (7, "b", at(115)), (8, "c", at(3)), (9, "a", at(121)), (10, "a", at(122))],
+        [(11, "b", at(200)), (15, "a", at(50))],
+        [(12, "b", at(150)), (13, "b", at(201)), (14, "b", at(195))],
+    ]
+    folder = work_folder(spark, "late-test")
+    for i, part in enumerate(files):
+        frame(spark, part).withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.parquet(f"{folder}/in/{i}")
+    source = (
+        spark.readStream.schema("event_id BIGINT, ip STRING, ts TIMESTAMP").option("maxFilesPerTrigger", 1)
+        .option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+    )
+    run = (
+        limiter.rate_limit_stream(source, 2, 60.0).writeStream.format("parquet").option("path", f"{folder}/out")
+        .option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
+    )
+    run.awaitTermination()
+    got = {r.event_id: (r.allowed, r.retry_after, r.reason) for r in spark.read.parquet(f"{folder}/out").collect()}
+    late = {6, 8, 12, 15}
+    decided = loop([r for part in files for r in part if r[0] not in late], 2, 60.0)
+    assert got == {k: (None, None, "late") if k in late else (*decided[k], None) for k in range(1, 16)}
+
+
 def test_rates(spark):
     rows = make_log(8, 2000)
     got = {r.event_id: r.requests for r in traffic.request_rate(frame(spark, rows), 60.0).collect()}
