@@ -150,6 +150,7 @@ class SpellingModel:
     tables: list[tuple[np.ndarray, np.ndarray]] | None
     ratios: DataFrame | None = None
     weights: np.ndarray = field(default_factory=lambda: np.zeros(2 + len(TOP)))
+    calibrated: bool = True
     _words: dict[str, float] = field(default_factory=dict)
 
     def words(self, words: list[str]) -> np.ndarray:
@@ -308,13 +309,14 @@ def train(rows: DataFrame, discount: float = 0.75) -> SpellingModel:
     """Both models from ``training_rows``.
 
     Of the rows that may calibrate, at most ``CALIBRATION_ROWS`` give the weights; all others
-    are counted.  Without any rows the model is indifferent.
+    are counted.  Without any that calibrate the model is indifferent and predicts nothing as toxic.
     """
     rows = rows.withColumn("calibrates", _calibrating(rows))
     grams = stored(_grams(_word_counts(rows.where("not calibrates"))), "toxicity")
     model = _model(log_ratios(grams, discount))
     found = _features(rows.where("calibrates").select("doc_id", "text", "toxic"), model)
     sample = found.orderBy(F.xxhash64("doc_id"), "doc_id", "features").collect()
+    model.calibrated = bool(sample)
     x = np.array([r.features for r in sample]).reshape(-1, 1 + len(TOP))
     model.weights = _fitted(x, np.array([float(r.toxic) for r in sample]))
     return model
@@ -329,12 +331,14 @@ def score(docs: DataFrame, model: SpellingModel, threshold: float = 0.3, id_col:
     scored = _features(texts(docs, id_col, text_col), model).select("doc_id", _score(model).alias("score"))
     held_out = F.coalesce(remainder(F.col("doc_id")) == 2, F.lit(False))
     return scored.select(
-        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
+        "doc_id", held_out.alias("held_out"), "score", (F.lit(model.calibrated) & (F.col("score") >= threshold)).cast("int").alias("predicted")
     )
 
 
 def ordinary_only(docs: DataFrame, model: SpellingModel, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose text scores ``threshold`` or more; all columns stay."""
+    if not model.calibrated:
+        return docs
     if model.tables is None:
         return _ordinary_joined(docs, model, threshold, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -324,6 +324,13 @@ def test_labelled_rows_beyond_the_calibration_are_counted(spark, monkeypatch):
     assert 18 <= calibrated.total() <= 20 < rows.where("calibrates").count()
 
 
+def test_no_calibration_drops_nothing(spark):
+    docs, labels = labelled(spark, random.Random(9), 20)
+    model = toxicity.train(toxicity.training_rows(texts(docs), labels.limit(0)))
+    assert toxicity.ordinary_only(docs, model).count() == docs.count() == 23
+    assert {r.predicted for r in toxicity.score(docs, model).collect()} == {0}
+
+
 def test_sparse_sites_are_drawn_to_their_prior(spark, no_docs):
     rng = random.Random(4)
     rows, labels = [], []
