@@ -12,6 +12,8 @@ import duckdb
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+SMALLEST = "/root/testdata/sf0.001"  # of the given tables
+
 
 def database(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
@@ -63,7 +65,7 @@ if __name__ == "__main__":
     import __spark_entry__ as entry
     from cellgrid.session import get_spark
 
-    sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.001"
+    sf = sys.argv[1] if len(sys.argv) > 1 else SMALLEST
     only = sys.argv[2:]
     spark = get_spark(master="local[8]", **{
         "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g",

@@ -1,8 +1,7 @@
 """Every named query against its SQL on the smallest tables."""
 
-import conftest
 import pytest
-from compare import compare, database
+from compare import SMALLEST, compare, database
 
 import __spark_entry__ as contract
 from cellgrid.registry.oracles import ORACLES
@@ -11,12 +10,12 @@ from cellgrid.registry.queries import QUERIES
 
 @pytest.fixture(scope="module")
 def con():
-    return database(conftest.SF)
+    return database(SMALLEST)
 
 
 @pytest.mark.parametrize("name", QUERIES)
 def test_query_agrees_with_sql(spark, con, name):
-    diff, rows, _ = compare(spark, con, name, QUERIES[name], ORACLES.get(name), conftest.SF)
+    diff, rows, _ = compare(spark, con, name, QUERIES[name], ORACLES.get(name), SMALLEST)
     assert diff is None, diff
     assert rows > 0
 
