@@ -8,6 +8,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from cellgrid.session import get_spark  # noqa: E402
 
+
 @pytest.fixture(scope="session")
 def spark():
     session = get_spark("cellgrid-tests", "local[8]", **{
