@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellgrid.llm.common import map_batches, texts, tokenizer_path
+from cellgrid.llm.common import built, map_batches, texts, tokenizer_path
 
 # Fixed value: the split that byte-level vocabularies of this kind are made for.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -70,19 +70,19 @@ class Vocabulary:
             self.ranks[u << 32 | v] = rank
             self.made.append(w)
         self.longest = max(map(len, self.bytes_of))
-        self._encoder: Encoder | None = None
-
-    def encoder(self) -> Encoder:
-        """One encoder per Python worker, so that tasks after the first find its pieces."""
-        if self._encoder is None:
-            self._encoder = Encoder(self)
-        return self._encoder
 
     @classmethod
     def read(cls, path: str | None = None) -> Vocabulary:
         with open(path or tokenizer_path(), encoding="utf-8") as file:
             return cls(json.load(file))
 
+    @classmethod
+    def of(cls, plain: dict) -> Vocabulary:
+        """A vocabulary from its own attributes, as they are broadcast."""
+        made = cls.__new__(cls)
+        made.__dict__ |= plain
+        return made
+
 
 class Pieces(dict):
     """Packed ids of pieces seen lately: two generations of a bounded number each."""
@@ -108,7 +108,8 @@ class Encoder:
         self.vocabulary = vocabulary
         self.split = regex.compile(SPLIT).findall
         self.gap = regex.compile(r"\S\s").search
-        self.specials = regex.compile("(" + "|".join(map(regex.escape, vocabulary.special)) + ")")
+        special = "|".join(map(regex.escape, vocabulary.special)) or r"(?!)"
+        self.specials = regex.compile(f"({special})")
         self.window = vocabulary.lookahead + max(512, vocabulary.longest)
         self.pieces = Pieces(self)
 
@@ -195,10 +196,10 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     columns are ignored.  Memory per row is the text and its ids; pieces that no split
     shortens pass through a window of fixed size.
     """
-    vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary.read(path))
+    shared = docs.sparkSession.sparkContext.broadcast(vars(Vocabulary.read(path)))
 
     def run(batch: pa.RecordBatch) -> dict[str, list]:
-        encoder = vocabulary.value.encoder()
+        encoder = built(shared, lambda plain: Encoder(Vocabulary.of(plain)))
         ids = [b"".join(encoder.stream(text)) for text in batch.column("text").to_pylist()]
         return {"doc_id": batch.column("doc_id"), "n_tokens": [len(x) // 4 for x in ids], "ids": ids}
 
@@ -207,13 +208,13 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
 
 def decode(tokens: DataFrame, path: str | None = None, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """``tokens`` with the text of its packed ids; bytes that are not UTF-8 become U+FFFD, null ids null."""
-    vocabulary = tokens.sparkSession.sparkContext.broadcast(Vocabulary.read(path))
+    shared = tokens.sparkSession.sparkContext.broadcast({"bytes_of": Vocabulary.read(path).bytes_of})
     position = tokens.columns.index(ids_col)
     names = [c for c in tokens.columns if c != out_col]
     schema = ", ".join(f"`{c}` {tokens.schema[c].dataType.simpleString()}" for c in names) + f", `{out_col}` string"
 
     def run(batch: pa.RecordBatch) -> dict[str, list]:
-        decoder = Decoder(vocabulary.value)
+        decoder = built(shared, lambda plain: Decoder(Vocabulary.of(plain)))
         text = [None if x is None else "".join(decoder.stream(x)) for x in batch.column(position).to_pylist()]
         return {**{c: batch.column(c) for c in names}, out_col: text}
 

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +68,18 @@ def map_batches(
     return df.mapInArrow(run, schema)
 
 
+def built(shared: Broadcast, build: Callable[[dict], object]) -> object:
+    """``build`` of a broadcast dict of plain values, once per Python worker.
+
+    Functions travel by value, but a broadcast is unpickled where this package may be missing, so
+    it must hold no class of it.
+    """
+    plain = shared.value
+    if "_built" not in plain:
+        plain["_built"] = build(plain)
+    return plain["_built"]
+
+
 def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from cellgrid.llm.common import map_batches, stored, texts
 from cellgrid.llm.components import components
+from cellgrid.operators.joins import lookup_join, salted_join
 
 # (first bit, bits, radius) of each table.  Two fingerprints that differ in at most
 # sum(radius + 1) - 1 bits differ in at most ``radius`` bits of at least one segment.
@@ -99,9 +100,9 @@ def near_duplicates(
     roots = components(pairs).withColumnRenamed("node", "fp")
     linked = distinct.join(degree, "fp").join(roots, "fp")
     least = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    linked = linked.join(least, "root").select("fp", "component_id", "links")
+    linked = salted_join(linked, least, ["root"]).select("fp", "component_id", "links")
     alone = distinct.join(degree, "fp", "left_anti").select("fp", "first_id", F.lit(0).cast("long").alias("links"))
-    return rows.join(linked.union(alone), "fp").select("doc_id", "text_hash", "fp", "component_id", "links")
+    return salted_join(rows, linked.union(alone), ["fp"]).select("doc_id", "text_hash", "fp", "component_id", "links")
 
 
 def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -109,15 +110,26 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Of several rows with that id, the text with the smallest hash stays, and of rows equal in
     both, one.  If all ids of a component are null, the same holds of its rows.
+
+    Who stays is decided on ids and hashes alone.  Only the keys that go, and those of several
+    equal rows, are looked up by the whole rows, so texts are not moved unless there are more
+    such keys than may be broadcast.
     """
     groups = near_duplicates(docs, id_col, text_col, **options)
+    key = F.struct(F.col("doc_id").alias("i"), F.col("text_hash").alias("t")).alias("k")
     first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    chosen = first.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("f")).agg(
+    stay = first.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("f")).agg(
         F.min("text_hash").alias("t")
     )
-    key = F.struct(docs[id_col].cast("long").alias("i"), F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))).alias("t"))
-    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("r"), key.alias("k"))
-    kept = keyed.join(
-        chosen.select(F.struct(F.col("component_id").alias("i"), "t").alias("k")).distinct(), "k", "left_semi"
-    )
-    return kept.groupBy("k").agg(F.first("r").alias("r")).select("r.*")
+    stay = stay.select(F.struct(F.col("component_id").alias("i"), "t").alias("k"), F.lit(True).alias("stays")).distinct()
+    times = groups.groupBy(key).agg(F.count(F.lit(1)).alias("times"))
+    listed = times.join(stay, "k", "left").where("stays is null or times > 1")
+    listed = stored(listed.select("k", F.col("stays").isNotNull().alias("several")), "simhash")
+
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    own = F.struct(docs[id_col].cast("long").alias("i"), F.xxhash64(text).alias("t")).alias("k")
+    marked = lookup_join(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("r"), own), listed, ["k"], "left")
+    kept = marked.where("several is null").select("r.*")
+    if listed.where("several").isEmpty():
+        return kept
+    return kept.union(marked.where("several").groupBy("k").agg(F.first("r").alias("r")).select("r.*"))

@@ -7,20 +7,20 @@ from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellgrid.llm.common import map_batches, stored, texts
+from cellgrid.llm.common import built, map_batches, slices, stored, texts
 from cellgrid.operators.joins import lookup_join, row_bound
 
 ORDER = 5
 START, END = "\x02", "\x03"
-BROADCAST_GRAMS = 4_000_000  # grams and contexts whose ratios are sent to the executors, 12 bytes each; more are joined
+BROADCAST_GRAMS = 4_000_000  # grams and contexts whose ratios are sent to the executors, 16 bytes each; more are joined
 WORD = re.compile(r"[^\W\d_]+")
-CACHED_WORDS = 1 << 18
+CACHED_WORDS = 1 << 17
 TOP = (2, 6, 12)  # so many most toxic words are averaged
 CALIBRATION_SHARE = 6  # one in so many labelled ids may calibrate instead of being counted
 CALIBRATION_ROWS = 20_000  # at most, the ones with the smallest hashed ids
@@ -153,6 +153,14 @@ class SpellingModel:
     calibrated: bool = True
     _words: dict[str, float] = field(default_factory=dict)
 
+    def plain(self) -> dict:
+        """What the executors need, without a class of this package."""
+        return {"tables": self.tables, "weights": self.weights}
+
+    @classmethod
+    def of(cls, plain: dict) -> SpellingModel:
+        return cls(plain["tables"], weights=plain["weights"])
+
     def words(self, words: list[str]) -> np.ndarray:
         """Log-likelihood ratio of each word's spelling per character."""
         missing = set(words).difference(self._words)
@@ -208,7 +216,7 @@ def _model(ratios: DataFrame) -> SpellingModel:
     ratios = stored(ratios, "toxicity")
     if not row_bound(ratios, BROADCAST_GRAMS):
         return SpellingModel(None, ratios)
-    found = ratios.select("kind", F.xxhash64("key").alias("key"), F.col("ratio").cast("float").alias("ratio")).toArrow()
+    found = ratios.select("kind", F.xxhash64("key").alias("key"), "ratio").toArrow()
     kinds, keys, values = (found[c].to_numpy() for c in ("kind", "key", "ratio"))
     tables = []
     for kind in (0, 1):
@@ -224,13 +232,14 @@ def _features(rows: DataFrame, model: SpellingModel) -> DataFrame:
     schema = ", ".join(f"{c} {kind}" for c, kind in rows.drop("text").dtypes)
     if model.tables is None:
         return _joined_features(rows, keep, schema, model.ratios)
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+    shared = rows.sparkSession.sparkContext.broadcast(model.plain())
 
     def run(batch: pa.RecordBatch) -> dict[str, list]:
-        found = [shared.value.features(text) for text in batch.column("text").to_pylist()]
+        local = built(shared, SpellingModel.of)
+        found = [local.features(text) for text in batch.column("text").to_pylist()]
         return {c: batch.column(c) for c in keep} | {"features": found}
 
-    return map_batches(rows, run, f"{schema}, features array<double>")
+    return map_batches(rows, run, f"{schema}, features array<double>", sliced=True)
 
 
 def _joined_features(rows: DataFrame, keep: list[str], schema: str, ratios: DataFrame) -> DataFrame:
@@ -341,12 +350,15 @@ def ordinary_only(docs: DataFrame, model: SpellingModel, threshold: float = 0.3,
         return docs
     if model.tables is None:
         return _ordinary_joined(docs, model, threshold, text_col)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    @F.pandas_udf("boolean")
-    def is_ordinary(text: pd.Series) -> pd.Series:
-        model = shared.value
-        return text.fillna("").map(lambda x: model.score(model.features(x)) < threshold).astype(bool)
+    shared = docs.sparkSession.sparkContext.broadcast(model.plain())
+
+    @F.arrow_udf("boolean")
+    def is_ordinary(text: pa.Array) -> pa.Array:
+        local = built(shared, SpellingModel.of)
+        found = []
+        for part in slices(pa.record_batch([pc.fill_null(text, "")], ["text"])):
+            found += [local.score(local.features(x)) < threshold for x in part.column("text").to_pylist()]
+        return pa.array(found, pa.bool_())
 
     return docs.where(is_ordinary(F.col(text_col).cast("string")))
 
