@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import codecs
+import hashlib
 import json
 from collections.abc import Iterable, Iterator
 
@@ -10,7 +11,6 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from cellgrid.llm.common import built, map_batches, texts, tokenizer_path
 
@@ -179,12 +179,18 @@ class Decoder:
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.bytes_of = vocabulary.bytes_of
 
+    @staticmethod
+    def machine() -> codecs.IncrementalDecoder:
+        return codecs.getincrementaldecoder("utf-8")("replace")
+
+    def next(self, machine: codecs.IncrementalDecoder, packed: bytes) -> str:
+        """The text that more packed ids add."""
+        return machine.decode(b"".join(map(self.bytes_of.__getitem__, np.frombuffer(packed, "<u4").tolist())))
+
     def stream(self, packed: bytes) -> Iterator[str]:
-        machine = codecs.getincrementaldecoder("utf-8")("replace")
-        get = self.bytes_of.__getitem__
-        ids = np.frombuffer(packed, "<u4")
-        for at in range(0, len(ids), SLICE):
-            yield machine.decode(b"".join(map(get, ids[at : at + SLICE].tolist())))
+        machine = self.machine()
+        for at in range(0, len(packed), 4 * SLICE):
+            yield self.next(machine, packed[at : at + 4 * SLICE])
         yield machine.decode(b"", True)
 
 
@@ -221,12 +227,33 @@ def decode(tokens: DataFrame, path: str | None = None, ids_col: str = "ids", out
     return map_batches(tokens, run, schema)
 
 
-def round_trip(docs: DataFrame, path: str | None = None, **columns: str) -> DataFrame:
-    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)``: digests of the ids and of the text they decode to."""
-    both = decode(encode(docs, path, **columns), path)
-    return both.select(
-        "doc_id",
-        "n_tokens",
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
-    )
+def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)``: digests of the ids and of the text they decode to.
+
+    What ``decode`` makes of ``encode``, in one pass: ids and texts do not leave the worker, and
+    pass through the digests slice by slice.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(vars(Vocabulary.read(path)))
+
+    def coders(plain: dict) -> tuple[Encoder, Decoder]:
+        vocabulary = Vocabulary.of(plain)
+        return Encoder(vocabulary), Decoder(vocabulary)
+
+    def run(batch: pa.RecordBatch) -> dict[str, list]:
+        encoder, decoder = built(shared, coders)
+        counts, ids_digests, text_digests = [], [], []
+        for text in batch.column("text").to_pylist():
+            ids, said, n = hashlib.sha256(), hashlib.sha256(), 0
+            machine = decoder.machine()
+            for packed in encoder.stream(text):
+                ids.update(packed)
+                said.update(decoder.next(machine, packed).encode())
+                n += len(packed) // 4
+            said.update(machine.decode(b"", True).encode())
+            counts.append(n)
+            ids_digests.append(ids.hexdigest())
+            text_digests.append(said.hexdigest())
+        return {"doc_id": batch.column("doc_id"), "n_tokens": counts, "ids_sha256": ids_digests, "decoded_sha256": text_digests}
+
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return map_batches(texts(docs, id_col, text_col), run, schema, sliced=True)

@@ -54,7 +54,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         }
 
     rows = texts(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
-    return map_batches(rows, run, "doc_id long, text_hash long, fp long")
+    return map_batches(rows, run, "doc_id long, text_hash long, fp long", sliced=True)
 
 
 def links(fps: DataFrame, max_bits: int = 4, segments=SEGMENTS) -> DataFrame:

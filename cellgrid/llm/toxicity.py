@@ -151,7 +151,8 @@ class SpellingModel:
     ratios: DataFrame | None = None
     weights: np.ndarray = field(default_factory=lambda: np.zeros(2 + len(TOP)))
     calibrated: bool = True
-    _words: dict[str, float] = field(default_factory=dict)
+    _words: dict[str, float] = field(default_factory=dict)  # ratios of words seen lately, in two generations
+    _older: dict[str, float] = field(default_factory=dict)
 
     def plain(self) -> dict:
         """What the executors need, without a class of this package."""
@@ -165,8 +166,11 @@ class SpellingModel:
         """Log-likelihood ratio of each word's spelling per character."""
         missing = set(words).difference(self._words)
         if missing and len(self._words) + len(missing) > CACHED_WORDS:
-            self._words.clear()
+            self._older, self._words = self._words, {}
             missing = set(words)
+        for word in missing.intersection(self._older):
+            self._words[word] = self._older[word]
+            missing.discard(word)
         if missing:
             grams, sizes = [], []
             for word in missing:
