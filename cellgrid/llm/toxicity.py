@@ -168,9 +168,9 @@ class SpellingModel:
         if missing and len(self._words) + len(missing) > CACHED_WORDS:
             self._older, self._words = self._words, {}
             missing = set(words)
-        for word in missing.intersection(self._older):
-            self._words[word] = self._older[word]
-            missing.discard(word)
+        known = [word for word in missing if word in self._older]
+        self._words.update((word, self._older[word]) for word in known)
+        missing.difference_update(known)
         if missing:
             grams, sizes = [], []
             for word in missing:
