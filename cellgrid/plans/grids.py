@@ -194,7 +194,9 @@ class GridAnswers:
         known = self.state.select(
             *SPEC, "gap", "granule_days", "missing_days", "time_steps_used", F.col("request_id").alias("answer_id")
         )
-        joined = lookup_join(self.checked, known, SPEC, "left", few_is_small=self.asked_small)
+        # a refused request may agree with a good one in all parts of its answer
+        asked = self.checked.withColumn("agg", F.when(F.col("reason").isNull(), F.col("agg")))
+        joined = lookup_join(asked, known, SPEC, "left", few_is_small=self.asked_small)
         text = F.create_map(*[F.lit(x) for pair in COVERAGE_TEXT.items() for x in pair])
         return joined.select(
             "request_id",

@@ -175,6 +175,10 @@ oracle("collapse_daily", "SELECT request_id, seg, lat, lon, round(value, 4) AS v
 oracle("collapse_monthly", """SELECT request_id, seg, lat, lon, round(avg(v), 4) AS value FROM (
   SELECT variable AS request_id, CASE WHEN lon >= 100 THEN 0 ELSE 1 END AS seg, lat, lon, date_trunc('month', time) AS b, avg(value) AS v FROM grid_history
   GROUP BY 1, 2, 3, 4, 5) GROUP BY 1, 2, 3, 4""", "grid_history")
+oracle("prefix_fields", """SELECT CAST(request_id AS BIGINT) AS request_id, seg, lat, lon, round(avg(v), 4) AS value FROM (
+  SELECT request_id, seg, lat, lon, CASE agg WHEN 'daily' THEN strftime(time, '%Y-%m-%d') WHEN 'monthly_mean' THEN strftime(time, '%Y-%m') END AS b, avg(value) AS v
+  FROM selected GROUP BY 1, 2, 3, 4, 5) GROUP BY 1, 2, 3, 4 HAVING avg(v) IS NOT NULL""", "customer_requests", "grid_obs", "manifest",
+       also=checked("customer_requests") + GEOMETRY + [SELECTED])
 oracle("downsample", """SELECT CAST(floor(iy / fy) AS BIGINT) AS by, CAST(floor(ix / fx) AS BIGINT) AS bx, round(avg(DISTINCT la.lat), 4) AS lat, round(avg(DISTINCT lo.lon), 4) AS lon, round(avg(value), 4) AS value
 FROM la CROSS JOIN lo CROSS JOIN shape LEFT JOIN grid_fine g ON g.lat = la.lat AND g.lon = lo.lon
 WHERE floor(iy / fy) < floor(ny / fy) AND floor(ix / fx) < floor(nx / fx) GROUP BY 1, 2""", "grid_fine", also=[
@@ -226,9 +230,11 @@ ANSWER = [
 ANSWER_PARTS = REQUEST_PARTS + ANSWER
 ISO = "strftime({}, '%Y-%m-%dT%H:%M:%SZ')"
 oracle("explode_grid_documents", "SELECT CAST(request_id AS BIGINT) AS request_id, iy, ix, lat, lon, value, CAST(NULL AS VARCHAR) AS error FROM dense", *REQUEST_FIXTURES, also=ANSWER_PARTS)
-oracle("answer_grid_requests", """SELECT CAST(c.request_id AS BIGINT) AS request_id, CAST(CASE WHEN reason IS NULL AND gap IS NULL THEN 200 ELSE 422 END AS BIGINT) AS status, coalesce(reason, gap) AS reason,
-  v.time_steps_used, v.missing_days, iy, ix, lat, lon, value FROM checked c LEFT JOIN coverage v USING (request_id) LEFT JOIN dense d USING (request_id)""",
-       *REQUEST_FIXTURES, also=ANSWER_PARTS)
+ANSWER_ROWS = """SELECT CAST(c.request_id AS BIGINT) AS request_id, CAST(CASE WHEN reason IS NULL AND gap IS NULL THEN 200 ELSE 422 END AS BIGINT) AS status, coalesce(reason, gap) AS reason,
+  v.time_steps_used, v.missing_days, iy, ix, lat, lon, value FROM checked c LEFT JOIN coverage v USING (request_id) LEFT JOIN dense d USING (request_id)"""
+oracle("answer_grid_requests", ANSWER_ROWS, *REQUEST_FIXTURES, also=ANSWER_PARTS)
+oracle("answer_many_requests", ANSWER_ROWS, "customer_requests", "grid_obs", "manifest",
+       also=checked("customer_requests") + GEOMETRY + [SELECTED] + ANSWER)
 HEAD = f"""head AS (SELECT request_id, g.variable, 'dimensionless' AS units, {ISO.format('st')} AS time_start, {ISO.format('en')} AS time_end, time_steps_used, agg AS aggregation
   FROM good g JOIN coverage v USING (request_id) WHERE gap IS NULL)"""
 oracle("grid_documents", """SELECT CAST(request_id AS BIGINT) AS request_id, variable, units, lats, lons, nx, ny, n_missing, time_start, time_end, time_steps_used, aggregation, false AS downsampled, 'merra2' AS source

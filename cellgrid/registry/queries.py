@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellgrid.functions import colour, scalars
-from cellgrid.operators import fields, render, requests, slicing, traffic
+from cellgrid.operators import fields, prefix, render, requests, slicing, traffic
 from cellgrid.plans import drafts as plans
 from cellgrid.plans.grids import GridAnswers, request_coverage
 from cellgrid.session import work_folder, written
@@ -58,9 +58,21 @@ def _manifest(spark: SparkSession, sf: str) -> DataFrame:
     return written(fixture(spark, sf, "manifest"), "manifest")
 
 
+ARCHIVES: dict[tuple[str, str], str] = {}  # folders of archives written in a session
+
+
+def _archive(spark: SparkSession, sf: str) -> str:
+    """Folder of the cells and their axes, as ``write_cells`` leaves them; written once per session."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in ARCHIVES:
+        path = work_folder(spark, "archive")
+        cell_store.write_cells(fixture(spark, sf, "grid_obs"), path)
+        ARCHIVES[key] = path
+    return ARCHIVES[key]
+
+
 def _axes(spark: SparkSession, sf: str) -> DataFrame:
-    """The coordinate axes as a stored table, as ``write_cells`` leaves them."""
-    return written(slicing.cell_axes(fixture(spark, sf, "grid_obs")), "axes")
+    return cell_store.read_axes(spark, _archive(spark, sf))
 
 
 def _calendar(spark: SparkSession, sf: str) -> DataFrame:
@@ -334,7 +346,7 @@ def granules_joined(frames: DataFrame, manifest: DataFrame) -> DataFrame:
 def _index(spark: SparkSession, sf: str) -> DataFrame:
     """Rows and columns of every good request on its grid."""
     good = requests.good_requests(requests.check_requests(fixture(spark, sf, "customer_requests"), TODAY))
-    axes = slicing.grid_axes(slicing.cell_axes(fixture(spark, sf, "grid_obs")))
+    axes = slicing.grid_axes(_axes(spark, sf))
     index = slicing.slice_index(slicing.request_frames(good, axes))
     return index.withColumn("request_id", F.col("request_id").cast("long"))
 
@@ -367,6 +379,22 @@ def _field_rows(field: DataFrame) -> DataFrame:
     return field.select("request_id", "seg", "lat", "lon", four("value"))
 
 
+@query("prefix_fields")
+def prefix_fields(spark, sf):
+    """Every good request's field from running sums that were appended in two steps."""
+    index = _manifest(spark, sf)
+    cells = written(fixture(spark, sf, "grid_obs").join(index.select("day"), "day", "left_semi"), "cells")
+    path = work_folder(spark, "prefix")
+    cut = F.lit("2024-01-08").cast("date")
+    prefix.write_prefix(cells.where(F.col("day") < cut), path, first=True)
+    prefix.write_prefix(cells.where(F.col("day") >= cut), path)
+    good = requests.good_requests(requests.check_requests(fixture(spark, sf, "customer_requests"), TODAY))
+    frames = slicing.request_frames(good, slicing.grid_axes(_axes(spark, sf))).withColumn("variable", F.col("variable_name"))
+    windows = frames.select("request_id", "variable", *prefix.BOX, "start_time", "end_time", "agg")
+    found = prefix.prefix_fields(windows, prefix.read_prefix(spark, path), prefix.read_days(spark, path), cells)
+    return found.select(F.col("request_id").cast("long").alias("request_id"), "seg", "lat", "lon", four("value"))
+
+
 @query("collapse_hourly")
 def collapse_hourly(spark, sf):
     return _field_rows(_field(spark, sf, "hourly"))
@@ -456,6 +484,22 @@ def answer_grid_requests(spark, sf):
     )
 
 
+@query("answer_many_requests")
+def answer_many_requests(spark, sf):
+    """Every customer's request with its full answer, over stored cells and axes."""
+    path = _archive(spark, sf)
+    answers = GridAnswers(
+        fixture(spark, sf, "customer_requests"), cell_store.read_cells(spark, path), _manifest(spark, sf), TODAY,
+        axes=cell_store.read_axes(spark, path),
+    )
+    flat = explode_grid_documents(answers.documents(), keep=("status", "reason", "time_steps_used", "missing_days"))
+    return flat.select(
+        F.col("request_id").cast("long").alias("request_id"), F.col("status").cast("long").alias("status"), "reason",
+        F.col("time_steps_used").cast("long").alias("time_steps_used"), F.col("missing_days").cast("long").alias("missing_days"),
+        F.col("iy").cast("long").alias("iy"), F.col("ix").cast("long").alias("ix"), "lat", "lon", "value",
+    )
+
+
 @query("colorize_grid")
 def colorize_grid(spark, sf):
     docs = _answers(spark, sf).documents().where(F.col("status") == 200)

@@ -173,3 +173,16 @@ def test_slice_time_is_inclusive_and_utc(spark, cells):
     assert got == 3
     whole = slicing.slice_time(cells, dt.datetime(2019, 3, 11), dt.datetime(2019, 3, 12)).select("time").distinct().count()
     assert whole == 24
+
+
+def test_a_refused_request_takes_no_answer_of_a_like_one(spark):
+    from cellgrid.plans.grids import GridAnswers
+
+    cells = spark.sql("SELECT 'DUEXTTAU' AS variable, TIMESTAMP_NTZ '2024-01-03 00:30:00' AS time, 0D AS lat, explode(array(0D, 10D)) AS lon, 1D AS value")
+    manifest = spark.sql("SELECT DATE '2024-01-03' AS day, 'a.json' AS ref_name")
+    asked = [(1, "merra2"), (2, "cams")]
+    rows = [(i, source, "DUEXTTAU", "-5,-5,20,5", "2024-01-03", "2024-01-04", "daily") for i, source in asked]
+    requests = spark.createDataFrame(rows, "request_id int, source string, variable string, bbox string, t0 string, t1 string, agg string")
+    found = {r.request_id: r for r in GridAnswers(requests, cells, manifest, dt.date(2024, 6, 1)).documents().collect()}
+    assert (found[1].status, found[1].nx) == (200, 2)
+    assert (found[2].status, found[2].reason, found[2].nx, found[2].granule_days) == (422, "source", None, None)
