@@ -176,8 +176,6 @@ def test_slice_time_is_inclusive_and_utc(spark, cells):
 
 
 def test_a_refused_request_takes_no_answer_of_a_like_one(spark):
-    from cellgrid.plans.grids import GridAnswers
-
     cells = spark.sql("SELECT 'DUEXTTAU' AS variable, TIMESTAMP_NTZ '2024-01-03 00:30:00' AS time, 0D AS lat, explode(array(0D, 10D)) AS lon, 1D AS value")
     manifest = spark.sql("SELECT DATE '2024-01-03' AS day, 'a.json' AS ref_name")
     asked = [(1, "merra2"), (2, "cams")]
