@@ -387,3 +387,14 @@ run AS (
 SELECT event_id, ip, allowed, retry_after FROM run""" % (FIXTURE_SQL["request_log"][1], LOG)
 ORACLES["rate_limit"] = LIMITER
 ORACLES["rate_limit_stream"] = LIMITER
+ORACLES["rate_limit_keyed"] = f"SELECT *, CAST(NULL AS VARCHAR) AS reason FROM ({LIMITER})"
+
+# --- dimension files ----------------------------------------------------------------
+oracle("read_gazetteer", "SELECT c_name AS name, (c_custkey % 300 - 170)::DOUBLE AS w, -35::DOUBLE AS s, (c_custkey % 300 - 150)::DOUBLE AS e, 45.5::DOUBLE AS n FROM customer")
+oracle("read_event_catalog", """SELECT c_name AS id, c_name AS name, c_mktsegment || ',dust' AS aliases, (c_custkey % 300 - 170)::DOUBLE AS w,
+  '2020-06-' || lpad((c_custkey % 28 + 1)::VARCHAR, 2, '0') || ' 00:00:00' AS time_start,
+  '2020-07-' || lpad((c_custkey % 28 + 1)::VARCHAR, 2, '0') || ' 00:00:00' AS time_end, (c_custkey % 3)::BIGINT AS n_plans,
+  CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment END AS first_variable FROM customer""")
+oracle("read_colormaps", """SELECT 'ramp ' || p_partkey AS colormap, k::BIGINT AS position, k / 2.0::DOUBLE AS t,
+  (CASE k WHEN 0 THEN 0 WHEN 1 THEN (p_partkey >> 16) & 255 ELSE 255 END)::BIGINT AS r, (CASE k WHEN 1 THEN (p_partkey >> 8) & 255 ELSE 0 END)::BIGINT AS g,
+  (CASE k WHEN 0 THEN 255 WHEN 1 THEN p_partkey & 255 ELSE 0 END)::BIGINT AS b, 'AOD' AS units FROM part, (VALUES (0), (1), (2)) AS v(k)""")

@@ -17,7 +17,7 @@ from cellgrid.sources import cells as cell_store
 from cellgrid.sources import chunk_refs, dimensions, granules
 from cellgrid.sources.documents import explode_grid_documents
 from cellgrid.sources.fixtures import fixture, table
-from cellgrid.streaming import limiter
+from cellgrid.streaming import keyed_limiter, limiter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -744,6 +744,55 @@ def grid_title(spark, sf):
     return end.select("draft_id", scalars.grid_title(F.lit("dimensionless"), F.col("a"), F.col("b"), F.col("aggregation")).alias("title"))
 
 
+# --- dimension files ----------------------------------------------------------------
+def _json_files(rows: DataFrame, name: str, body: Column) -> str:
+    """A JSON document per 50 customers: ``{name: [body, ...]}``; returns their folder."""
+    path = f"{work_folder(rows.sparkSession, name)}/files"
+    rows.groupBy(F.expr("c_custkey div 50").alias("document")).agg(F.collect_list(body).alias(name)).select(name).write.option("maxRecordsPerFile", 1).json(path)
+    return path
+
+
+def _some_box() -> Column:
+    return F.expr("array(CAST(c_custkey % 300 - 170 AS DOUBLE), -35D, CAST(c_custkey % 300 - 150 AS DOUBLE), 45.5D)")
+
+
+@query("read_gazetteer")
+def read_gazetteer(spark, sf):
+    body = F.struct(F.col("c_name").alias("name"), _some_box().alias("bbox"))
+    return dimensions.read_gazetteer(spark, _json_files(table(spark, sf, "customer"), "places", body))
+
+
+@query("read_event_catalog")
+def read_event_catalog(spark, sf):
+    plan = F.expr("named_struct('source', 'merra2', 'level', 'column', 'intent', 'plume', 'variable', c_mktsegment, 'aggregation', 'daily')")
+    body = F.struct(
+        F.col("c_name").alias("id"), F.col("c_name").alias("name"), F.array("c_mktsegment", F.lit("dust")).alias("aliases"), _some_box().alias("bbox"),
+        F.expr("concat('2020-06-', lpad(c_custkey % 28 + 1, 2, '0'), 'T02:00:00+02:00')").alias("time_start"),
+        F.expr("concat('2020-07-', lpad(c_custkey % 28 + 1, 2, '0'))").alias("time_end"),
+        F.array_repeat(plan, F.expr("CAST(c_custkey % 3 AS INT)")).alias("suggested_plans"),
+    )
+    events = dimensions.read_event_catalog(spark, _json_files(table(spark, sf, "customer"), "events", body))
+    return events.select(
+        "id", "name", F.array_join("aliases", ",").alias("aliases"), F.get("bbox", F.lit(0)).alias("w"), time_text("time_start").alias("time_start"),
+        time_text("time_end").alias("time_end"), F.size("suggested_plans").cast("long").alias("n_plans"),
+        F.get("suggested_plans", F.lit(0))["variable"].alias("first_variable"),
+    )
+
+
+@query("read_colormaps")
+def read_colormaps(spark, sf):
+    """Ramps of three stops, one per part, 50 to a document."""
+    stops = F.expr("array(array('0', '#0000ff'), array('0.5', concat('#', lpad(lower(hex(p_partkey % 16777216)), 6, '0'))), array('1', '#ff0000'))")
+    ramp = F.struct(stops.alias("stops"), F.lit("AOD").alias("units"))
+    named = F.struct(F.concat(F.lit("ramp "), F.col("p_partkey").cast("string")).alias("name"), ramp.alias("ramp"))
+    path = f"{work_folder(spark, 'colormaps')}/files"
+    documents = table(spark, sf, "part").groupBy(F.expr("p_partkey div 50").alias("document")).agg(F.map_from_entries(F.collect_list(named)).alias("ramps"))
+    documents.select(F.to_json("ramps")).write.option("maxRecordsPerFile", 1).text(path)
+    return dimensions.read_colormaps(spark, path).select(
+        "colormap", F.col("position").cast("long").alias("position"), "t", *[F.col(c).cast("long").alias(c) for c in "rgb"], "units"
+    )
+
+
 # --- request log --------------------------------------------------------------------
 def _log(spark: SparkSession, sf: str) -> DataFrame:
     return fixture(spark, sf, "request_log").select("event_id", "ts", scalars.client_ip("xff", "peer").alias("ip"))
@@ -780,6 +829,41 @@ def rate_limit_stream(spark, sf):
     return spark.read.parquet(f"{folder}/out").select("event_id", "ip", "allowed", "retry_after")
 
 
+def _keyed_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """What the keyed limiter says about the log, which lies there in four stretches of time of four files each."""
+    folder = work_folder(spark, "keyed-limiter")
+    log = _log(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    for days in ((1, 7), (8, 15), (16, 23), (24, 31)):
+        stretch = log.where(F.dayofmonth("ts").between(*days))
+        stretch.repartition(4).write.mode("append").parquet(f"{folder}/log")
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/log")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, keyed_limiter.ROCKSDB)  # a query keeps the provider that it starts with
+    try:
+        run = (
+            keyed_limiter.limited(stream, LIMIT, LIMIT_WINDOW).writeStream.format("parquet")
+            .option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/out")
+            .outputMode("append").trigger(availableNow=True).start()
+        )
+        run.awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    return spark.read.parquet(f"{folder}/out")
+
+
+@query("rate_limit_keyed")
+def rate_limit_keyed(spark, sf):
+    rows = _keyed_rows(spark, sf).where(F.col("kind") == "row")
+    return rows.select("event_id", "ip", "allowed", "retry_after", "reason")
+
+
+@query("limiter_state_bound")
+def limiter_state_bound(spark, sf):
+    """Clients with state after each micro-batch that opened or closed some."""
+    return keyed_limiter.live_clients(_keyed_rows(spark, sf)).select("watermark_ms", "opened", "closed", "live")
+
+
 def fixture_columns() -> tuple[Column, Column]:
     """The request log's address columns over the raw events."""
     return (
