@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellgrid.functions import colour, scalars
-from cellgrid.operators import fields, prefix, render, requests, slicing, traffic
+from cellgrid.operators import cover, fields, prefix, render, requests, slicing, traffic
 from cellgrid.plans import drafts as plans
 from cellgrid.plans.grids import GridAnswers, request_coverage
 from cellgrid.session import work_folder, written
@@ -336,6 +336,18 @@ def slice_requests(spark, sf):
     )
 
 
+@query("slice_covered")
+def slice_covered(spark, sf):
+    """Globe-wide and small boxes over two days each, on the full-resolution grid."""
+    boxes = fixture(spark, sf, "mixed_boxes").withColumn("day", F.explode(F.array("day0", F.date_add("day0", 1))))
+    midnight = F.col("day0").cast("timestamp_ntz")
+    spans = boxes.withColumns({
+        "start_time": midnight + F.expr("INTERVAL '6' HOUR"), "end_time": midnight + F.expr("INTERVAL '30' HOUR")
+    }).drop("day0")
+    found = cover.slice_covered(fixture(spark, sf, "fine_obs"), spans)
+    return found.select(F.col("request_id").cast("long").alias("request_id"), time_text("time").alias("time"), "lat", "lon", "seg", four("value"))
+
+
 def granules_joined(frames: DataFrame, manifest: DataFrame) -> DataFrame:
     shape = frames.select(
         "request_id", F.col("variable_name").alias("variable"), "s", "n", "l_lo", "l_hi", "r_lo", "r_hi", "start_time", "end_time"

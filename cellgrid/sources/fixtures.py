@@ -23,6 +23,25 @@ SELECT CAST(-90 + 0.5 * (event_id % 361) AS DOUBLE) AS lat,
        CAST(-180 + 0.625 * ((event_id * 7) % 576) AS DOUBLE) AS lon,
        AVG(value / 97.31) AS value
 FROM events GROUP BY 1, 2"""),
+    "fine_obs": ("events", """
+SELECT CASE event_type WHEN 'click' THEN 'DUEXTTAU' WHEN 'view' THEN 'TOTEXTTAU'
+            WHEN 'purchase' THEN 'BCEXTTAU' WHEN 'signup' THEN 'SUEXTTAU' ELSE 'SSEXTTAU' END AS variable,
+       date_trunc('hour', ts) + INTERVAL '30' MINUTE AS time,
+       CAST(-90 + 0.5 * (event_id % 361) AS DOUBLE) AS lat,
+       CAST(-180 + 0.625 * ((event_id * 7) % 576) AS DOUBLE) AS lon,
+       AVG(value / 97.31) AS value
+FROM events GROUP BY 1, 2, 3, 4"""),
+    "mixed_boxes": ("customer", """
+SELECT c_custkey AS request_id,
+       CASE c_custkey % 3 WHEN 0 THEN 'DUEXTTAU' WHEN 1 THEN 'TOTEXTTAU' ELSE 'BCEXTTAU' END AS variable,
+       CAST(CASE WHEN c_custkey % 50 = 0 THEN -90 ELSE -90 + c_custkey % 170 END AS DOUBLE) AS s,
+       CAST(CASE WHEN c_custkey % 50 = 0 THEN 90 ELSE -90 + c_custkey % 170 + 1 + c_custkey % 7 END AS DOUBLE) AS n,
+       CAST(CASE WHEN c_custkey % 50 = 0 THEN -180 WHEN c_custkey % 11 = 0 THEN 178 ELSE -180 + (c_custkey * 7) % 350 END AS DOUBLE) AS l_lo,
+       CAST(CASE WHEN c_custkey % 50 = 0 OR c_custkey % 11 = 0 THEN 180 ELSE -180 + (c_custkey * 7) % 350 + 1 + c_custkey % 9 END AS DOUBLE) AS l_hi,
+       CAST(CASE WHEN c_custkey % 50 <> 0 AND c_custkey % 11 = 0 THEN -180 END AS DOUBLE) AS r_lo,
+       CAST(CASE WHEN c_custkey % 50 <> 0 AND c_custkey % 11 = 0 THEN -176 END AS DOUBLE) AS r_hi,
+       DATE '2024-01-01' + CAST(c_custkey % 29 AS INT) AS day0
+FROM customer"""),
     "grid_history": ("orders", """
 SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 'DUEXTTAU' WHEN '2-HIGH' THEN 'BCEXTTAU' ELSE 'TOTEXTTAU' END AS variable,
        o_orderdate AS time,
