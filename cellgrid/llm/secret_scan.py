@@ -48,10 +48,14 @@ def _may_assign(text: str) -> bool:
 
 
 def _blank(text: str, spans: list[tuple[int, int, int]]) -> str:
-    """``text`` with the spans as spaces."""
+    """``text`` with the spans, sorted by start, as spaces; in one pass."""
+    parts, at = [], 0
     for start, _, end in spans:
-        text = text[:start] + " " * (end - start) + text[end:]
-    return text
+        if end > at:
+            start = max(start, at)
+            parts += [text[at:start], " " * (end - start)]
+            at = end
+    return "".join([*parts, text[at:]])
 
 
 def _values(text: str, spans: list[tuple[int, int, int]]) -> Iterator[str]:
@@ -81,12 +85,18 @@ class MarkovModel:
 
 
 def all_spans(text: str, model: MarkovModel, min_ratio: float) -> list[tuple[int, int, int]]:
-    """Base spans and the strings the model takes for random, sorted by start, then kind."""
+    """Base spans and the strings the model takes for random, sorted by start, then kind.
+
+    Base spans and candidates are both in order, so they are walked once together.
+    """
     spans = base_spans(text)
-    added = []
+    added, k, reach = [], 0, 0
     for m in CANDIDATE.finditer(text):
         start, end = m.span()
-        if any(s < end and start < e for s, _, e in spans) or not any(map(str.isalpha, m[0])):
+        while k < len(spans) and spans[k][0] < end:
+            reach = max(reach, spans[k][2])
+            k += 1
+        if reach > start or not any(map(str.isalpha, m[0])):
             continue
         if model.ratio(m[0]) >= min_ratio:
             added.append((start, 3, end))
