@@ -400,7 +400,9 @@ oracle("read_colormaps", """SELECT 'ramp ' || p_partkey AS colormap, k::BIGINT A
   (CASE k WHEN 0 THEN 255 WHEN 1 THEN p_partkey & 255 ELSE 0 END)::BIGINT AS b, 'AOD' AS units FROM part, (VALUES (0), (1), (2)) AS v(k)""")
 
 # --- boxes of all sizes -------------------------------------------------------------
-oracle("slice_covered", f"""SELECT CAST(request_id AS BIGINT) AS request_id, {STAMP.format('time')} AS time, lat, lon,
+MIXED_ROWS = f"""SELECT CAST(request_id AS BIGINT) AS request_id, {STAMP.format('time')} AS time, lat, lon,
   CASE WHEN lon BETWEEN l_lo AND l_hi THEN 0 ELSE 1 END AS seg, round(value, 4) AS value
 FROM mixed_boxes b JOIN fine_obs c ON b.variable = c.variable AND c.time BETWEEN CAST(day0 AS TIMESTAMP) + INTERVAL 6 HOUR AND CAST(day0 AS TIMESTAMP) + INTERVAL 30 HOUR
-  AND lat BETWEEN s AND n AND (lon BETWEEN l_lo AND l_hi OR coalesce(lon BETWEEN r_lo AND r_hi, false))""", "mixed_boxes", "fine_obs")
+  AND lat BETWEEN s AND n AND (lon BETWEEN l_lo AND l_hi OR coalesce(lon BETWEEN r_lo AND r_hi, false))"""
+for name in ("slice_covered", "slice_zoned"):
+    oracle(name, MIXED_ROWS, "mixed_boxes", "fine_obs")

@@ -14,7 +14,7 @@ from cellgrid.plans import drafts as plans
 from cellgrid.plans.grids import GridAnswers, request_coverage
 from cellgrid.session import work_folder, written
 from cellgrid.sources import cells as cell_store
-from cellgrid.sources import chunk_refs, dimensions, granules
+from cellgrid.sources import chunk_refs, dimensions, granules, zones
 from cellgrid.sources.documents import explode_grid_documents
 from cellgrid.sources.fixtures import fixture, table
 from cellgrid.streaming import keyed_limiter, limiter
@@ -336,18 +336,34 @@ def slice_requests(spark, sf):
     )
 
 
-@query("slice_covered")
-def slice_covered(spark, sf):
-    """Globe-wide and small boxes over two days each, on the full-resolution grid."""
+def _mixed_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """Globe-wide and small boxes over two days each."""
     boxes = fixture(spark, sf, "mixed_boxes").withColumn("day", F.explode(F.array("day0", F.date_add("day0", 1))))
     midnight = F.col("day0").cast("timestamp_ntz")
-    spans = boxes.withColumns({
+    return boxes.withColumns({
         "start_time": midnight + F.expr("INTERVAL '6' HOUR"), "end_time": midnight + F.expr("INTERVAL '30' HOUR")
     }).drop("day0")
-    found = cover.slice_covered(fixture(spark, sf, "fine_obs"), spans)
+
+
+def _sliced_rows(found: DataFrame) -> DataFrame:
     return found.select(F.col("request_id").cast("long").alias("request_id"), time_text("time").alias("time"), "lat", "lon", "seg", four("value"))
 
 
+@query("slice_covered")
+def slice_covered(spark, sf):
+    """On the full-resolution grid."""
+    return _sliced_rows(cover.slice_covered(fixture(spark, sf, "fine_obs"), _mixed_spans(spark, sf)))
+
+
+@query("slice_zoned")
+def slice_zoned(spark, sf):
+    """The same from files along the curve, which came in two batches."""
+    path, cells = work_folder(spark, "zoned"), written(fixture(spark, sf, "fine_obs"), "fine")
+    for batch in (cells.where(F.dayofmonth("day") <= 12), cells.where(F.dayofmonth("day") > 12)):
+        zones.write_zoned(batch, path, rows_per_file=20_000)
+    return _sliced_rows(zones.slice_zoned(spark, path, written(_mixed_spans(spark, sf), "spans")))
+
+
 def granules_joined(frames: DataFrame, manifest: DataFrame) -> DataFrame:
     shape = frames.select(
         "request_id", F.col("variable_name").alias("variable"), "s", "n", "l_lo", "l_hi", "r_lo", "r_hi", "start_time", "end_time"
