@@ -16,27 +16,48 @@ from cellgrid.llm.common import map_batches, stored, texts
 from cellgrid.operators.joins import lookup_join
 
 WORD = re.compile(r"[^\W_]+")
+# Scripts written without spaces: Thai, Lao, Burmese, Khmer, kana, ideographs. Each character is a word.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+UNSPACED_CHAR = re.compile(f"[{UNSPACED}]")
+MIXED_WORD = re.compile(f"[{UNSPACED}]|[^\\W_{UNSPACED}]+")
 # Token positions that a seed reads (1) and ignores (0).  Any 2 of 12, 3 of 15 or 4 of 20 words may differ
 # and one mask still fits; a longer stretch holds one of 12 to 23 words with as large a share of equal ones.
 MASKS = ("1110111", "1101001011", "110010001011")
-LEAST_WORDS = 5  # of a test item; shorter ones are no evidence
-FILTER_BITS = 24  # of the filter that is sent to the executors: 2 MB, whatever the test set
+LEAST_WORDS = 5  # of a test item that may lie within a text; shorter ones are sought as whole texts
+FILTER_BITS = (20, 28)  # of the filter that is sent to the executors: 256 kB to 64 MB, by the number of test seeds
+BITS_PER_SEED = 32
 KNOWN_ROWS = 200_000  # rows of (key, key) that may be broadcast
 
 
+def words(text: str) -> list[str]:
+    """Runs of letters and digits in lower case; in scripts without spaces, their characters."""
+    text = text.lower()
+    unspaced = not text.isascii() and UNSPACED_CHAR.search(text)
+    return (MIXED_WORD if unspaced else WORD).findall(text)
+
+
 def token_hashes(text: str) -> np.ndarray:
-    words = WORD.findall(text.lower())
     digest = xxhash.xxh64_digest
-    return np.frombuffer(b"".join([digest(w.encode("utf-8", "surrogatepass")) for w in words]), ">u8").astype(np.uint64)
+    return np.frombuffer(b"".join([digest(w.encode("utf-8", "surrogatepass")) for w in words(text)]), ">u8").astype(np.uint64)
+
+
+def short_masks(n: int) -> list[str]:
+    """Masks of a whole item of ``n`` words of which one in five may differ.
+
+    Places are dealt into groups, three where one word may differ and four where two may. A mask
+    ignores as many groups as words may differ, so each choice of words is ignored by one of at most
+    six masks, and each reads two words in five or more.
+    """
+    differ = n // 5
+    groups = differ + 2 if differ else 1
+    return ["".join("01"[k % groups not in left] for k in range(n)) for left in combinations(range(groups), differ)]
 
 
 def masks_for(sizes: list[int]) -> list[str]:
-    """The fixed masks, and for items too short for them masks of the whole item that ignore each
-    choice of as many words as one in five may differ."""
+    """The fixed masks, and masks of the whole item for the sizes too short for them."""
     span = max(map(len, MASKS))
-    short = sorted({n for n in sizes if LEAST_WORDS <= n < span})
-    ignored = [(n, set(at)) for n in short for at in combinations(range(n), n // 5)]
-    return list(dict.fromkeys([*MASKS, *("".join("01"[k not in at] for k in range(n)) for n, at in ignored)]))
+    short = sorted({n for n in sizes if 0 < n < span})
+    return list(dict.fromkeys([*MASKS, *(mask for n in short for mask in short_masks(n))]))
 
 
 def seeds(tokens: np.ndarray, mask: str) -> np.ndarray:
@@ -52,10 +73,20 @@ def seeds(tokens: np.ndarray, mask: str) -> np.ndarray:
     return total
 
 
-def _slots(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def filter_bits(n_seeds: int) -> int:
+    """Width of a place in the filter: ``BITS_PER_SEED`` places a seed, between ``FILTER_BITS``."""
+    return min(max((n_seeds * BITS_PER_SEED).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
+
+
+def _slots(hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Two places of a hash in the filter."""
-    low = np.uint64((1 << FILTER_BITS) - 1)
-    return (hashes & low).astype(np.int64), (hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+    low = np.uint64((1 << width) - 1)
+    return (hashes & low).astype(np.int64), (hashes >> np.uint64(64 - width)).astype(np.int64)
+
+
+def _fits(mask: str, n_tokens: int) -> bool:
+    """A mask of a very short item reads nothing but whole texts."""
+    return len(mask) >= LEAST_WORDS or len(mask) == n_tokens
 
 
 def _item_seeds(items: DataFrame, masks: list[str]) -> DataFrame:
@@ -76,14 +107,15 @@ def _item_seeds(items: DataFrame, masks: list[str]) -> DataFrame:
 
 
 def _filter(seed_rows: DataFrame) -> np.ndarray:
-    """Bits of all test seeds: a fixed number of bytes, put together slot by slot in Spark."""
-    low = F.col("seed").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    high = F.shiftrightunsigned("seed", 64 - FILTER_BITS)
+    """Bits of all test seeds, put together slot by slot in Spark; 64 MB at most."""
+    width = filter_bits(seed_rows.count())
+    low = F.col("seed").bitwiseAND(F.lit((1 << width) - 1))
+    high = F.shiftrightunsigned("seed", 64 - width)
     slot = seed_rows.select(F.explode(F.array(F.struct(F.lit(0).alias("f"), low.alias("s")), F.struct(F.lit(1).alias("f"), high.alias("s")))).alias("x"))
     byte = F.shiftright("x.s", 3).cast("int").alias("byte")
     bit = F.expr("shiftleft(1, cast(x.s % 8 as int))")
     found = slot.groupBy(F.col("x.f").alias("f"), byte).agg(F.bit_or(bit).alias("bits")).toArrow()
-    bits = np.zeros((2, 1 << (FILTER_BITS - 3)), np.uint8)
+    bits = np.zeros((2, 1 << (width - 3)), np.uint8)
     bits[found["f"].to_numpy(), found["byte"].to_numpy()] = found["bits"].to_numpy()
     return bits
 
@@ -95,11 +127,14 @@ def _hits(docs: DataFrame, bits: np.ndarray, masks: list[str]) -> DataFrame:
     def run(batch: pa.RecordBatch) -> dict[str, list]:
         columns: dict[str, list] = {"k1": [], "k2": [], "seed": [], "at": []}
         bits = shared.value
+        width = bits.shape[1].bit_length() + 2
         for k1, k2, text in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "text"))):
             tokens = token_hashes(text)
             for mask in masks:
+                if not _fits(mask, len(tokens)):
+                    continue
                 found = seeds(tokens, mask)
-                low, high = _slots(found)
+                low, high = _slots(found, width)
                 at = np.flatnonzero((bits[0, low >> 3] >> (low & 7)) & (bits[1, high >> 3] >> (high & 7)) & 1)
                 columns["seed"] += found[at].view(np.int64).tolist()
                 columns["at"] += at.tolist()
@@ -136,7 +171,7 @@ def _verified(pairs: DataFrame, least: int) -> DataFrame:
                 same = tokens[low:high] == item[low - shift : high - shift]
                 start, size = longest_overlap(same)
                 best = max(best, (size, int(same[start : start + size].sum()), -(low + start)))
-            if best[0] >= min(least, len(item)):
+            if best[0] >= min(least, len(item)) and (len(item) >= LEAST_WORDS or len(item) == len(tokens)):
                 values = (k1, k2, item_id, -best[2], best[0], best[1], len(item))
                 for name, value in zip(columns, values):
                     columns[name].append(value)
@@ -164,12 +199,13 @@ def overlaps(
     """``(doc_id, item_id, start, n_tokens, n_match, item_tokens)``: the longest overlap of each
     document with each test item, where it has ``least`` words or the whole item.
 
-    Words are compared in lower case without punctuation; at least four of five words of an
-    overlap are equal, so it survives substitutions.  Every word position of every document
-    is hashed under every mask; a filter of fixed size drops places that no test seed can
-    have, the rest are joined with the test seeds, and the stretch around each hit is
-    verified.  Null and empty texts and items under five words overlap nothing; equal rows give
-    equal rows; rows without overlap are absent; a null id stays null.
+    Words are runs of letters and digits in lower case; in scripts without spaces each character
+    is one.  At least four of five words of an overlap are equal, so it survives substitutions.
+    Every word position of every document is hashed under every mask; a filter drops places that
+    no test seed can have, the rest are joined with the test seeds, and the stretch around each
+    hit is verified.  An item of one to four words, which any text may hold, overlaps the texts
+    that consist of its words and nothing else.  Null texts and texts without words overlap nothing;
+    equal rows give equal rows; rows without overlap are absent; a null id stays null.
     """
     hidden = _pairs(docs, benchmark, least, id_col, text_col, item_col, item_text_col)
     rows = keyed(docs, id_col, text_col).select("k1", "k2", "doc_id")
@@ -184,7 +220,7 @@ def _pairs(docs, benchmark, least, id_col="doc_id", text_col="text", item_col="i
 
     @F.pandas_udf("int")
     def n_words(text: pd.Series) -> pd.Series:
-        return text.map(lambda x: len(WORD.findall(x.lower()))).astype("int32")
+        return text.map(lambda x: len(words(x))).astype("int32")
 
     # at most as many sizes as the masks are long reach the driver
     short = items.select(n_words("text").alias("n")).where(F.col("n") < max(map(len, MASKS))).distinct().collect()

@@ -115,13 +115,14 @@ class Estimate:
 def plan(docs: DataFrame, rules: Sequence[Rule] = RULES, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Estimate]:
     """``rules`` by rejection per cost on a sample; each is judged on rows the earlier ones pass.
 
-    The order decides how much is computed, never the verdict.  The sample takes rows by a
-    hash of their text, so equal texts go together, and is about ``sample_rows`` rows.  An
-    empty table keeps the given order.
+    The order decides how much is computed, never the verdict.  The sample takes distinct texts by
+    their hash, about ``sample_rows`` and never more than twice as many.  An empty table keeps the
+    given order.
     """
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     one_in = max(1, docs.count() // sample_rows)
-    sample = stored(docs.select(text.alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(one_in)) == 0), "rules")
+    drawn = docs.select(text.alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(one_in)) == 0)
+    sample = stored(drawn.distinct().limit(2 * sample_rows), "rules")
     flags = [rule.fails(F.col("text")).alias(f"r{k}") for k, rule in enumerate(rules)]
     patterns = sample.select(*flags).groupBy(*[f"r{k}" for k in range(len(rules))]).count().collect()
     total = sum(row["count"] for row in patterns)

@@ -86,6 +86,67 @@ def test_overlaps_with_one_word_in_five_changed(spark):
     assert got == {(i, k, n) for i, t in rows for k, x in tests if (n := plain_overlap(t, x))} and len(got) == len(rows)
 
 
+def test_short_items_and_texts_without_spaces(spark):
+    """Items of 1 to 11 words, one word in five changed, and of ideographs; against each shift of each pair."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice(string.ascii_lowercase) for _ in range(5))
+    sign = lambda: chr(rng.randrange(0x4E00, 0x9000))
+    items = {n: [word() for _ in range(n)] for n in range(1, 12)}
+    signs = {50 + n: [sign() for _ in range(n)] for n in (4, 11, 30)}
+    rows = []
+    for key, item in [*items.items(), *signs.items()]:
+        new, between = (sign, "") if key > 50 else (word, " ")
+        for k, changes in enumerate((0, len(item) // 5, len(item) // 5, len(item) // 5 + 1)):
+            at = set(rng.sample(range(len(item)), min(changes, len(item))))
+            piece = [new() if j in at else w for j, w in enumerate(item)]
+            rows.append((100 * key + k, between.join(piece)))
+            rows.append((100 * key + 10 + k, between.join([new(), *piece, *(new() for _ in range(6))])))
+    tests = [(k, " ".join(x)) for k, x in items.items()] + [(k, "".join(x)) for k, x in signs.items()] + [(0, "--")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = decontaminate.overlaps(docs, spark.createDataFrame(tests, "item_id long, text string"))
+    got = {(r.doc_id, r.item_id, r.n_tokens) for r in found.collect()}
+
+    def tokens(text):
+        return [c for part in text.split() for c in ([part] if part.isascii() else part)]
+
+    def best(a, b):
+        size = 0
+        for shift in range(-len(b) + 1, len(a)):
+            same = [0 <= shift + k < len(a) and a[shift + k] == w for k, w in enumerate(b)]
+            stretches = [(i, j) for i in range(len(b)) for j in range(i + 1, len(b) + 1) if 0 <= shift + i and shift + j <= len(a)]
+            size = max([size, *(j - i for i, j in stretches if 5 * sum(same[i:j]) >= 4 * (j - i))])
+        return size if size >= min(12, len(b)) and (len(b) > 4 or len(a) == len(b)) else 0
+
+    want = {(i, k, n) for i, t in rows for k, x in tests if k and (n := best(tokens(t), tokens(x)))}
+    assert got == want and {i // 100 for i, _, _ in want} == {*items, *signs}
+
+
+def test_short_masks_ignore_every_choice_of_words():
+    for n in range(1, 12):
+        masks = decontaminate.short_masks(n)
+        assert len(masks) <= 6 and all(5 * m.count("1") >= 2 * n for m in masks)
+        for changed in combinations(range(n), n // 5):
+            assert any(all(m[k] == "0" for k in changed) for m in masks), (n, changed)
+
+
+def test_the_filter_grows_with_the_seeds():
+    assert [decontaminate.filter_bits(n) for n in (0, 1_000, 100_000, 10**6, 10**9)] == [20, 20, 22, 25, 28]
+
+
+def test_sample_of_rules_is_bounded(spark):
+    """One text that holds nearly all rows is one row of the sample."""
+    rows = spark.range(5_000).selectExpr("id AS doc_id", "if(id % 100 = 0, concat('text ', id), 'the same text again') AS text")
+    drawn = []
+    real = quality_rules.stored
+    quality_rules.stored = lambda df, name: drawn.append(real(df, name)) or drawn[-1]
+    try:
+        quality_rules.plan(rows, sample_rows=10)
+        quality_rules.plan(rows, sample_rows=5_000)
+    finally:
+        quality_rules.stored = real
+    assert drawn[0].count() <= 20 and drawn[1].count() == 51
+
+
 def test_longest_overlap_is_the_longest():
     rng = random.Random(4)
     for _ in range(300):
