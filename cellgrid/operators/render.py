@@ -9,6 +9,7 @@ from cellgrid.functions import vocab
 from cellgrid.functions.colour import colormap_for, legend_gradient, with_ramp_colour
 from cellgrid.functions.scalars import computed_once, format_tick, grid_title, pretty_variable
 from cellgrid.operators.fields import present
+from cellgrid.operators.selection import exact_percentiles
 from cellgrid.sources.documents import explode_grid_documents
 
 LOW, HIGH = 0.02, 0.98
@@ -41,6 +42,19 @@ def normalize_range(field: DataFrame, request: str = "request_id", null_as_zero:
     return ends.select(request, _widened(F.get("p", F.lit(0)), F.get("p", F.lit(1))).alias("r")).select(request, "r.*")
 
 
+def exact_range(field: DataFrame, request: str = "request_id", **bounds: int) -> DataFrame:
+    """``normalize_range`` for fields of any size: no buffer holds a field's values.
+
+    Requests without finite values are kept and ``empty``. Pass a stored table.
+    """
+    finite = field.select(request, _finite(F.col("value")).alias("value"))
+    ends = exact_percentiles(finite, request, "value", (LOW, HIGH), **bounds).groupBy(request).agg(
+        F.max(F.when(F.col("q") == LOW, F.col("percentile"))).alias("p_low"), F.max(F.when(F.col("q") == HIGH, F.col("percentile"))).alias("p_high")
+    )
+    every = field.select(request).distinct().join(ends, request, "left")
+    return every.select(request, _widened(F.col("p_low"), F.col("p_high")).alias("r")).select(request, "r.*")
+
+
 def _sorted_percentile(values: Column, q: float) -> Column:
     position = (F.size(values) - 1) * F.lit(q)
     low, high = F.floor(position).cast("int"), F.ceil(position).cast("int")

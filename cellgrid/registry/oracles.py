@@ -199,6 +199,8 @@ def range_sql(source: str) -> list[str]:
 
 oracle("normalize_range", "SELECT request_id, round(vmin, 6) AS vmin, round(vmid, 6) AS vmid, round(vmax, 6) AS vmax, empty FROM rng",
        "grid_obs", also=[SLICE, DAILY] + range_sql("daily"))
+oracle("exact_range", "SELECT request_id, round(vmin, 6) AS vmin, round(vmid, 6) AS vmid, round(vmax, 6) AS vmax, empty FROM rng",
+       "fine_obs", also=["field AS (SELECT variable AS request_id, value FROM fine_obs)"] + range_sql("field"))
 UNWRAPPED = """unwrapped AS (SELECT request_id, position, coord AS lon, coord + CASE WHEN seg = 1 AND has_left THEN 360 ELSE 0 END AS unwrapped
   FROM (SELECT *, bool_or(seg = 0) OVER (PARTITION BY request_id) AS has_left FROM idx WHERE axis = 'lon'))"""
 oracle("unwrap_lons", "SELECT * FROM unwrapped", *INDEX_FIXTURES, also=INDEX_PARTS + [UNWRAPPED])
@@ -338,6 +340,10 @@ PHRASES = "phrases(phrase, variable, level) AS (VALUES " + ", ".join(f"('{p}', '
 oracle("tag_aerosol_words", f"""SELECT question_id, phrase, variable, level FROM (
   SELECT question_id, phrase, variable, level, row_number() OVER (PARTITION BY question_id ORDER BY length(phrase) DESC, phrase) AS rn
   FROM questions LEFT JOIN phrases ON contains({WORDS.format('text')}, ' ' || regexp_replace(phrase, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') || ' ')) WHERE rn = 1""", "questions", also=[PHRASES])
+oracle("tag_phrases", f"""SELECT doc_id, found FROM (
+  SELECT doc_id, found, row_number() OVER (PARTITION BY doc_id ORDER BY length(found) DESC, found) AS rn
+  FROM (SELECT doc_id, {WORDS.format('text')} AS words FROM documents) d LEFT JOIN openings ON contains(words, ' ' || found || ' ')) WHERE rn = 1""", also=[
+    f"openings AS (SELECT DISTINCT array_to_string(string_split(trim({WORDS.format('text')}), ' ')[1 : item_id % 3 + 2], ' ') AS found FROM benchmark)"])
 NORMAL = "regexp_replace(regexp_replace(trim(lower(text), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[\\s\\p{Z}]+', ' ', 'g'), '[^\\p{L}\\p{N}_\\s]', '', 'g')"
 oracle("normalize_question", f"SELECT conv_id, turn, {NORMAL} AS normal FROM conversations")
 KEY = f"sha256({NORMAL} || chr(0) || scope)"

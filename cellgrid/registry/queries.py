@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellgrid.functions import colour, scalars
-from cellgrid.operators import cover, fields, prefix, render, requests, slicing, traffic
+from cellgrid.operators import cover, fields, phrases, prefix, render, requests, slicing, traffic
 from cellgrid.plans import drafts as plans
 from cellgrid.plans.grids import GridAnswers, request_coverage
 from cellgrid.session import work_folder, written
@@ -455,6 +455,14 @@ def normalize_range(spark, sf):
     return out.select("request_id", *[F.round(c, 6).alias(c) for c in ("vmin", "vmid", "vmax")], "empty")
 
 
+@query("exact_range")
+def exact_range(spark, sf):
+    """Over all values of a variable, uncapped; brackets of a thousand rows, so that rounds are needed."""
+    field = written(fixture(spark, sf, "fine_obs").select(F.col("variable").alias("request_id"), "value"), "field")
+    out = render.exact_range(field, bracket_rows=1_000)
+    return out.select("request_id", *[F.round(c, 6).alias(c) for c in ("vmin", "vmid", "vmax")], "empty")
+
+
 @query("unwrap_lons")
 def unwrap_lons(spark, sf):
     axis = _index(spark, sf).where(F.col("axis") == "lon").withColumnRenamed("coord", "lon")
@@ -698,6 +706,14 @@ def tag_aerosol_words(spark, sf):
     return plans.tag_aerosol_words(fixture(spark, sf, "questions")).select("question_id", "phrase", "variable", "level")
 
 
+@query("tag_phrases")
+def tag_phrases(spark, sf):
+    """Which opening words of a benchmark item each document holds; two, three or four words of an item."""
+    opening = F.slice(F.split(F.trim(scalars.phrase_text("text")), " "), F.lit(1), (F.col("item_id") % 3 + 2).cast("int"))
+    items = table(spark, sf, "benchmark").select(F.array_join(opening, " ").alias("phrase"))
+    return phrases.tag_phrases(table(spark, sf, "documents").select("doc_id", "text"), items).select("doc_id", "found")
+
+
 @query("normalize_question")
 def normalize_question(spark, sf):
     talk = table(spark, sf, "conversations")
