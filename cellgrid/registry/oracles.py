@@ -187,6 +187,15 @@ WHERE floor(iy / fy) < floor(ny / fy) AND floor(ix / fx) < floor(nx / fx) GROUP
     "shape AS (SELECT ny, nx, ceil(ny / 180) AS fy, ceil(nx / 360) AS fx FROM (SELECT (SELECT count(*) FROM la) AS ny, (SELECT count(*) FROM lo) AS nx))"])
 
 
+BLOCKS = """SELECT {nlon}::BIGINT AS max_nlon, CAST(floor(iy / fy) AS BIGINT) AS by, CAST(floor(ix / fx) AS BIGINT) AS bx, round(avg(DISTINCT la.lat), 4) AS lat,
+  round(avg(DISTINCT lo.lon), 4) AS lon, round(avg(value), 4) AS value
+FROM la CROSS JOIN lo CROSS JOIN (SELECT ny, nx, ceil(ny / {nlat}) AS fy, ceil(nx / {nlon}) AS fx FROM (SELECT (SELECT count(*) FROM la) AS ny, (SELECT count(*) FROM lo) AS nx))
+LEFT JOIN grid_fine g ON g.lat = la.lat AND g.lon = lo.lon WHERE floor(iy / fy) < floor(ny / fy) AND floor(ix / fx) < floor(nx / fx) GROUP BY 1, 2, 3"""
+oracle("block_means", " UNION ALL ".join(BLOCKS.format(nlon=x, nlat=y) for x, y in ((360, 180), (90, 60), (41, 17))), "grid_fine", also=[
+    "la AS (SELECT lat, row_number() OVER (ORDER BY lat) - 1 AS iy FROM (SELECT DISTINCT lat FROM grid_fine))",
+    "lo AS (SELECT lon, row_number() OVER (ORDER BY lon) - 1 AS ix FROM (SELECT DISTINCT lon FROM grid_fine))"])
+
+
 def range_sql(source: str) -> list[str]:
     """p2 and p98 of ``source`` per request, widened where constant, as ``rng``."""
     return [

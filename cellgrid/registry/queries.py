@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellgrid.functions import colour, scalars
-from cellgrid.operators import cover, fields, phrases, prefix, render, requests, slicing, traffic
+from cellgrid.operators import area, cover, fields, phrases, prefix, render, requests, slicing, traffic
 from cellgrid.plans import drafts as plans
 from cellgrid.plans.grids import GridAnswers, request_coverage
 from cellgrid.session import work_folder, written
@@ -455,6 +455,20 @@ def normalize_range(spark, sf):
     return out.select("request_id", *[F.round(c, 6).alias(c) for c in ("vmin", "vmid", "vmax")], "empty")
 
 
+@query("block_means")
+def block_means(spark, sf):
+    """Three block sizes from one stored table of running sums."""
+    field = fixture(spark, sf, "grid_fine")
+    areas, frames = written(area.summed_area(field), "areas"), written(fields.field_frames(field), "frames")
+    sizes = [(360, 180), (90, 60), (41, 17)]
+    each = [area.block_means(areas, frames, *cap).withColumn("max_nlon", F.lit(cap[0]).cast("long")) for cap in sizes]
+    rows = each[0].unionByName(each[1]).unionByName(each[2])
+    return rows.select(
+        "max_nlon", F.col("by").cast("long").alias("by"), F.col("bx").cast("long").alias("bx"),
+        F.round("lat", 4).alias("lat"), F.round("lon", 4).alias("lon"), four("value"),
+    )
+
+
 @query("exact_range")
 def exact_range(spark, sf):
     """Over all values of a variable, uncapped; brackets of a thousand rows, so that rounds are needed."""
