@@ -57,6 +57,15 @@ oracle("merge_manifest", """SELECT key, ref_name FROM (
     UNION ALL
     SELECT CASE WHEN extract(day FROM ts) % 3 = 0 THEN strftime(ts, '%Y-%m-%d') ELSE 's3://archive/loose/' || CAST(user_id % 40 AS VARCHAR) END,
            'v' || CAST(event_id AS VARCHAR) || '.json', event_id FROM events)) WHERE rn = 1""", "manifest")
+LINKS = """links AS (SELECT event_id, ts, CASE WHEN extract(day FROM ts) % 3 = 0 THEN strftime(ts, '%Y-%m-%d')
+  ELSE 's3://archive/loose/' || CAST(user_id % 40 AS VARCHAR) END AS key, user_id FROM events)"""
+oracle("index_log", """SELECT key, ref_name FROM (
+  SELECT key, ref_name, row_number() OVER (PARTITION BY key ORDER BY builder DESC, event_id DESC) AS rn FROM (
+    SELECT CAST(day AS VARCHAR) AS key, ref_name, -1 AS builder, 0 AS event_id FROM manifest
+    UNION ALL SELECT key, 'v' || CAST(event_id AS VARCHAR) || '.json', event_id % 4, event_id FROM links)) WHERE rn = 1""", "manifest", also=[LINKS])
+oracle("index_listing", """SELECT CAST(day AS VARCHAR) AS key, ref_name FROM manifest
+UNION SELECT key, CASE WHEN extract(day FROM ts) % 3 = 0 THEN 'MERRA2_400.tavg1_2d_aer_Nx.' || strftime(ts, '%Y%m%d')
+  ELSE CAST(user_id % 40 AS VARCHAR) END || '.json' FROM links""", "manifest", also=[LINKS])
 oracle("read_chunk_refs", """SELECT path, variable || '/' || ct || '.' || cy || '.' || cx AS key, CAST(NULL AS VARCHAR) AS inline,
   's3://archive/' || path AS url, CAST("offset" AS BIGINT) AS "offset", CAST(length AS BIGINT) AS length FROM chunk_rows
 UNION ALL SELECT DISTINCT path, '.zgroup', '{}', NULL, NULL, NULL FROM chunk_rows""", "chunk_rows")
@@ -74,6 +83,13 @@ oracle("prune_chunks", """SELECT request_id, COUNT(*) AS n_chunks, CAST(SUM(leng
    AND c.ct BETWEEN n_nationkey % 12 AND n_nationkey % 12 + 11
    AND c.cy BETWEEN floor((n_nationkey * 13 % 300) / 91) AND floor((n_nationkey * 13 % 300 + 60) / 91)
    AND c.cx BETWEEN floor((n_nationkey * 37 % 500) / 144) AND floor((n_nationkey * 37 % 500 + 75) / 144)) GROUP BY request_id""", "chunk_rows")
+oracle("prune_chunks_pushed", """SELECT request_id, COUNT(*) AS n_chunks, CAST(SUM(length) AS BIGINT) AS bytes_to_read FROM (
+  SELECT CAST(c_custkey AS BIGINT) AS request_id, c.length FROM customer JOIN chunk_rows c
+    ON CAST(c.path AS DATE) BETWEEN DATE '2024-01-03' + CAST(c_custkey % 9 AS INT) AND DATE '2024-01-03' + CAST(c_custkey % 9 + 5 AS INT)
+   AND c.variable = CASE WHEN c_custkey % 2 = 0 THEN 'DUEXTTAU' ELSE 'TOTEXTTAU' END
+   AND c.ct BETWEEN c_custkey % 12 AND c_custkey % 12 + 8
+   AND c.cy BETWEEN floor((c_custkey * 13 % 300) / 91) AND floor((c_custkey * 13 % 300 + 60) / 91)
+   AND c.cx BETWEEN floor((c_custkey * 37 % 500) / 144) AND floor((c_custkey * 37 % 500 + 75) / 144)) GROUP BY request_id""", "chunk_rows")
 oracle("decode_cf_time", "SELECT event_id, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:30:00') AS time FROM events")
 FLAT = f"SELECT variable, {STAMP.format('time')} AS time, lat, lon, round(value, 4) AS value FROM grid_obs"
 oracle("concat_granules", FLAT, "grid_obs")
@@ -360,6 +376,7 @@ oracle("question_key", f"SELECT question_id, {KEY} AS key FROM questions", "ques
 CACHE = f"""cache AS (SELECT question_id, key, ok, coalesce(max(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY ts, question_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS hit
   FROM (SELECT *, {KEY} AS key FROM questions))"""
 oracle("question_cache", "SELECT question_id, key, hit FROM cache", "questions", also=[CACHE])
+ORACLES["question_cache_stream"] = ORACLES["question_cache"]
 oracle("cache_stats", "SELECT count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses, count(DISTINCT key) FILTER (ok) AS entries FROM cache", "questions", also=[CACHE])
 ASKED = """questions AS (SELECT question_id, text, 'all' AS scope, question_id % 13 <> 0 AS ok,
   TIMESTAMP '2024-01-01' + to_minutes(CAST(question_id AS BIGINT)) AS ts FROM event_questions)"""

@@ -14,10 +14,12 @@ from cellgrid.plans import drafts as plans
 from cellgrid.plans.grids import GridAnswers, request_coverage
 from cellgrid.session import work_folder, written
 from cellgrid.sources import cells as cell_store
-from cellgrid.sources import chunk_refs, dimensions, granules, zones
+from cellgrid.sources import chunk_refs, chunk_source, dimensions, granules, zones
 from cellgrid.sources.documents import explode_grid_documents
 from cellgrid.sources.fixtures import fixture, table
-from cellgrid.streaming import keyed_limiter, limiter
+from cellgrid.sources.index_log import IndexLog
+from cellgrid.streaming import keyed_limiter, limiter, question_stream
+from cellgrid.streaming.listing import index_listing
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -145,6 +147,47 @@ def build_index(spark, sf):
     return marked.select(day_text("day").alias("day"), "ref_name", F.coalesce("built", F.lit(False)).alias("built"))
 
 
+def _granule_links(spark: SparkSession, sf: str) -> DataFrame:
+    """A link per event, to the granule of its day or to one of forty loose files."""
+    link = F.concat(F.lit("s3://archive/loose/"), (F.col("user_id") % 40).cast("string"))
+    dated = granules.granule_url("ts", BASE, COLLECTION)
+    return table(spark, sf, "events").select("event_id", F.when(F.dayofmonth("ts") % 3 == 0, dated).otherwise(link).alias("url"))
+
+
+def _manifest_log(spark: SparkSession, sf: str) -> IndexLog:
+    """A log whose first commit is the manifest."""
+    log = IndexLog(spark, work_folder(spark, "index-log"))
+    log.add(fixture(spark, sf, "manifest").select(F.col("day").cast("string").alias("key"), "ref_name", F.lit(0).alias("position")))
+    return log
+
+
+@query("index_log")
+def index_log(spark, sf):
+    """Four builders put entries under common keys; the index is compacted in between."""
+    log = _manifest_log(spark, sf)
+    built = _granule_links(spark, sf).select(
+        granules.manifest_key("url").alias("key"), F.concat(F.lit("v"), F.col("event_id").cast("string"), F.lit(".json")).alias("ref_name"),
+        F.col("event_id").alias("position"),
+    )
+    for builder in range(4):
+        log.add(built.where(F.pmod("position", F.lit(4)) == builder))
+        if builder == 1:
+            log.compact()
+    return log.snapshot()
+
+
+@query("index_listing")
+def index_listing_query(spark, sf):
+    """The links as a stream of listings of two files per micro-batch, which name most granules many times."""
+    folder = work_folder(spark, "listing")
+    links = _granule_links(spark, sf).select("url")
+    links.repartition(8).write.parquet(f"{folder}/listing")
+    log = _manifest_log(spark, sf)
+    stream = spark.readStream.schema(links.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/listing")
+    index_listing(stream, log, f"{folder}/state").awaitTermination()
+    return log.snapshot()
+
+
 def _reference_texts(spark: SparkSession, sf: str) -> DataFrame:
     """Reference JSON of each day; a day has one entry per chunk of the grid at most."""
     rows = fixture(spark, sf, "chunk_rows")
@@ -210,6 +253,24 @@ def prune_chunks(spark, sf):
     return chunk_refs.bytes_to_read(chunk_refs.prune_chunks(refs, ranges))
 
 
+@query("prune_chunks_pushed")
+def prune_chunks_pushed(spark, sf):
+    """Every customer's chunks from reference files read through the data source."""
+    folder = work_folder(spark, "references")
+    _reference_texts(spark, sf).write.partitionBy("path").text(folder)
+    k = F.col("c_custkey")
+    first = F.date_add(F.lit("2024-01-03").cast("date"), (k % 9).cast("int"))
+    ranges = table(spark, sf, "customer").select(
+        k.cast("long").alias("request_id"), F.explode(F.sequence(first, F.date_add(first, 5))).alias("day"),
+        F.when(k % 2 == 0, "DUEXTTAU").otherwise("TOTEXTTAU").alias("variable"),
+        (k % 12).alias("t_lo"), (k % 12 + 8).alias("t_hi"), F.lit(1).alias("t_len"),
+        (k * 13 % 300).alias("y_lo"), (k * 13 % 300 + 60).alias("y_hi"), F.lit(91).alias("y_len"),
+        (k * 37 % 500).alias("x_lo"), (k * 37 % 500 + 75).alias("x_hi"), F.lit(144).alias("x_len"),
+    )
+    near = chunk_source.within(chunk_source.read_chunks(spark, folder), ranges)
+    return chunk_refs.bytes_to_read(chunk_refs.prune_index(near, ranges, "day"))
+
+
 @query("decode_cf_time")
 def decode_cf_time(spark, sf):
     n, hour, day = F.col("event_id") % 4, F.hour("ts"), day_text("ts")
@@ -744,6 +805,12 @@ def question_cache(spark, sf):
     return traffic.question_cache(fixture(spark, sf, "questions")).select("question_id", "key", "hit")
 
 
+@query("question_cache_stream")
+def question_cache_stream(spark, sf):
+    folder = work_folder(spark, "question-stream")
+    return _run_keyed(question_stream.cached_questions(_in_stretches(fixture(spark, sf, "questions"), folder)), folder)
+
+
 @query("cache_stats")
 def cache_stats(spark, sf):
     return traffic.cache_stats(traffic.question_cache(fixture(spark, sf, "questions")))
@@ -887,20 +954,24 @@ def rate_limit_stream(spark, sf):
     return spark.read.parquet(f"{folder}/out").select("event_id", "ip", "allowed", "retry_after")
 
 
-def _keyed_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """What the keyed limiter says about the log, which lies there in four stretches of time of four files each."""
-    folder = work_folder(spark, "keyed-limiter")
-    log = _log(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+def _in_stretches(rows: DataFrame, folder: str) -> DataFrame:
+    """``rows`` as a stream of four stretches of time of four files each, one stretch per micro-batch."""
+    rows = rows.withColumn("ts", F.col("ts").cast("timestamp"))
     for days in ((1, 7), (8, 15), (16, 23), (24, 31)):
-        stretch = log.where(F.dayofmonth("ts").between(*days))
+        stretch = rows.where(F.dayofmonth("ts").between(*days))
         stretch.repartition(4).write.mode("append").parquet(f"{folder}/log")
-    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/log")
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/log")
+
+
+def _run_keyed(stream: DataFrame, folder: str) -> DataFrame:
+    """All rows of a stream with keyed state, which needs RocksDB."""
+    spark = stream.sparkSession
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider)
     spark.conf.set(provider, keyed_limiter.ROCKSDB)  # a query keeps the provider that it starts with
     try:
         run = (
-            keyed_limiter.limited(stream, LIMIT, LIMIT_WINDOW).writeStream.format("parquet")
+            stream.writeStream.format("parquet")
             .option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/out")
             .outputMode("append").trigger(availableNow=True).start()
         )
@@ -910,6 +981,12 @@ def _keyed_rows(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/out")
 
 
+def _keyed_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """What the keyed limiter says about the log."""
+    folder = work_folder(spark, "keyed-limiter")
+    return _run_keyed(keyed_limiter.limited(_in_stretches(_log(spark, sf), folder), LIMIT, LIMIT_WINDOW), folder)
+
+
 @query("rate_limit_keyed")
 def rate_limit_keyed(spark, sf):
     rows = _keyed_rows(spark, sf).where(F.col("kind") == "row")

@@ -88,17 +88,22 @@ def prune_chunks(refs: DataFrame, ranges: DataFrame) -> DataFrame:
     x_lo..x_hi`` and chunk lengths ``t_len, y_len, x_len``.  A range becomes the chunk numbers it
     touches, which is exactly the answer, and these meet the references on equal keys.
     """
+    return prune_index(chunk_index(refs), ranges)
+
+
+def prune_index(index: DataFrame, ranges: DataFrame, file: str = "path") -> DataFrame:
+    """``prune_chunks`` for an index of chunks, whose column ``file`` says where they are, as in ``ranges``."""
     def numbers(axis: str) -> Column:
         width = F.col(f"{axis}_len")
         return F.explode(F.sequence(
             F.floor(F.col(f"{axis}_lo") / width).cast("int"), F.floor(F.col(f"{axis}_hi") / width).cast("int")
         ))
 
-    wanted = ranges.select("request_id", "path", "variable", *[f"{a}_{end}" for a in "tyx" for end in ("lo", "hi", "len")])
+    wanted = ranges.select("request_id", file, "variable", *[f"{a}_{end}" for a in "tyx" for end in ("lo", "hi", "len")])
     for axis in "tyx":
         wanted = wanted.withColumn(f"c{axis}", numbers(axis))
-    wanted = wanted.select("request_id", "path", "variable", "ct", "cy", "cx").distinct()
-    return wanted.join(chunk_index(refs), ["path", "variable", "ct", "cy", "cx"])
+    wanted = wanted.select("request_id", file, "variable", "ct", "cy", "cx").distinct()
+    return wanted.join(index, [file, "variable", "ct", "cy", "cx"])
 
 
 def bytes_to_read(chunks: DataFrame) -> DataFrame:
