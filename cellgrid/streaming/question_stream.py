@@ -15,6 +15,7 @@ from cellgrid.functions.scalars import question_key
 
 OUTPUT = "question_id BIGINT, key STRING, hit BOOLEAN"
 SLICE = 10_000
+NULL_PARTS = 64
 
 
 class FirstSuccess(StatefulProcessor):
@@ -36,6 +37,9 @@ class FirstSuccess(StatefulProcessor):
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held = [(b["us"].to_numpy(np.int64), b["question_id"].to_numpy(np.int64), b["ok"].to_numpy(bool)) for b in rows]
         us, ids, ok = (np.concatenate(part) for part in zip(*held))
+        if pd.isna(key[0]):  # no question, no answer to keep
+            yield from self.frames(key, ids, np.zeros(len(us), bool))
+            return
         first = tuple(self.first.get()) if self.first.exists() else None
         if ok.any():
             least = np.lexsort((ids[ok], us[ok]))[0]
@@ -50,7 +54,10 @@ class FirstSuccess(StatefulProcessor):
             self.handle.deleteTimer(timer)
         # a timer must lie ahead of the watermark
         self.handle.registerTimer(max((last + self.keep_us) // 1000, timerValues.getCurrentWatermarkInMs()) + 1)
-        for low in range(0, len(us), SLICE):
+        yield from self.frames(key, ids, hit)
+
+    def frames(self, key: tuple, ids: np.ndarray, hit: np.ndarray) -> Iterator[pd.DataFrame]:
+        for low in range(0, len(ids), SLICE):
             part = slice(low, low + SLICE)
             yield pd.DataFrame({"question_id": ids[part], "key": key[0], "hit": hit[part]})
 
@@ -70,8 +77,8 @@ def cached_questions(questions: DataFrame, keep: str = "2 days", lateness: str =
     it in order of time and id.  That is ``traffic.question_cache`` as long as an earlier success
     does not arrive in a later micro-batch; where it does, decisions already given stand, as
     they do in a live cache.  A key is forgotten ``keep`` after its last row, by the watermark; a
-    row that comes later than ``lateness`` is still decided by what is known.  The state store must be
-    RocksDB (``keyed_limiter.ROCKSDB``).
+    row that comes later than ``lateness`` is still decided by what is known.  A null text or scope has
+    a null key and is never a hit.  The state store must be RocksDB (``keyed_limiter.ROCKSDB``).
     """
     keep_us = int(pd.Timedelta(keep).total_seconds() * 1_000_000)
     # ``ts`` moves the watermark and stays behind, so that Spark drops no late row
@@ -79,6 +86,8 @@ def cached_questions(questions: DataFrame, keep: str = "2 days", lateness: str =
         F.col("question_id").cast("long"), question_key("text", "scope").alias("key"), F.unix_micros("ts").alias("us"),
         F.coalesce("ok", F.lit(False)).alias("ok"),
     )
-    return rows.groupBy("key").transformWithStateInPandas(
+    # rows without a key need no state, so they are dealt out instead of being one group
+    dealt = rows.withColumn("part", F.when(F.col("key").isNull(), F.pmod("question_id", F.lit(NULL_PARTS))).otherwise(F.lit(0)))
+    return dealt.groupBy("key", "part").transformWithStateInPandas(
         statefulProcessor=FirstSuccess(keep_us), outputStructType=OUTPUT, outputMode="append", timeMode="eventTime"
     )
