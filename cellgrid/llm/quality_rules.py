@@ -34,8 +34,14 @@ def word_lines(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda line: F.btrim(line, F.lit(SPACES)) != "")
 
 
-def repeated_lines(lines: Column) -> Column:
-    return let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
+def line_counts(text: Column) -> Column:
+    """Lines that hold a word, and how many of them equal an earlier one, from one split."""
+
+    def counts(lines: Column) -> Column:
+        repeated = F.size(lines) - F.size(F.array_distinct(lines))
+        return F.struct(F.size(lines).cast("long").alias("n"), repeated.cast("long").alias("repeated"))
+
+    return let(word_lines(text), counts)
 
 
 def repeated_words(parts: Column, window: int = 3) -> Column:
@@ -72,14 +78,14 @@ def repeated_words(parts: Column, window: int = 3) -> Column:
 
 @dataclass(frozen=True)
 class Rule:
-    """A name, and whether a text fails: an expression of the text alone."""
+    """A name, and whether a text fails: an expression of the text and, by name, of the columns of ``measure``."""
 
     name: str
     fails: Callable[[Column], Column]
 
 
 def _symbol_share(text: Column) -> Column:
-    return symbols(text) * 10 > F.size(words(text))
+    return F.col("n_symbols") * 10 > F.col("n_words")
 
 
 def _capitals(text: Column) -> Column:
@@ -87,11 +93,11 @@ def _capitals(text: Column) -> Column:
 
 
 def _line_repeats(text: Column) -> Column:
-    return let(word_lines(text), lambda x: (F.size(x) - F.size(F.array_distinct(x))) * 2 > F.size(x))
+    return F.col("n_dup_lines") * 2 > F.col("n_lines")
 
 
 def _word_length(text: Column) -> Column:
-    mean = word_chars(text) / F.nullif(F.size(words(text)), F.lit(0))
+    mean = F.col("word_chars") / F.nullif(F.col("n_words"), F.lit(0))
     return F.coalesce((mean < 2) | (mean > 20), F.lit(False))
 
 
@@ -112,17 +118,32 @@ class Estimate:
     rejects: float
 
 
+def measure(rows: DataFrame) -> DataFrame:
+    """``rows`` with what is counted in their ``text``, each measure once."""
+    text = F.col("text")
+    counted = let(words(text), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).alias("r")))
+    return rows.withColumns({"counted": counted, "lines": line_counts(text)}).select(
+        *rows.columns,
+        F.col("counted.n").alias("n_words"),
+        word_chars(text).alias("word_chars"),
+        symbols(text).alias("n_symbols"),
+        F.col("lines.n").alias("n_lines"),
+        F.col("lines.repeated").alias("n_dup_lines"),
+        F.col("counted.r").alias("n_repeat_words"),
+    )
+
+
 def plan(docs: DataFrame, rules: Sequence[Rule] = RULES, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Estimate]:
     """``rules`` by rejection per cost on a sample; each is judged on rows the earlier ones pass.
 
     The order decides how much is computed, never the verdict.  The sample takes distinct texts by
-    their hash, about ``sample_rows`` and never more than twice as many.  An empty table keeps the
-    given order.
+    their hash, about ``sample_rows`` and never more than twice as many.  It is stored with its
+    measures, so a rule costs what it adds to them.  An empty table keeps the given order.
     """
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     one_in = max(1, docs.count() // sample_rows)
     drawn = docs.select(text.alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(one_in)) == 0)
-    sample = stored(drawn.distinct().limit(2 * sample_rows), "rules")
+    sample = stored(measure(drawn.distinct().limit(2 * sample_rows)), "rules")
     flags = [rule.fails(F.col("text")).alias(f"r{k}") for k, rule in enumerate(rules)]
     patterns = sample.select(*flags).groupBy(*[f"r{k}" for k in range(len(rules))]).count().collect()
     total = sum(row["count"] for row in patterns)
@@ -164,22 +185,13 @@ def judge(docs: DataFrame, order: Sequence[Estimate], id_col: str = "doc_id", te
 
     Gives ``(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     failed_rule, kept)``.  The base (too few words, or too many in repeated windows) comes
-    first; only texts that pass it meet the cascade.  A null or empty text has no words and
-    fails the base; equal rows get equal rows; other columns are ignored.
+    first; only texts that pass it meet the cascade, whose rules take the measures as they are.
+    A null or empty text has no words and fails the base; equal rows get equal rows; other
+    columns are ignored.
     """
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text.alias("text"))
-    counted = let(words(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).alias("r")))
-    measured = rows.withColumn("counted", counted).select(
-        "doc_id",
-        "text",
-        F.col("counted.n").alias("n_words"),
-        word_chars(F.col("text")).alias("word_chars"),
-        symbols(F.col("text")).alias("n_symbols"),
-        repeated_lines(word_lines(F.col("text"))).alias("n_dup_lines"),
-        F.col("counted.r").alias("n_repeat_words"),
-    )
+    measured = measure(docs.select(docs[id_col].cast("long").alias("doc_id"), text.alias("text")))
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     failed = F.when(F.col("base_failed"), F.lit("base")).otherwise(first_failure(F.col("text"), order))
     judged = measured.withColumn("base_failed", base).withColumn("failed_rule", failed)
-    return judged.withColumn("kept", F.col("failed_rule").isNull()).drop("text")
+    return judged.withColumn("kept", F.col("failed_rule").isNull()).drop("text", "n_lines")
