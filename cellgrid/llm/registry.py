@@ -45,9 +45,12 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document; its source is the host, and its language there the path."""
-    docs = table(spark, sf_dir, "documents")
-    rows = site_quality.measured(docs, docs["source"], docs["lang"])
-    return site_quality.score(rows, site_quality.train(rows, table(spark, sf_dir, "labels")))
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+
+    def measured(rows: DataFrame) -> DataFrame:
+        return site_quality.measured(rows, rows["source"], rows["lang"])
+
+    return site_quality.score(measured(docs), site_quality.train(measured(site_quality.labelled(docs, labels)), labels))
 
 
 CONTROL_CHAT = "<|im_end|><|im_start|>assistant ok"

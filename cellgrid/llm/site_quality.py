@@ -77,6 +77,17 @@ def measured(docs: DataFrame, host: Column, path: Column, id_col: str = "doc_id"
     return docs.select(docs[id_col].cast("long").alias("doc_id"), host.alias("host"), F.concat_ws("/", host, path).alias("path"), features(text).alias("bins"))
 
 
+def _known(labels: DataFrame) -> DataFrame:
+    """``(doc_id, good)`` of each labelled id that is not held out."""
+    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.min("quality") > 0).alias("good"))
+    return known.where(remainder(F.col("doc_id")) != 2).select(F.col("doc_id").cast("long"), F.col("good").cast("long"))
+
+
+def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Rows of ``docs`` that ``train`` counts, as they are; measure these and not all for it."""
+    return lookup_join(docs, _known(labels).select(F.col("doc_id").alias(id_col)), [id_col], "inner").select(*docs.columns)
+
+
 def train(rows: DataFrame, labels: DataFrame) -> SiteModel:
     """The model from ``measured`` rows and ``(doc_id, quality)`` labels that are not held out.
 
@@ -84,9 +95,7 @@ def train(rows: DataFrame, labels: DataFrame) -> SiteModel:
     a table of features by bins and a few sums reach the driver, whatever the input.  Without
     labels every score is one half.
     """
-    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.min("quality") > 0).alias("good"))
-    known = known.where(remainder(F.col("doc_id")) != 2).select(F.col("doc_id").cast("long"), F.col("good").cast("long"))
-    seen = stored(lookup_join(rows, known, ["doc_id"], "inner"), "site-quality")
+    seen = stored(lookup_join(rows, _known(labels), ["doc_id"], "inner"), "site-quality")
     counted = seen.select("good", F.posexplode("bins").alias("feature", "bin")).groupBy("feature", "bin").agg(
         F.sum("good").alias("good"), F.count(F.lit(1)).alias("n")
     ).collect()
