@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from cellgrid.functions import vocab
-from cellgrid.functions.colour import gradient_text
 from cellgrid.plans.drafts import VIOLATION_TEXT
 from cellgrid.sources.fixtures import FIXTURE_SQL
 
@@ -288,7 +287,16 @@ oracle("colorize_grid", f"""SELECT request_id, y, x, coalesce(r, 0) AS r, coales
       CASE WHEN variable LIKE '%DU%' THEN 'dust' ELSE 'viridis' END AS ramp, CASE WHEN value IS NOT NULL THEN greatest(0.0, least(1.0, (value - vmin) / (vmax - vmin))) END AS x
       FROM dense JOIN rng USING (request_id) JOIN (SELECT request_id, variable FROM good) USING (request_id))"""])
 TICK = "coalesce(format('{{:.3g}}', {}), '–')"
-GRADIENT = f"CASE WHEN {{}} LIKE '%DU%' THEN '{gradient_text(vocab.RENDER_RAMPS['dust'])}' ELSE '{gradient_text(vocab.RENDER_RAMPS['viridis'])}' END"
+
+
+def ramp_sql(name: str) -> str:
+    """The gradient text of a ramp, put together in SQL from its stops."""
+    stops = ", ".join(f"('{colour}', {position}::DOUBLE)" for position, colour in vocab.RENDER_RAMPS[name])
+    return f"""(SELECT 'linear-gradient(to right, ' || string_agg(colour || ' ' || printf('%.1f%%', 100 * position), ', ' ORDER BY position) || ')'
+  FROM (VALUES {stops}) AS stops(colour, position))"""
+
+
+GRADIENT = f"CASE WHEN {{}} LIKE '%DU%' THEN {ramp_sql('dust')} ELSE {ramp_sql('viridis')} END"
 oracle("legend_for_grid", f"""SELECT CAST(request_id AS BIGINT) AS request_id, {case_map('variable', vocab.DISPLAY_NAMES)} AS title, {GRADIENT.format('variable')} AS gradient,
   {TICK.format('vmin')} AS tick_min, {TICK.format('vmid')} AS tick_mid, {TICK.format('vmax')} AS tick_max,
   units || ' · ' || left(time_start, 10) || ' → ' || left(time_end, 10) || ' · ' || aggregation AS meta FROM head JOIN rng USING (request_id)""",
