@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellgrid.functions import vocab
+from cellgrid.operators.joins import salted_join
 
 REMOTE_ENTRY = r'^\s*\["[^"]*"(\s*,\s*\d+\s*,\s*\d+)?\s*\]\s*$'
 CHUNK_KEY = r"^([^/]+)/(\d+)\.(\d+)\.(\d+)$"
+RANGES_IN_PART = 20_000  # ranges of one file and variable beyond which they are split; each is compared with all chunks there
 ZARRAY = "shape ARRAY<BIGINT>, chunks ARRAY<BIGINT>, dtype STRING"
 
 
@@ -86,24 +88,34 @@ def prune_chunks(refs: DataFrame, ranges: DataFrame) -> DataFrame:
 
     ``ranges`` has ``request_id, path, variable``, inclusive index ranges ``t_lo..t_hi, y_lo..y_hi,
     x_lo..x_hi`` and chunk lengths ``t_len, y_len, x_len``.  A range becomes the chunk numbers it
-    touches, which is exactly the answer, and these meet the references on equal keys.
+    touches, which is exactly the answer; it meets the references of its file and variable.
     """
     return prune_index(chunk_index(refs), ranges)
 
 
 def prune_index(index: DataFrame, ranges: DataFrame, file: str = "path") -> DataFrame:
-    """``prune_chunks`` for an index of chunks, whose column ``file`` says where they are, as in ``ranges``."""
-    def numbers(axis: str) -> Column:
-        width = F.col(f"{axis}_len")
-        return F.explode(F.sequence(
-            F.floor(F.col(f"{axis}_lo") / width).cast("int"), F.floor(F.col(f"{axis}_hi") / width).cast("int")
-        ))
-
-    wanted = ranges.select("request_id", file, "variable", *[f"{a}_{end}" for a in "tyx" for end in ("lo", "hi", "len")])
-    for axis in "tyx":
-        wanted = wanted.withColumn(f"c{axis}", numbers(axis))
-    wanted = wanted.select("request_id", file, "variable", "ct", "cy", "cx").distinct()
-    return wanted.join(index, [file, "variable", "ct", "cy", "cx"])
+    """``prune_chunks`` for an index of chunks, whose column ``file`` says where they are, as in ``ranges``.
+
+    A range meets the chunks of its file and variable, and the chunk numbers are compared there: it
+    is one row, however many chunks it touches.  Only a request with several ranges in a file and
+    variable may ask for a chunk twice; those are taken apart, chunk by chunk, and put together.
+    """
+    keys, numbers = [file, "variable"], ["ct", "cy", "cx"]
+    ends = [f"{c}_{end}" for c in numbers for end in ("lo", "hi")]
+    touched = {f"c{a}_{end}": F.floor(F.col(f"{a}_{end}") / F.col(f"{a}_len")).cast("int") for a in "tyx" for end in ("lo", "hi")}
+    asked = ranges.withColumns(touched).select("request_id", *keys, *ends).dropna(subset=ends).distinct()
+    asked = asked.withColumn("ranges", F.count(F.lit(1)).over(Window.partitionBy("request_id", *keys)))
+    apart = asked.where("ranges > 1")
+    for c in numbers:
+        apart = apart.withColumn(c, F.explode(F.sequence(f"{c}_lo", f"{c}_hi")))
+    apart = apart.select("request_id", *keys, *numbers).distinct()
+    apart = apart.select("request_id", *keys, *[F.col(c).alias(f"{c}_{end}") for c in numbers for end in ("lo", "hi")])
+    wanted = asked.where("ranges = 1").select("request_id", *keys, *ends).unionByName(apart)
+    met = salted_join(wanted, index, keys, spread=F.xxhash64("request_id"), min_rows=RANGES_IN_PART)
+    for c in numbers:
+        low, high = F.col(f"{c}_lo"), F.col(f"{c}_hi")
+        met = met.where(F.col(c).between(F.least(low, high), F.greatest(low, high)))
+    return met.select(*keys, *numbers, "request_id", *[c for c in index.columns if c not in (*keys, *numbers)])
 
 
 def bytes_to_read(chunks: DataFrame) -> DataFrame:

@@ -29,3 +29,31 @@ def test_tiles_beyond_the_bound_are_not_broadcast(spark, monkeypatch):
     spans = some_spans(spark, random.Random(5), 5)
     cells = spans.select("variable", "day", F.lit(0.0).alias("lat"), F.lit(0.0).alias("lon"), F.col("start_time").alias("time"))
     assert "SortMergeJoin" in plan_of(cover.tile_pairs(cells, spans))
+
+
+RANGES = "request_id INT, path STRING, variable STRING, " + ", ".join(f"{a}_{e} INT" for a in "tyx" for e in ("lo", "hi", "len"))
+
+
+def test_a_range_is_one_row_until_it_meets_its_chunks(spark):
+    """Overlapping, repeated, reversed and incomplete ranges; an index that names a chunk twice."""
+    rng, asked = random.Random(7), []
+    for k in range(60):
+        lo = rng.randrange(-3, 20), rng.randrange(300), rng.randrange(500)
+        asked.append((k % 25, rng.choice(["a", "b"]), rng.choice("DE"), lo[0], lo[0] + rng.randrange(-4, 9), 1, lo[1], lo[1] + 60, 91, lo[2], lo[2] + 75, 144))
+    asked += asked[:5] + [(90, "a", "D", None, 3, 1, 0, 9, 91, 0, 9, 144), (91, "b", "E", 0, 3, 1, 0, 9, None, 0, 9, 144)]
+    chunks = [(p, v, t, y, x, 10) for p in "ab" for v in "DE" for t in range(24) for y in range(4) for x in range(4) if rng.random() < 0.8]
+    chunks += chunks[:9]
+    index = spark.createDataFrame(chunks, "path STRING, variable STRING, ct INT, cy INT, cx INT, length INT")
+    ranges = spark.createDataFrame(asked, RANGES)
+    met = chunk_refs.prune_index(index, ranges)
+    want = []
+    for path, variable, *at, length in chunks:
+        found = set()
+        for k, p, v, *ends in asked:
+            if (p, v) == (path, variable) and None not in ends:
+                sides = [sorted((ends[i] // ends[i + 2], ends[i + 1] // ends[i + 2])) for i in (0, 3, 6)]
+                if all(lo <= n <= hi for n, (lo, hi) in zip(at, sides)):
+                    found.add(k)
+        want += [(path, variable, *at, k, length) for k in found]
+    assert sorted(map(tuple, met.collect())) == sorted(want) and want
+    assert "SortMergeJoin" in plan_of(met)
