@@ -31,6 +31,12 @@ def test_tiles_beyond_the_bound_are_not_broadcast(spark, monkeypatch):
     assert "SortMergeJoin" in plan_of(cover.tile_pairs(cells, spans))
 
 
+def test_spans_that_choose_files_are_not_broadcast(spark):
+    spans = some_spans(spark, random.Random(6), 5)
+    stored = spark.createDataFrame([], zones.ZONE_SCHEMA)
+    assert "Broadcast" not in plan_of(zones.zones_met(stored, spans))
+
+
 RANGES = "request_id INT, path STRING, variable STRING, " + ", ".join(f"{a}_{e} INT" for a in "tyx" for e in ("lo", "hi", "len"))
 
 
