@@ -68,12 +68,15 @@ def busy_runs(log: DataFrame, limit: int, window_us: int) -> DataFrame:
     window over one summary row per stretch.
     """
     order = Window.partitionBy("ip", "stretch").orderBy("us", "event_id")
-    until, since = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
+    until = order.rowsBetween(Window.unboundedPreceding, 0)
+    # a frame that ends at the last row is added up anew at each row; backwards it is one step per row
+    back = Window.partitionBy("ip", "stretch").orderBy(F.desc("us"), F.desc("event_id"))
+    since = back.rowsBetween(Window.unboundedPreceding, 0)
     opened = F.when(F.col("trailing") > limit, F.col("us"))
     rows = (
         with_trailing_count(time_stretches(log, window_us, before=3, after=1), window_us, "trailing")
         .withColumn("before", F.last(opened, ignorenulls=True).over(until))
-        .withColumn("after", F.first(opened, ignorenulls=True).over(since))
+        .withColumn("after", F.last(opened, ignorenulls=True).over(since))
         .withColumn("busy", F.coalesce(F.col("us") - F.col("before") < window_us, F.lit(False))
                     | F.coalesce(F.col("after") - F.col("us") < window_us, F.lit(False)))
         .withColumn("gap", F.col("us") - F.lag("us").over(order))

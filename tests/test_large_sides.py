@@ -63,3 +63,9 @@ def test_a_range_is_one_row_until_it_meets_its_chunks(spark):
         want += [(path, variable, *at, k, length) for k in found]
     assert sorted(map(tuple, met.collect())) == sorted(want) and want
     assert "SortMergeJoin" in plan_of(met)
+
+
+def test_no_frame_of_the_limiter_ends_at_the_last_row(spark):
+    """Such a frame is added up anew at each row, so that a busy stretch costs the square of its rows."""
+    log = spark.createDataFrame([(1, "a", 5)], "event_id BIGINT, ip STRING, us BIGINT")
+    assert "unboundedfollowing" not in plan_of(limiter.busy_runs(log, 3, 1_000_000)).lower()
