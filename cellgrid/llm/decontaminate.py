@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellgrid.llm.common import map_batches, stored, texts
+from cellgrid.llm.common import map_batches, small_batches, stored, texts
 from cellgrid.operators.joins import lookup_join
 
 WORD = re.compile(r"[^\W_]+")
@@ -218,6 +218,8 @@ def _pairs(docs, benchmark, least, id_col="doc_id", text_col="text", item_col="i
         benchmark[item_col].cast("long").alias("item_id"), F.coalesce(benchmark[item_text_col].cast("string"), F.lit("")).alias("text")
     )
 
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf("int")
     def n_words(text: pd.Series) -> pd.Series:
         return text.map(lambda x: len(words(x))).astype("int32")

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellgrid.llm.common import map_batches, texts
+from cellgrid.llm.common import map_batches, small_batches, texts
 
 # The base rules, and the order in which kinds are listed.
 KINDS = ("assign", "access", "hex", "markov")
@@ -184,6 +184,8 @@ def redact(
     All columns stay as they are but the text, and the character count where the column
     ``n_chars`` holds one.  A null text stays null.
     """
+    small_batches(docs.sparkSession)
+
     def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
         parts, at = [], 0
         for start, _, end in spans:

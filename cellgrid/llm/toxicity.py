@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellgrid.llm.common import built, map_batches, slices, stored, texts
+from cellgrid.llm.common import built, map_batches, slices, small_batches, stored, texts
 from cellgrid.operators.joins import lookup_join, row_bound
 
 ORDER = 5
@@ -354,6 +354,7 @@ def ordinary_only(docs: DataFrame, model: SpellingModel, threshold: float = 0.3,
         return docs
     if model.tables is None:
         return _ordinary_joined(docs, model, threshold, text_col)
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model.plain())
 
     @F.arrow_udf("boolean")
