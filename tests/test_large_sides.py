@@ -69,3 +69,16 @@ def test_no_frame_of_the_limiter_ends_at_the_last_row(spark):
     """Such a frame is added up anew at each row, so that a busy stretch costs the square of its rows."""
     log = spark.createDataFrame([(1, "a", 5)], "event_id BIGINT, ip STRING, us BIGINT")
     assert "unboundedfollowing" not in plan_of(limiter.busy_runs(log, 3, 1_000_000)).lower()
+
+
+def test_names_of_files_are_taken_once_a_file(spark, tmp_path):
+    """Rows of a file are counted by its whole path; a pattern matched on every row was most of the writing."""
+    cells = spark.range(50).selectExpr(
+        "'A' AS variable", "TIMESTAMP_NTZ'2024-01-02 00:30:00' AS time", "CAST(id AS DOUBLE) AS lat", "CAST(id AS DOUBLE) AS lon", "1.0D AS value")
+    zones.write_zoned(cells, str(tmp_path / "z"), rows_per_file=20)
+    batch = next(p.name for p in (tmp_path / "z" / "cells").iterdir() if p.name.startswith("batch="))
+    found = zones._spans(spark, str(tmp_path / "z" / "cells" / batch), batch.removeprefix("batch="))
+    per_row = plan_of(found).split("partial_count(1)")[1]
+    assert "file_path" in per_row and "regexp" not in per_row and "concat" not in per_row and "substring" not in per_row
+    files = {str(p.relative_to(tmp_path / "z" / "cells")) for p in (tmp_path / "z" / "cells").rglob("*.parquet")}
+    assert {r.file for r in found.collect()} == files and sum(r.n_rows for r in found.collect()) == 50
