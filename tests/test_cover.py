@@ -97,3 +97,10 @@ def test_packed_boxes_off_the_globe_and_without_sides(spark, cells, monkeypatch)
     got = cover.slice_covered(cells, spans).select(columns)
     want = cells.join(F.broadcast(spans), ["variable", "day"]).where("lat BETWEEN s AND n AND lon BETWEEN l_lo AND l_hi AND time BETWEEN start_time AND end_time").select("request_id", F.lit(0).alias("seg"), "lat", "lon")
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty() and {r[0] for r in got.select("request_id").distinct().collect()} == {0, 1, 7}
+
+
+def test_packs_meet_in_all_partitions(spark, cells, monkeypatch):
+    """Not in as few as their size would be left: each row of the sides makes many."""
+    monkeypatch.setattr(cover, "row_bound", lambda df: joins.row_bound(df, 0))
+    met = cover.slice_covered(cells, some_spans(spark, random.Random(9), 10))
+    assert met.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
