@@ -102,5 +102,7 @@ def test_packed_boxes_off_the_globe_and_without_sides(spark, cells, monkeypatch)
 def test_packs_meet_in_all_partitions(spark, cells, monkeypatch):
     """Not in as few as their size would be left: each row of the sides makes many."""
     monkeypatch.setattr(cover, "row_bound", lambda df: joins.row_bound(df, 0))
-    met = cover.slice_covered(cells, some_spans(spark, random.Random(9), 10))
-    assert met.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spans = some_spans(spark, random.Random(9), 10).withColumn("day", F.expr("date_add(day, CAST(request_id % 2 AS INT))"))  # a constant is no key
+    met = cover.slice_covered(cells, spans)
+    assert met._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 2
+    assert met.select(F.spark_partition_id()).distinct().count() > 4
